@@ -40,33 +40,39 @@ def running_totals(df: DataFrame, key: str, value: str) -> DataFrame:
     )
 
 
-def rolling_sums(df: DataFrame, key: str, value: str, carry: Sequence[str], idle_ms: int | None = None) -> DataFrame:
+def rolling_sums(
+    df: DataFrame, key: str, value: str, carry: Sequence[str], time: str | None = None, idle_ms: int | None = None
+) -> DataFrame:
     """One output row per input row with the key's running sum, in the order rows arrive.
 
-    `carry` columns are passed through.  With `idle_ms`, the state of a key that stays silent that long is
-    dropped (processing time).
+    `carry` columns are passed through.  With `time`, a watermarked column, and `idle_ms`, a key starts anew
+    once the watermark is that far beyond its latest row.
     """
-    rows = df.select(F.col(key).alias("key"), F.col(value).cast("bigint").alias("value"), *carry)
+    rows = df.select(F.col(key).alias("key"), F.col(value).cast("bigint").alias("value"), *carry, *([time] if time else []))
     fields = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+    timeout = GroupStateTimeout.EventTimeTimeout if time else GroupStateTimeout.NoTimeout
 
     def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        total = state.get[0] if state.exists else 0
+        total, latest = state.get if state.exists else (0, 0)
+        if time and latest + idle_ms <= state.getCurrentWatermarkMs():
+            total, latest = 0, 0  # new rows came in the very batch in which the time ran out
         for part in parts:
             sums = part["value"].cumsum() + total
             if len(sums):
                 total = int(sums.iloc[-1])
+                if time:
+                    latest = max(latest, int(part[time].max().timestamp() * 1000))
             yield part.assign(rolling=sums)
-        state.update((total,))
-        if idle_ms:
-            state.setTimeoutDuration(idle_ms)
+        state.update((total, latest))
+        if time:
+            state.setTimeoutTimestamp(max(latest + idle_ms, state.getCurrentWatermarkMs() + 1))
 
     return (
         rows.groupBy("key")
-        .applyInPandasWithState(update, f"{fields}, rolling bigint", "total bigint", "append", timeout)
+        .applyInPandasWithState(update, f"{fields}, rolling bigint", "total bigint, latest bigint", "append", timeout)
         .withColumnRenamed("key", key)
     )
 

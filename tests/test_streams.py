@@ -105,14 +105,20 @@ def test_running_totals(spark, folder):
     assert rows_of(out) == [("S1", 2, 30), ("S1", 4, 38), ("S1", 6, 137), ("S1", 7, 137), ("S2", 1, 5)]
 
 
-@pytest.mark.parametrize("idle", [None, 60_000])
-def test_rolling_sum_per_record(spark, folder, idle):
+def test_rolling_sum_per_record(spark, folder):
     rows = streams.delimited_stream(spark, folder, STORE, max_files=1)
-    out = runner.to_table(stateful.rolling_sums(rows, "store", "sale", ["ms"], idle), "rolling")
+    out = runner.to_table(stateful.rolling_sums(rows, "store", "sale", ["ms"]), "rolling")
     got = [r["rolling"] for r in out.filter("store = 'S1'").orderBy(F.when(F.col("ms") == 3000, 12500).otherwise(F.col("ms"))).collect()]
     assert got == [10, 30, 31, 38, 137, 137, 137]
 
 
+def test_rolling_sum_of_a_silent_key_starts_anew(spark, folder):
+    drop(folder, [["70000,S2,4", "70000,S1,1"]], first=4)
+    out = runner.to_table(stateful.rolling_sums(sales(spark, folder, "0 seconds"), "store", "sale", [], "t", 50_000), "idle")
+    last = out.filter("unix_seconds(t) = 70").select("store", "rolling")
+    assert rows_of(last) == [("S1", 39), ("S2", 4)]
+
+
 def test_sequence_alerts_across_micro_batches(spark, tmp_path):
     drop(f"{tmp_path}/in", [
         ["1000,ip1,fail", "2000,ip1,fail", "1000,ip2,fail"], ["3000,ip1,fail", "2000,ip2,ok", "3000,ip2,fail"],
@@ -162,38 +168,34 @@ def test_trigger_interval(spark, folder, tmp_path):
 def test_rate_events(spark):
     df = streams.key_value_stream(spark, 50, 2, ["A", "B", "C"])
     query = runner.start(df, None, f"{shared_dir(spark)}/rate", format="memory", every="1 second", name="ticks")
-    query.processAllAvailable() if False else query.awaitTermination(8)
+    query.awaitTermination(8)
     query.stop()
     got = spark.table("ticks")
     assert {r["key"] for r in got.collect()} == {"A", "B", "C"} and got.filter("value < 0 OR value > 99").count() == 0
 
 
-class Letters(DataSource):
-    @classmethod
-    def name(cls):
-        return "letters"
-
-    def schema(self):
-        return "key string, value int"
-
-    def reader(self, schema):
-        return LettersReader(int(self.options.get("per_key", "3")))
-
+def test_user_defined_source(spark):
+    class LettersReader(DataSourceReader):
+        def __init__(self, per_key):
+            self.per_key = per_key
 
-class LettersReader(DataSourceReader):
-    def __init__(self, per_key):
-        self.per_key = per_key
+        def partitions(self):
+            return [InputPartition(k) for k in "ABC"]
 
-    def partitions(self):
-        return [InputPartition(k) for k in "ABC"]
+        def read(self, partition):
+            for i in range(self.per_key):
+                yield (partition.value, i)
 
-    def read(self, partition):
-        for i in range(self.per_key):
-            yield (partition.value, i)
+    class Letters(DataSource):
+        @classmethod
+        def name(cls):
+            return "letters"
 
+        def schema(self):
+            return "key string, value int"
 
-def test_user_defined_source(spark):
-    import cloudpickle  # noqa: F401 - classes of this module travel by value
+        def reader(self, schema):
+            return LettersReader(int(self.options.get("per_key", "3")))
 
     df = streams.custom(spark, Letters, per_key="4")
     assert rows_of(df.groupBy("key").agg(F.sum("value").alias("s"))) == [("A", 6), ("B", 6), ("C", 6)]
