@@ -11,9 +11,10 @@ def trim_controls(col: Column) -> Column:
 
 
 def fields(line: Column, separator: str = ",") -> Column:
-    """Split on a literal separator; trailing empty fields are dropped, inner ones kept."""
-    quoted = "\\Q" + separator + "\\E"
-    return F.split(F.regexp_replace(line, f"(?:{quoted})+$", ""), quoted)
+    """Split on a one-character separator; trailing empty fields are dropped, inner ones kept."""
+    # a plain or escaped single character is split without a regular expression
+    pattern = separator if separator.isalnum() or separator in ",;: " else "\\" + separator
+    return F.split(F.rtrim(line, F.lit(separator)), pattern)
 
 
 def whole_number(col: Column, kind: str = "int") -> Column:

@@ -211,16 +211,18 @@ def lookup_join(
     how: str = "left",
     rows_per_task: int = ROWS_PER_TASK,
     max_rows: int = BROADCAST_ROWS,
+    small: bool | None = None,
 ) -> DataFrame:
     """Enrich `facts` (static or streaming) with a static dimension.
 
     A small dimension is broadcast: no shuffle of the facts.  A large one is joined by key, with heavy fact
-    keys spread when the facts are static; a stream leaves the choice to Spark.
+    keys spread when the facts are static; a stream leaves the choice to Spark.  `small` passes on the
+    outcome of `fits_broadcast` when one dimension is looked up several times.
     """
     pairs = _pairs(on)
     aligned = _aligned(dimension, pairs)
     keys = [l for l, _ in pairs]
-    if fits_broadcast(dimension, max_rows):
+    if fits_broadcast(dimension, max_rows) if small is None else small:
         return facts.join(F.broadcast(aligned), keys, how)
     if facts.isStreaming:
         return facts.join(aligned, keys, how)

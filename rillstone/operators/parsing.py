@@ -20,14 +20,19 @@ TRANSACTION = {  # fixed layout of a transaction line
 _WHOLE = {"tinyint", "smallint", "int", "bigint"}
 
 
+def _split_once(df: DataFrame, line: str, separator: str) -> DataFrame:
+    """Adds the fields as `_parts`; the generator keeps the optimizer from repeating the split per use."""
+    return df.select(*df.columns, F.explode(F.array(fields(F.col(line), separator))).alias("_parts"))
+
+
 def pick(df: DataFrame, line: str, layout: Mapping[str, tuple[int, str]], separator: str = ",") -> DataFrame:
     """Columns by position: `layout` maps a name to (index, type); other columns are kept.
 
     A field that does not parse fails the query, as a strict reader does.
     """
-    parts = fields(F.col(line), separator)
     keep = [c for c in df.columns if c != line]
-    return df.select(*keep, *[parts[i].cast(t).alias(n) for n, (i, t) in layout.items()])
+    part = F.col("_parts")
+    return _split_once(df, line, separator).select(*keep, *[part[i].cast(t).alias(n) for n, (i, t) in layout.items()])
 
 
 def _parsed(part: Column, kind: str) -> Column:
@@ -37,13 +42,12 @@ def _parsed(part: Column, kind: str) -> Column:
 
 
 def _checked(df: DataFrame, line: str, layout: Mapping[str, str], separator: str) -> DataFrame:
-    parts = fields(F.col(line), separator)
     values = {n: _parsed(F.get(F.col("_parts"), i), t) for i, (n, t) in enumerate(layout.items())}
     reason = F.when(F.size("_parts") != len(layout), F.lit("column count"))
     for name, kind in layout.items():
         if kind != "string":
             reason = reason.when(values[name].isNull(), F.lit(f"bad {name}"))
-    return df.withColumn("_parts", parts).select(
+    return _split_once(df, line, separator).select(
         *df.columns, F.struct(*[v.alias(n) for n, v in values.items()]).alias("_row"), reason.alias("_reason")
     )
 

@@ -34,14 +34,14 @@ def strict_sequence(
 
 
 def life_cycle(
-    df: DataFrame, key: str, status: str, time: str, stages: Sequence[str], extra: Sequence[Column] = ()
+    df: DataFrame, keys: Sequence[str], status: str, time: str, stages: Sequence[str], extra: Sequence[Column] = ()
 ) -> DataFrame:
-    """One row per key: the time of every stage (`<stage>_at`) and whether the stages came in order.
+    """One row per ride: the first time of every stage (`<stage>_at`) and whether the stages came in order.
 
     `in_order` is true when the stages reached so far have no gap and rising times.
     """
     times = [F.min(F.when(F.col(status) == s, F.col(time))).alias(f"{s}_at") for s in stages]
-    out = df.groupBy(key).agg(*times, *extra)
+    out = df.groupBy(*keys).agg(*times, *extra)
     ok = F.lit(True)
     for earlier, later in zip(stages, stages[1:]):
         reached = F.col(f"{later}_at").isNotNull()

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
-from rillstone.operators.skew import CHUNK, HEAVY, ROWS_PER_TASK, plan_chunks, position, same
+from rillstone.operators.skew import HEAVY, ROWS_PER_TASK, cut_heavy, position, same
 
 
 @dataclass(frozen=True)
@@ -21,6 +21,7 @@ class Rolling:
 
     name: str
     bind: Callable[[DataFrame, Sequence[str]], "_Bound"]
+    wide: bool = False  # the window needs a copy of the record
 
 
 @dataclass(frozen=True)
@@ -111,7 +112,7 @@ def rolling_min_by(column: str, record: Sequence[str], name: str, last: bool = F
         ranked = extreme_record(df, column, order, record, largest=False, last=last)
         return _Bound(lambda w: F.min(ranked).over(w), F.min(ranked), F.min, F.least)
 
-    return Rolling(name, bind)
+    return Rolling(name, bind, wide=True)
 
 
 def rolling_max_by(column: str, record: Sequence[str], name: str, last: bool = False) -> Rolling:
@@ -121,7 +122,7 @@ def rolling_max_by(column: str, record: Sequence[str], name: str, last: bool = F
         ranked = extreme_record(df, column, order, record, largest=True, last=last)
         return _Bound(lambda w: F.max(ranked).over(w), F.max(ranked), F.max, F.greatest)
 
-    return Rolling(name, bind)
+    return Rolling(name, bind, wide=True)
 
 
 def record_of(name: str) -> Column:
@@ -143,19 +144,21 @@ def roll(
     input of an aggregation whose output is rolled.
     """
     bound = [(a.name, a.bind(df, order)) for a in aggregates]
-    plan = plan_chunks(df if probe is None else probe, keys, order[0], rows_per_task)
-    if plan is None:
+    wide = any(a.wide for a in aggregates)
+    cut = cut_heavy(df, keys, order, rows_per_task, probe)
+    if cut is None:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.select("*", *[b.within(w).alias(n) for n, b in bound])
+        # shuffle first, so that the copies of the records are made behind the shuffle
+        return (df.repartition(*keys) if wide else df).select("*", *[b.within(w).alias(n) for n, b in bound])
 
-    chunked = plan.apply(df)
-    inside = Window.partitionBy(*keys, CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    totals = chunked.filter(HEAVY).groupBy(*keys, CHUNK).agg(*[b.total.alias(n) for n, b in bound])
+    chunked, chunks = cut.frame, cut.chunks
+    inside = Window.partitionBy(*keys, *chunks).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy(*chunks).rowsBetween(Window.unboundedPreceding, -1)
+    totals = chunked.filter(HEAVY).groupBy(*keys, *chunks).agg(*[b.total.alias(n) for n, b in bound])
     # one row per chunk of a heavy key: rows / rows_per_task, times the ranges per task
-    carries = totals.select(*keys, CHUNK, *[b.fold(F.col(n)).over(before).alias(f"_carry_{n}") for n, b in bound])
-    here = chunked.select("*", *[b.within(inside).alias(f"_here_{n}") for n, b in bound])
-    return here.join(F.broadcast(carries), same(here, carries, [*keys, CHUNK]), "left").select(
+    carries = totals.select(*keys, *chunks, *[b.fold(F.col(n)).over(before).alias(f"_carry_{n}") for n, b in bound])
+    here = (chunked.repartition(*keys, *chunks) if wide else chunked).select("*", *[b.within(inside).alias(f"_here_{n}") for n, b in bound])
+    return here.join(F.broadcast(carries), same(here, carries, [*keys, *chunks]), "left").select(
         *[here[c] for c in df.columns],
         *[b.merge(carries[f"_carry_{n}"], here[f"_here_{n}"]).alias(n) for n, b in bound],
     )
@@ -172,29 +175,29 @@ def with_lags(
 ) -> DataFrame:
     """`df` plus `lag_1` .. `lag_<depth>`: structs of `columns` of the preceding rows of the key."""
     value = F.struct(*columns)
-    plan = plan_chunks(df, keys, order[0], rows_per_task)
-    if plan is None:
+    cut = cut_heavy(df, keys, order, rows_per_task)
+    if cut is None:
         w = Window.partitionBy(*keys).orderBy(*order)
         return df.select("*", *[F.lag(value, i).over(w).alias(f"{prefix}{i}") for i in range(1, depth + 1)])
 
-    chunked = plan.apply(df)
-    inside = Window.partitionBy(*keys, CHUNK).orderBy(*order)
-    backwards = Window.partitionBy(*keys, CHUNK).orderBy(*[F.desc(o) for o in order])
-    before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(-depth, -1)
+    chunked, chunks = cut.frame, cut.chunks
+    inside = Window.partitionBy(*keys, *chunks).orderBy(*order)
+    backwards = Window.partitionBy(*keys, *chunks).orderBy(*[F.desc(o) for o in order])
+    before = Window.partitionBy(*keys).orderBy(*chunks).rowsBetween(-depth, -1)
     tagged = F.struct(*[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)], value.alias("_v"))
     tails = (
         chunked.filter(HEAVY)
         .withColumn("_back", F.row_number().over(backwards))
         .filter(F.col("_back") <= depth)
-        .groupBy(*keys, CHUNK)
+        .groupBy(*keys, *chunks)
         .agg(F.collect_list(tagged).alias("_tail"))  # at most `depth` entries
     )
-    halos = tails.select(*keys, CHUNK, F.sort_array(F.flatten(F.collect_list("_tail").over(before))).alias("_halo"))
+    halos = tails.select(*keys, *chunks, F.sort_array(F.flatten(F.collect_list("_tail").over(before))).alias("_halo"))
     at = F.row_number().over(inside)
     here = chunked.select(
         "*", at.alias("_at"), *[F.lag(value, i).over(inside).alias(f"_in_{i}") for i in range(1, depth + 1)]
     )
-    joined = here.join(F.broadcast(halos), same(here, halos, [*keys, CHUNK]), "left")
+    joined = here.join(F.broadcast(halos), same(here, halos, [*keys, *chunks]), "left")
     outside = [F.try_element_at(halos["_halo"], F.least(here["_at"] - (i + 1), F.lit(-1)))["_v"] for i in range(1, depth + 1)]
     return joined.select(
         *[here[c] for c in df.columns],

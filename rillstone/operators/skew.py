@@ -4,7 +4,7 @@ A window or join hashes all rows of a key into one task.  When one key holds a l
 task decides the run time, whatever the cluster size.  The helpers here find such keys with one partially
 aggregated pass and give their rows a second partitioning column:
 
-* `plan_chunks` cuts a heavy key into consecutive ranges of its ordering column, for ordered work;
+* `cut_heavy` cuts a heavy key into consecutive ranges of its ordering columns, for ordered work;
 * `heavy_join_keys` returns per-key row counts of both sides, for salted joins.
 
 What is collected is bounded by `rows / rows_per_task` entries and by `MAX_HEAVY`; rows never are.  The ranges
@@ -22,9 +22,11 @@ ROWS_PER_TASK = 4_000_000
 MAX_HEAVY = 100_000
 RANGES_PER_TASK = 4
 MAX_LEVELS = 6
+BUCKETS = 65_536
+MAX_LISTED = 1_000
 
-CHUNK = "_chunk"
 HEAVY = "_heavy"
+_HIT = "_hit"
 _WIDTH = "_width"
 
 
@@ -43,6 +45,14 @@ def position(df: DataFrame, name: str) -> Column:
     raise TypeError(f"ordering column {name} must be an integer, date or timestamp, not {kind.simpleString()}")
 
 
+def _has_position(df: DataFrame, name: str) -> bool:
+    try:
+        position(df, name)
+    except TypeError:
+        return False
+    return True
+
+
 def same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
     """Null-safe equality on equally named columns."""
     cond = F.lit(True)
@@ -53,18 +63,23 @@ def same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
 
 @dataclass(frozen=True)
 class ChunkPlan:
-    """Ranges of the heavy keys; one small table per refinement level."""
+    """Ranges of the heavy keys over one ordering column; one small table per refinement level."""
 
     keys: tuple[str, ...]
     order: str
+    chunk: str
     levels: tuple[DataFrame, ...]
 
     def apply(self, df: DataFrame) -> DataFrame:
-        """`df` plus `CHUNK` (first position of the row's range; 0 for a light key) and `HEAVY`."""
-        return _apply_levels(df, self.keys, self.order, self.levels).drop(_WIDTH)
+        """`df` plus the chunk column: the first position of the row's range, 0 for a light key."""
+        return _apply_levels(df, self.keys, self.order, self.chunk, self.levels).drop(_HIT, _WIDTH)
+
+    def apply_marked(self, df: DataFrame) -> DataFrame:
+        """Like `apply`, plus `HEAVY`."""
+        return _apply_levels(df, self.keys, self.order, self.chunk, self.levels).drop(_WIDTH).withColumnRenamed(_HIT, HEAVY)
 
 
-def _apply_levels(df: DataFrame, keys: Sequence[str], order: str, levels: Sequence[DataFrame]) -> DataFrame:
+def _apply_levels(df: DataFrame, keys: Sequence[str], order: str, chunk: str, levels: Sequence[DataFrame]) -> DataFrame:
     at = position(df, order)
     columns = df.columns
     first = levels[0]
@@ -72,29 +87,47 @@ def _apply_levels(df: DataFrame, keys: Sequence[str], order: str, levels: Sequen
     start = F.coalesce(at - F.pmod(at - first["_lo"], first["_w"]), first["_lo"] - 1)
     out = df.join(F.broadcast(first), same(df, first, keys), "left").select(
         *[df[c] for c in columns],
-        F.when(first["_w"].isNull(), F.lit(0)).otherwise(start).cast("bigint").alias(CHUNK),
-        first["_w"].isNotNull().alias(HEAVY),
+        F.when(first["_w"].isNull(), F.lit(0)).otherwise(start).cast("bigint").alias(chunk),
+        first["_w"].isNotNull().alias(_HIT),
         first["_w"].alias(_WIDTH),
     )
     for level in levels[1:]:
         at = position(out, order)
-        finer = at - F.pmod(at - out[CHUNK], level["_w"])
-        hit = same(out, level, [*keys, CHUNK]) & out[HEAVY]
+        finer = at - F.pmod(at - out[chunk], level["_w"])
+        hit = same(out, level, [*keys, chunk]) & out[_HIT]
         out = out.join(F.broadcast(level), hit, "left").select(
             *[out[c] for c in columns],
-            F.when(level["_w"].isNull(), out[CHUNK]).otherwise(F.coalesce(finer, out[CHUNK])).alias(CHUNK),
-            out[HEAVY],
+            F.when(level["_w"].isNull(), out[chunk]).otherwise(F.coalesce(finer, out[chunk])).alias(chunk),
+            out[_HIT],
             F.coalesce(level["_w"], out[_WIDTH]).alias(_WIDTH),
         )
     return out
 
 
+def _bucket(keys: Sequence[str]) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS))
+
+
+def _in_full_buckets(df: DataFrame, keys: Sequence[str], counts: Sequence[Column], rows_per_task: int) -> DataFrame | None:
+    """The rows whose key may be heavy, or None when no key can be.
+
+    A heavy key fills its hash bucket, and bucket counts are small however many keys there are; keys are
+    counted one by one only in the buckets that are full.
+    """
+    most = F.greatest(*counts) if len(counts) > 1 else counts[0]
+    full = df.groupBy(_bucket(keys).alias("_b")).agg(most.alias("_n")).filter(F.col("_n") > rows_per_task)
+    found = [r["_b"] for r in full.select("_b").limit(MAX_LISTED + 1).collect()]
+    if not found:
+        return None
+    return df if len(found) > MAX_LISTED else df.filter(_bucket(keys).isin(found))
+
+
 def _ranges(n: int, rows_per_task: int) -> int:
     return RANGES_PER_TASK * -(-n // rows_per_task)
 
 
 def plan_chunks(
-    df: DataFrame, keys: Sequence[str], order: str, rows_per_task: int = ROWS_PER_TASK
+    df: DataFrame, keys: Sequence[str], order: str, rows_per_task: int = ROWS_PER_TASK, chunk: str = "_chunk"
 ) -> ChunkPlan | None:
     """Ranges for every key of `df` with more than `rows_per_task` rows, or None when there is none.
 
@@ -104,8 +137,11 @@ def plan_chunks(
     spark = df.sparkSession
     at = position(df, order)
     key_fields = [T.StructField(k, df.schema[k].dataType) for k in keys]
+    suspects = _in_full_buckets(df, keys, [F.count(F.lit(1))], rows_per_task)
+    if suspects is None:
+        return None
     found = (
-        df.groupBy(*keys)
+        suspects.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi"))
         .filter((F.col("_n") > rows_per_task) & F.col("_lo").isNotNull())
         .orderBy(F.desc("_n"))
@@ -120,12 +156,12 @@ def plan_chunks(
     ]
     schema = T.StructType([*key_fields, T.StructField("_lo", T.LongType()), T.StructField("_w", T.LongType())])
     levels = [spark.createDataFrame(rows, schema)]
-    schema = T.StructType([*key_fields, T.StructField(CHUNK, T.LongType()), T.StructField("_w", T.LongType())])
+    schema = T.StructType([*key_fields, T.StructField(chunk, T.LongType()), T.StructField("_w", T.LongType())])
     while len(levels) < MAX_LEVELS:
         full = (
-            _apply_levels(df.select(*keys, order), keys, order, levels)
-            .filter(F.col(HEAVY) & (F.col(_WIDTH) > 1))
-            .groupBy(*keys, CHUNK)
+            _apply_levels(df.select(*keys, order), keys, order, chunk, levels)
+            .filter(F.col(_HIT) & (F.col(_WIDTH) > 1))
+            .groupBy(*keys, chunk)
             .agg(F.count(F.lit(1)).alias("_n"), F.max(_WIDTH).alias(_WIDTH))
             .filter(F.col("_n") > rows_per_task)
             .orderBy(F.desc("_n"))
@@ -135,10 +171,45 @@ def plan_chunks(
         if not full:
             break
         rows = [
-            (*[r[k] for k in keys], r[CHUNK], max(1, -(-r[_WIDTH] // _ranges(r["_n"], rows_per_task)))) for r in full
+            (*[r[k] for k in keys], r[chunk], max(1, -(-r[_WIDTH] // _ranges(r["_n"], rows_per_task)))) for r in full
         ]
         levels.append(spark.createDataFrame(rows, schema))
-    return ChunkPlan(tuple(keys), order, tuple(levels))
+    return ChunkPlan(tuple(keys), order, chunk, tuple(levels))
+
+
+@dataclass(frozen=True)
+class Cut:
+    """A frame whose heavy keys are cut: `chunks` are the added columns, in order of significance."""
+
+    frame: DataFrame
+    chunks: tuple[str, ...]
+
+
+def cut_heavy(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    rows_per_task: int = ROWS_PER_TASK,
+    probe: DataFrame | None = None,
+) -> Cut | None:
+    """Cut the heavy keys of `df` along `order`, or None when no key is heavy.
+
+    Rows that share the first position are cut by the next ordering column.  `probe` is a cheaper frame with
+    the same keys and leading order columns on which heavy keys are looked for.
+    """
+    seen = df if probe is None else probe
+    seen = seen.select(*keys, *[o for o in order if o in seen.columns])
+    chunks: list[str] = []
+    for i, name in enumerate(order):
+        if name not in seen.columns or (i and not _has_position(seen, name)):
+            break
+        plan = plan_chunks(seen, [*keys, *chunks], name, rows_per_task, f"_chunk{i}")
+        if plan is None:
+            break
+        df = plan.apply(df) if chunks else plan.apply_marked(df)
+        seen = (plan.apply(seen) if chunks else plan.apply_marked(seen).filter(HEAVY).drop(HEAVY))
+        chunks.append(f"_chunk{i}")
+    return Cut(df, tuple(chunks)) if chunks else None
 
 
 def heavy_join_keys(
@@ -146,10 +217,14 @@ def heavy_join_keys(
 ) -> DataFrame | None:
     """Join keys with more than `rows_per_task` rows on a side, with the row counts `_nl` and `_nr`."""
     names = list(on)
+    both = left.select(*names, F.lit(1).alias("_l"), F.lit(0).alias("_r")).unionAll(
+        right.select(*names, F.lit(0).alias("_l"), F.lit(1).alias("_r"))
+    )
+    suspects = _in_full_buckets(both, names, [F.sum("_l"), F.sum("_r")], rows_per_task)
+    if suspects is None:
+        return None
     counted = (
-        left.select(*names, F.lit(1).alias("_l"), F.lit(0).alias("_r"))
-        .unionAll(right.select(*names, F.lit(0).alias("_l"), F.lit(1).alias("_r")))
-        .groupBy(*names)
+        suspects.groupBy(*names)
         .agg(F.sum("_l").alias("_nl"), F.sum("_r").alias("_nr"))
         .filter(F.greatest("_nl", "_nr") > rows_per_task)
         .orderBy(F.desc(F.greatest("_nl", "_nr")))

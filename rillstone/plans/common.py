@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rillstone.functions.time import SECONDS, text
 from rillstone.operators.joins import lookup_join
+from rillstone.operators.sizing import fits_broadcast
 from rillstone.sources.files import table
 
 CURRENCIES = ["USD", "EUR", "INR", "GBP", "JPY", "AUD", "CHF", "XAU"]
@@ -51,8 +52,10 @@ def scored_input(orders: DataFrame, spark: SparkSession, folder: str) -> DataFra
         F.unix_millis(instant("o_orderdate")).alias("ts"),
     )
     with_source = lookup_join(base, customer, {"o_custkey": "c_custkey"}, "inner")
-    named = lookup_join(with_source, nation.withColumnRenamed("n_name", "source"), {"c_nationkey": "n_nationkey"}, "inner")
-    named = lookup_join(named, nation.withColumnRenamed("n_name", "destination"), {"_to": "n_nationkey"}, "inner")
+    small = fits_broadcast(nation)
+    place = lambda name: nation.withColumnRenamed("n_name", name)
+    named = lookup_join(with_source, place("source"), {"c_nationkey": "n_nationkey"}, "inner", small=small)
+    named = lookup_join(named, place("destination"), {"_to": "n_nationkey"}, "inner", small=small)
     return named.select("txn_id", "amount", "currency", "source", "destination", "ts")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rillstone.operators import aggregates, iterate, patterns
 from rillstone.operators.joins import lookup_join
+from rillstone.operators.sizing import fits_broadcast
 from rillstone.plans.common import events, shown
 from rillstone.sources.files import table
 
@@ -51,8 +52,10 @@ def _trips(spark: SparkSession, folder: str) -> DataFrame:
     supplier = table(spark, folder, "supplier").select("s_suppkey", F.col("s_name").alias("driver"), "s_nationkey")
     nation = table(spark, folder, "nation").select("n_nationkey", "n_name")
     driven = lookup_join(line, supplier, {"l_suppkey": "s_suppkey"}, "inner")
-    started = lookup_join(driven, nation.withColumnRenamed("n_name", "pickup"), {"s_nationkey": "n_nationkey"}, "inner")
-    return lookup_join(started, nation.withColumnRenamed("n_name", "destination"), {"_to": "n_nationkey"}, "inner")
+    small = fits_broadcast(nation)
+    place = lambda name: nation.withColumnRenamed("n_name", name)
+    started = lookup_join(driven, place("pickup"), {"s_nationkey": "n_nationkey"}, "inner", small=small)
+    return lookup_join(started, place("destination"), {"_to": "n_nationkey"}, "inner", small=small)
 
 
 def top_destination(spark: SparkSession, folder: str) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
+_local_dirs: dict[str, str] = {}
+
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -47,9 +49,10 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder shared by the cluster")
-    local = tempfile.mkdtemp(prefix="rillstone-")
-    spark.conf.set(CHECKPOINT_DIR, local)
-    return local
+    application = spark.sparkContext.applicationId
+    if application not in _local_dirs:
+        _local_dirs[application] = tempfile.mkdtemp(prefix="rillstone-")
+    return _local_dirs[application]
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:

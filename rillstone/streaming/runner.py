@@ -15,6 +15,8 @@ PROVIDERS = {
     "rocksdb": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+# sessions are merged inside each task before the shuffle, so a heavy key sends sessions and not rows
+_LOCAL_SESSIONS = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
 _CHAINED = "spark.sql.streaming.statefulOperator.allowMultiple"
 
 
@@ -60,7 +62,7 @@ def start(
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
-    settings = {_PROVIDER: PROVIDERS[state], _CHAINED: "false" if single_stateful else "true"}
+    settings = {_PROVIDER: PROVIDERS[state], _CHAINED: "false" if single_stateful else "true", _LOCAL_SESSIONS: "true"}
     with _settings(spark, settings):
         return writer.start()
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -82,33 +83,39 @@ def sequence_alerts(
 ) -> DataFrame:
     """Alerts for `steps` as consecutive events of a key within the limit, over a stream.
 
-    The state is the tail of the key's events, shorter than the pattern.  Events of a micro-batch are taken
-    in time order per Arrow batch; across micro-batches they are taken as they come.
+    The state is the tail of the key's events, shorter than the pattern.  Events are put in time order within
+    a micro-batch, as one number and one byte each, so the files per trigger bound what a key brings at once.
     """
+    steps = list(steps)
+    depth = len(steps) - 1
+    names = sorted(set(steps))
+    code = F.coalesce(F.array_position(F.array(*[F.lit(n) for n in names]), F.col(status)), F.lit(0)).cast("tinyint")
+    wanted = [names.index(s) + 1 for s in steps]
     rows = df.select(
-        F.col(key).alias("key"), F.unix_millis(F.col(time).cast("timestamp")).alias("at"), F.col(status).alias("status")
+        F.col(key).alias("key"), F.unix_millis(F.col(time).cast("timestamp")).alias("at"), code.alias("code")
     )
     kind = dict(rows.dtypes)["key"]
-    steps = list(steps)
-    depth = len(steps) - 1
 
     def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times, names = (list(x) for x in state.get) if state.exists else ([], [])
-        for part in parts:
-            part = part.sort_values("at", kind="stable")
-            at = pd.Series(times + part["at"].tolist())
-            seen = pd.Series(names + part["status"].tolist())
-            hit = at - at.shift(depth) <= within_ms
-            for back, step in enumerate(reversed(steps)):
-                hit &= seen.shift(back) == step
-            yield pd.DataFrame({"key": key[0], "first_ms": at.shift(depth)[hit].astype("int64"), "last_ms": at[hit]})
-            times, names = at.tolist()[-depth:], seen.tolist()[-depth:]
-        state.update((times, names))
+        tail_at, tail_code = state.get if state.exists else ([], [])
+        new = [(p["at"].to_numpy("int64"), p["code"].to_numpy("int8")) for p in parts]
+        at, code = np.concatenate([n[0] for n in new]), np.concatenate([n[1] for n in new])
+        order = np.argsort(at, kind="stable")
+        at = np.concatenate([np.array(tail_at, "int64"), at[order]])
+        code = np.concatenate([np.array(tail_code, "int8"), code[order]])
+        ends = np.arange(depth, len(at))
+        hit = at[ends] - at[ends - depth] <= within_ms
+        for i, step in enumerate(wanted):
+            hit &= code[ends - depth + i] == step
+        found = ends[hit]
+        yield pd.DataFrame({"key": [key[0]] * len(found), "first_ms": at[found - depth], "last_ms": at[found]})
+        keep = len(at) - depth if len(at) > depth else 0
+        state.update((at[keep:].tolist(), code[keep:].tolist()))
 
     return (
         rows.groupBy("key")
         .applyInPandasWithState(
-            update, f"key {kind}, first_ms bigint, last_ms bigint", "times array<bigint>, names array<string>",
+            update, f"key {kind}, first_ms bigint, last_ms bigint", "at array<bigint>, code array<int>",
             "append", GroupStateTimeout.NoTimeout,
         )
         .withColumnRenamed("key", key)

@@ -176,7 +176,7 @@ def test_ride_life_cycle_and_metrics(spark):
     ]
     meta = {"r1": ("Rome", "d1"), "r2": ("Rome", "d2"), "r3": ("Oslo", "d1"), "r4": ("Oslo", "d1")}
     df = spark.createDataFrame([(r, s, t, *meta[r]) for r, s, t in log], "ride string, status string, t timestamp, city string, driver string")
-    rides = patterns.life_cycle(df, "ride", "status", "t", stages, [F.first("city").alias("city"), F.first("driver").alias("driver")])
+    rides = patterns.life_cycle(df, ["ride"], "status", "t", stages, [F.first("city").alias("city"), F.first("driver").alias("driver")])
     assert {r["ride"]: r["in_order"] for r in rides.collect()} == {"r1": True, "r2": True, "r3": False, "r4": True}
     assert [r["ride"] for r in patterns.too_long(rides, "started_at", "completed_at", 3600).collect()] == ["r4"]
     assert rows_of(patterns.mean_wait(rides, ["city"], "requested_at", "matched_at")) == [("Oslo", 1, 300, 300.0), ("Rome", 2, 300, 150.0)]

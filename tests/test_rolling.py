@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rillstone.operators import rolling as r
 from rillstone.operators.aggregates import final_state
-from rillstone.operators.skew import CHUNK, HEAVY, plan_chunks
+from rillstone.operators.skew import HEAVY, cut_heavy, plan_chunks
 from tests.conftest import plan_of
 
 RECORD = ["category", "product", "profit"]
@@ -86,14 +86,24 @@ def test_ranges_are_refined_until_no_task_is_too_full(spark):
     df = spark.createDataFrame(heavy_rows(3000), SCHEMA).filter("at is not null")
     plan = plan_chunks(df, ["k"], "at", 100)
     assert len(plan.levels) > 1
-    chunked = plan.apply(df)
+    chunked = plan.apply_marked(df)
     assert chunked.count() == 3000 - sum(x[1] is None for x in heavy_rows(3000))
-    worst = chunked.filter(HEAVY).groupBy("k", CHUNK).agg(F.count("*").alias("n"), F.countDistinct("at").alias("d"))
+    worst = chunked.filter(HEAVY).groupBy("k", "_chunk").agg(F.count("*").alias("n"), F.countDistinct("at").alias("d"))
     # only rows that share one position stay above the limit
     assert worst.filter("n > 100 and d > 1").count() == 0
     assert plan_chunks(df, ["k"], "at", 10_000) is None
 
 
+def test_rows_at_one_position_are_cut_by_the_next_column(spark):
+    rows = [("h", 5, i, i % 7, "x") for i in range(600)] + [("a", i, 1000 + i, 1, "y") for i in range(20)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    cut = cut_heavy(df, ["k"], ["at", "id"], 100)
+    assert cut.chunks == ("_chunk0", "_chunk1")
+    assert cut.frame.groupBy("k", *cut.chunks).count().filter("count > 100").count() == 0
+    whole = r.roll(df, ["k"], ["at", "id"], *ALL).orderBy("id").collect()
+    assert r.roll(df, ["k"], ["at", "id"], *ALL, rows_per_task=100).orderBy("id").collect() == whole
+
+
 def test_lags_across_cuts(spark):
     df = spark.createDataFrame(heavy_rows(2000, 5), SCHEMA)
     whole = r.with_lags(df, ["k"], ["at", "id"], ["v", "tag"], 3).orderBy("id").collect()
