@@ -37,7 +37,7 @@ def _column_of(lon: Column, cells: Column) -> Column:
     return F.pmod(F.floor(F.pmod(lon + 180, F.lit(360.0)) / F.lit(360.0) * cells).cast("bigint"), cells)
 
 
-def cell_rows(lat: Column, lon: Column, km: float) -> Column:
+def cell(lat: Column, lon: Column, km: float) -> Column:
     """Grid cell of a point: (latitude row, longitude column)."""
     row = _row(lat, km)
     return F.struct(row.cast("bigint").alias("r"), _column_of(lon, _cells_around(row, km)).alias("c"))

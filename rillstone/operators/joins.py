@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from rillstone.functions.geo import cell, haversine_km, neighbour_cells
 from rillstone.operators.rolling import roll, rolling_last_known
 from rillstone.operators.sizing import BROADCAST_BYTES, BROADCAST_ROWS, fits_broadcast
 from rillstone.operators.skew import ROWS_PER_TASK, heavy_join_keys, same
@@ -323,9 +324,7 @@ def nearby_join(
     Points fall into grid cells wide enough that partners are in the same or a neighbouring cell: the right
     side is copied to its nine neighbours and joined on the cell.  Column names of both sides must differ.
     """
-    from rillstone.functions.geo import cell_rows, haversine_km, neighbour_cells
-
-    l = left.withColumn("_cell", cell_rows(F.col(left_at[0]), F.col(left_at[1]), km))
+    l = left.withColumn("_cell", cell(F.col(left_at[0]), F.col(left_at[1]), km))
     r = right.withColumn("_cell", F.explode(neighbour_cells(F.col(right_at[0]), F.col(right_at[1]), km)))
     distance = haversine_km(*[F.col(c) for c in (*left_at, *right_at)])
     return (

@@ -26,8 +26,11 @@ def write_text(df: DataFrame, path: str, line: Column | None = None, max_rows_pe
 
 
 def write_partitioned(df: DataFrame, path: str, keys: Sequence[str], max_rows_per_file: int | None = None) -> None:
-    """Parquet with one folder per key value, replacing earlier output."""
-    writer = df.write.mode("overwrite").partitionBy(*keys)
+    """Parquet with one folder per key value, replacing earlier output.
+
+    Rows are rebalanced by key, so a folder gets few files and a heavy key is still written by many tasks.
+    """
+    writer = df.hint("rebalance", *[F.col(k) for k in keys]).write.mode("overwrite").partitionBy(*keys)
     if max_rows_per_file:
         writer = writer.option("maxRecordsPerFile", max_rows_per_file)
     writer.parquet(path)

@@ -79,7 +79,7 @@ def rolling_sums(
 
 
 def sequence_alerts(
-    df: DataFrame, key: str, time: str, status: str, steps: Sequence[str], within_ms: int
+    df: DataFrame, key: str, time: str, status: str, steps: Sequence[str], within_seconds: int
 ) -> DataFrame:
     """Alerts for `steps` as consecutive events of a key within the limit, over a stream.
 
@@ -92,7 +92,7 @@ def sequence_alerts(
     code = F.coalesce(F.array_position(F.array(*[F.lit(n) for n in names]), F.col(status)), F.lit(0)).cast("tinyint")
     wanted = [names.index(s) + 1 for s in steps]
     rows = df.select(
-        F.col(key).alias("key"), F.unix_millis(F.col(time).cast("timestamp")).alias("at"), code.alias("code")
+        F.col(key).alias("key"), F.unix_micros(F.col(time).cast("timestamp")).alias("at"), code.alias("code")
     )
     kind = dict(rows.dtypes)["key"]
 
@@ -104,19 +104,22 @@ def sequence_alerts(
         at = np.concatenate([np.array(tail_at, "int64"), at[order]])
         code = np.concatenate([np.array(tail_code, "int8"), code[order]])
         ends = np.arange(depth, len(at))
-        hit = at[ends] - at[ends - depth] <= within_ms
+        hit = at[ends] - at[ends - depth] <= within_seconds * 1_000_000
         for i, step in enumerate(wanted):
             hit &= code[ends - depth + i] == step
         found = ends[hit]
-        yield pd.DataFrame({"key": [key[0]] * len(found), "first_ms": at[found - depth], "last_ms": at[found]})
+        yield pd.DataFrame({"key": [key[0]] * len(found), "first_us": at[found - depth], "last_us": at[found]})
         keep = len(at) - depth if len(at) > depth else 0
         state.update((at[keep:].tolist(), code[keep:].tolist()))
 
     return (
         rows.groupBy("key")
         .applyInPandasWithState(
-            update, f"key {kind}, first_ms bigint, last_ms bigint", "at array<bigint>, code array<int>",
+            update, f"key {kind}, first_us bigint, last_us bigint", "at array<bigint>, code array<int>",
             "append", GroupStateTimeout.NoTimeout,
         )
-        .withColumnRenamed("key", key)
+        .select(
+            F.col("key").alias(key), F.timestamp_micros("first_us").alias("first_time"),
+            F.timestamp_micros("last_us").alias("last_time"),
+        )
     )
