@@ -156,11 +156,16 @@ def hinted_join(
     max_rows: int = BROADCAST_ROWS,
     max_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """Equi-join with a named strategy; a broadcast is made only for a side counted and found small."""
+    """Equi-join with a named strategy.
+
+    A broadcast is made only for a side counted and found small, and only where the join type allows it: the
+    side whose unmatched rows are kept cannot be copied.
+    """
     hint = STRATEGIES[strategy]
     if hint and hint[1] == "broadcast":
         side = left if hint[0] == "left" else right
-        if fits_broadcast(side, max_rows, max_bytes):
+        copyable = how in ("inner", "right" if hint[0] == "left" else "left")
+        if copyable and fits_broadcast(side, max_rows, max_bytes):
             pairs = _pairs(on)
             l, r = _with_hint(left, _aligned(right, pairs), hint)
             return l.join(r, [k for k, _ in pairs], how)

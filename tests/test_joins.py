@@ -53,6 +53,17 @@ def test_a_side_that_is_too_large_is_not_broadcast(people, places):
     assert "ResolvedHint" not in out._jdf.queryExecution().analyzed().toString()
 
 
+@pytest.mark.parametrize("how,node", [("right", "BroadcastHashJoin"), ("left", "SortMergeJoin"), ("full", "SortMergeJoin")])
+def test_only_a_copyable_side_is_broadcast(spark, people, places, how, node):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = joins.named_join(people, places, "id", how, "broadcast_first")
+        assert node in plan_of(out)
+        assert {tuple(r) for r in out.collect()} == INNER | (RIGHT if how != "left" else set()) | (LEFT if how != "right" else set())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 SQL_NODES = {
     "BROADCAST": "BroadcastHashJoin", "SHUFFLE_HASH": "ShuffledHashJoin", "SHUFFLE_MERGE": "SortMergeJoin",
 }
