@@ -16,8 +16,7 @@ def spend_by(
     join is one row per key whether the profiles are broadcast or shuffled.
     """
     per_key = facts.groupBy(key).agg(F.sum(amount).alias("amount"), F.count(F.lit(1)).alias("n"))
-    limit = {} if max_rows is None else {"max_rows": max_rows}
-    known = lookup_join(per_key, profiles.select(profile_key, group), {key: profile_key}, "inner", **limit)
+    known = lookup_join(per_key, profiles.select(profile_key, group), {key: profile_key}, "inner", max_rows=max_rows)
     return known.groupBy(group).agg(F.sum("amount").alias("amount"), F.sum("n").alias("n"))
 
 

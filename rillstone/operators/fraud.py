@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from rillstone.functions.text import fill
 from rillstone.functions.time import millis_text
 from rillstone.operators.rolling import roll, rolling_sum
-from rillstone.operators.skew import ROWS_PER_TASK
 
 # Fixed values of the rule set.  Scores are hundredths: whole numbers decide the boundary cases exactly.
 AMOUNT_TIERS = [(100000, 35, "VERY_HIGH_AMOUNT"), (50000, 25, "HIGH_AMOUNT"), (20000, 15, "MEDIUM_AMOUNT")]
@@ -17,9 +17,9 @@ CURRENCY_SCORE, CURRENCY_TEXT = 8, "UNUSUAL_CURRENCY"
 ROUND_UNIT, ROUND_ABOVE, ROUND_SCORE, ROUND_TEXT = 1000, 50000, 12, "ROUND_AMOUNT_PATTERN"
 TOP_SCORE, FLAG_ABOVE = 100, 35
 ALERT = (
-    "🚨 FRAUD DETECTED\n  TxnID: %s | Amount: $%d %s | Score: %.2f\n  Route: %s → %s\n  Reasons: %s\n  Time: %s\n"
+    "🚨 FRAUD DETECTED\n  TxnID: {} | Amount: ${} {} | Score: {}\n  Route: {} → {}\n  Reasons: {}\n  Time: {}\n"
 )
-NORMAL = "✓ NORMAL | TxnID: %s | $%d %s | %s → %s | Score: %.2f | Time: %s"
+NORMAL = "✓ NORMAL | TxnID: {} | ${} {} | {} → {} | Score: {} | Time: {}"
 
 
 def _tagged(text: str, inner: Column) -> Column:
@@ -72,23 +72,26 @@ def reason_text(separator: str = " | ") -> Column:
     return F.array_join("reasons", separator)
 
 
+def score_text() -> Column:
+    """The score as a number with two decimals."""
+    return (F.col("score") / 100).cast("decimal(5,2)")
+
+
 def alert_text() -> Column:
     """The multi-line alert of a flagged transaction."""
-    return F.format_string(
-        ALERT, "txn_id", "amount", "currency", F.col("score") / 100, "source", "destination",
-        reason_text(), millis_text(F.col("ts")),
+    return fill(
+        ALERT, "txn_id", "amount", "currency", score_text(), "source", "destination", reason_text(),
+        millis_text(F.col("ts")),
     )
 
 
 def normal_text() -> Column:
     """The one-line report of a transaction that is not flagged."""
-    return F.format_string(
-        NORMAL, "txn_id", "amount", "currency", "source", "destination", F.col("score") / 100, millis_text(F.col("ts"))
-    )
+    return fill(NORMAL, "txn_id", "amount", "currency", "source", "destination", score_text(), millis_text(F.col("ts")))
 
 
 def velocity(
-    df: DataFrame, keys: list[str], time: str, seconds: int, at_least: int, rows_per_task: int = ROWS_PER_TASK
+    df: DataFrame, keys: list[str], time: str, seconds: int, at_least: int, rows_per_task: int | None = None
 ) -> DataFrame:
     """Seconds in which a key had `at_least` records within the last `seconds`, this second included.
 

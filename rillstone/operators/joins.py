@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rillstone.functions.geo import cell, haversine_km, neighbour_cells
 from rillstone.operators.rolling import roll, rolling_last_known
-from rillstone.operators.sizing import BROADCAST_BYTES, BROADCAST_ROWS, fits_broadcast
-from rillstone.operators.skew import ROWS_PER_TASK, heavy_join_keys, same
+from rillstone.operators.sizing import fits_broadcast
+from rillstone.operators.skew import heavy_join_keys, rows_limit, same
 
 MISSING = "NULL"  # fixed value: text an outer join shows for an absent side
 
@@ -51,7 +51,7 @@ def equi_join(
     on: str | Sequence[str] | Mapping[str, str],
     how: str = "inner",
     hint: tuple[str, str] | None = None,
-    rows_per_task: int = ROWS_PER_TASK,
+    rows_per_task: int | None = None,
 ) -> DataFrame:
     """Join on equal keys; the key columns (left names) come first, then the other columns of both sides.
 
@@ -76,13 +76,14 @@ def _grid_join(
     how: str,
     hint: tuple[str, str] | None,
     heavy: DataFrame | tuple[int, int],
-    rows_per_task: int,
+    rows_per_task: int | None,
     condition: Column | None = None,
 ) -> DataFrame:
     """`heavy` holds the counts of the heavy keys, or without keys the two row counts."""
+    most = rows_limit(left, rows_per_task)
 
     def slots(count: Column) -> Column:
-        return F.greatest(F.ceil(count / rows_per_task), F.lit(1)).cast("bigint")
+        return F.greatest(F.ceil(count / most), F.lit(1)).cast("bigint")
 
     def sized(df: DataFrame) -> DataFrame:
         if isinstance(heavy, tuple):
@@ -135,7 +136,7 @@ def named_join(
     how: str = "inner",
     strategy: str = "auto",
     missing: str = MISSING,
-    rows_per_task: int = ROWS_PER_TASK,
+    rows_per_task: int | None = None,
 ) -> DataFrame:
     """Equi-join whose absent text values read `missing`; `how` is inner, left, right or full."""
     joined = hinted_join(left, right, on, strategy, how, rows_per_task=rows_per_task)
@@ -152,9 +153,9 @@ def hinted_join(
     on: str | Sequence[str] | Mapping[str, str],
     strategy: str = "auto",
     how: str = "inner",
-    rows_per_task: int = ROWS_PER_TASK,
-    max_rows: int = BROADCAST_ROWS,
-    max_bytes: int = BROADCAST_BYTES,
+    rows_per_task: int | None = None,
+    max_rows: int | None = None,
+    max_bytes: int | None = None,
 ) -> DataFrame:
     """Equi-join with a named strategy.
 
@@ -174,7 +175,7 @@ def hinted_join(
 
 
 def sql_join(
-    left: DataFrame, right: DataFrame, hint: str, condition: str, columns: str, max_rows: int = BROADCAST_ROWS
+    left: DataFrame, right: DataFrame, hint: str, condition: str, columns: str, max_rows: int | None = None
 ) -> DataFrame:
     """Inner join written in SQL over `l` and `r` with a hint comment.
 
@@ -198,8 +199,8 @@ def theta_join(
     left: DataFrame,
     right: DataFrame,
     condition: Column,
-    rows_per_task: int = ROWS_PER_TASK,
-    max_rows: int = BROADCAST_ROWS,
+    rows_per_task: int | None = None,
+    max_rows: int | None = None,
 ) -> DataFrame:
     """Inner join on any predicate.  A small right side is broadcast; otherwise rows meet in a grid of cells.
 
@@ -215,8 +216,8 @@ def lookup_join(
     dimension: DataFrame,
     on: str | Sequence[str] | Mapping[str, str],
     how: str = "left",
-    rows_per_task: int = ROWS_PER_TASK,
-    max_rows: int = BROADCAST_ROWS,
+    rows_per_task: int | None = None,
+    max_rows: int | None = None,
     small: bool | None = None,
 ) -> DataFrame:
     """Enrich `facts` (static or streaming) with a static dimension.
@@ -243,7 +244,7 @@ def asof_join(
     right_order: Sequence[str],
     columns: Sequence[str],
     inclusive: bool = True,
-    rows_per_task: int = ROWS_PER_TASK,
+    rows_per_task: int | None = None,
 ) -> DataFrame:
     """Each left row with `columns` of the latest right row of its key (null when there is none).
 
@@ -322,7 +323,7 @@ def nearby_join(
     left_at: tuple[str, str],
     right_at: tuple[str, str],
     km: float,
-    rows_per_task: int = ROWS_PER_TASK,
+    rows_per_task: int | None = None,
 ) -> DataFrame:
     """Pairs of points less than `km` apart; the points are (latitude, longitude) columns in degrees.
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rillstone.operators.rolling import with_lags
-from rillstone.operators.skew import ROWS_PER_TASK, position
+from rillstone.operators.skew import position
 
 
 def strict_sequence(
@@ -17,7 +17,7 @@ def strict_sequence(
     status: str,
     steps: Sequence[str],
     within_seconds: int,
-    rows_per_task: int = ROWS_PER_TASK,
+    rows_per_task: int | None = None,
 ) -> DataFrame:
     """Rows that complete `steps` as consecutive events of their key, first to last within the limit.
 

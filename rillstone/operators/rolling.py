@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
-from rillstone.operators.skew import HEAVY, ROWS_PER_TASK, cut_heavy, position, same
+from rillstone.operators.skew import HEAVY, cut_heavy, position, same
 
 
 @dataclass(frozen=True)
@@ -136,7 +136,7 @@ def roll(
     order: Sequence[str],
     *aggregates: Rolling,
     probe: DataFrame | None = None,
-    rows_per_task: int = ROWS_PER_TASK,
+    rows_per_task: int | None = None,
 ) -> DataFrame:
     """`df` plus one column per rolling aggregate, per key in `order`.
 
@@ -171,7 +171,7 @@ def with_lags(
     columns: Sequence[str],
     depth: int,
     prefix: str = "lag_",
-    rows_per_task: int = ROWS_PER_TASK,
+    rows_per_task: int | None = None,
 ) -> DataFrame:
     """`df` plus `lag_1` .. `lag_<depth>`: structs of `columns` of the preceding rows of the key."""
     value = F.struct(*columns)

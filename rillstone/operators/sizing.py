@@ -4,17 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-BROADCAST_ROWS = 2_000_000
-BROADCAST_BYTES = 256 * 1024 * 1024
+from rillstone.session import limit
+
+BROADCAST_ROWS = 2_000_000  # setting spark.rillstone.broadcastRows
+BROADCAST_BYTES = 256 * 1024 * 1024  # setting spark.rillstone.broadcastBytes
 
 _FIXED_WIDTH = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+def fits_broadcast(df: DataFrame, max_rows: int | None = None, max_bytes: int | None = None) -> bool:
     """True when an exact count of the rows and bytes of `df` stays below both limits.
 
     One partially aggregated pass over the side itself; nothing but the two totals reaches the driver.
     """
+    spark = df.sparkSession
+    max_rows = limit(spark, max_rows, "spark.rillstone.broadcastRows", BROADCAST_ROWS)
+    max_bytes = limit(spark, max_bytes, "spark.rillstone.broadcastBytes", BROADCAST_BYTES)
     width = F.lit(0)
     for field in df.schema.fields:
         name = F.col(f"`{field.name}`")

@@ -18,7 +18,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-ROWS_PER_TASK = 4_000_000
+from rillstone.session import limit
+
+ROWS_PER_TASK = 4_000_000  # setting spark.rillstone.rowsPerTask
 MAX_HEAVY = 100_000
 RANGES_PER_TASK = 4
 MAX_LEVELS = 6
@@ -30,6 +32,10 @@ _HIT = "_hit"
 _WIDTH = "_width"
 
 
+def rows_limit(df: DataFrame, rows_per_task: int | None) -> int:
+    return limit(df.sparkSession, rows_per_task, "spark.rillstone.rowsPerTask", ROWS_PER_TASK)
+
+
 def position(df: DataFrame, name: str) -> Column:
     """The ordering column as a long, keeping its order."""
     kind = df.schema[name].dataType
@@ -127,7 +133,7 @@ def _ranges(n: int, rows_per_task: int) -> int:
 
 
 def plan_chunks(
-    df: DataFrame, keys: Sequence[str], order: str, rows_per_task: int = ROWS_PER_TASK, chunk: str = "_chunk"
+    df: DataFrame, keys: Sequence[str], order: str, rows_per_task: int | None = None, chunk: str = "_chunk"
 ) -> ChunkPlan | None:
     """Ranges for every key of `df` with more than `rows_per_task` rows, or None when there is none.
 
@@ -135,6 +141,7 @@ def plan_chunks(
     distributions end up even too.  Rows that share key and position stay together.
     """
     spark = df.sparkSession
+    rows_per_task = rows_limit(df, rows_per_task)
     at = position(df, order)
     key_fields = [T.StructField(k, df.schema[k].dataType) for k in keys]
     suspects = _in_full_buckets(df, keys, [F.count(F.lit(1))], rows_per_task)
@@ -189,7 +196,7 @@ def cut_heavy(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    rows_per_task: int = ROWS_PER_TASK,
+    rows_per_task: int | None = None,
     probe: DataFrame | None = None,
 ) -> Cut | None:
     """Cut the heavy keys of `df` along `order`, or None when no key is heavy.
@@ -213,10 +220,11 @@ def cut_heavy(
 
 
 def heavy_join_keys(
-    left: DataFrame, right: DataFrame, on: Sequence[str], rows_per_task: int = ROWS_PER_TASK
+    left: DataFrame, right: DataFrame, on: Sequence[str], rows_per_task: int | None = None
 ) -> DataFrame | None:
     """Join keys with more than `rows_per_task` rows on a side, with the row counts `_nl` and `_nr`."""
     names = list(on)
+    rows_per_task = rows_limit(left, rows_per_task)
     both = left.select(*names, F.lit(1).alias("_l"), F.lit(0).alias("_r")).unionAll(
         right.select(*names, F.lit(0).alias("_l"), F.lit(1).alias("_r"))
     )

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from rillstone.functions.text import fill
 from rillstone.functions.time import MILLIS, SECONDS, text
 
 
@@ -71,19 +72,15 @@ def streaming_sessions(df: DataFrame, time: str, gap: str, keys: Sequence[str],
 
 def window_line(key_label: str, key: str, value_label: str, value: str) -> Column:
     """`Store: S1 | Total Sales: 31 | Window: [start → end]`."""
-    return F.format_string(
-        f"{key_label}: %s | {value_label}: %d | Window: [%s → %s]",
-        key, value, text(F.col("window_start")), text(F.col("window_end")),
-    )
+    template = f"{key_label}: {{}} | {value_label}: {{}} | Window: [{{}} → {{}}]"
+    return fill(template, key, value, text(F.col("window_start")), text(F.col("window_end")))
 
 
 def count_sum_line(key: str, count: str, total: str) -> Column:
     """`WindowStart=..., Key=..., Count=..., Sum=...`."""
-    return F.format_string(
-        "WindowStart=%s, Key=%s, Count=%d, Sum=%d", text(F.col("window_start"), SECONDS), key, count, total
-    )
+    return fill("WindowStart={}, Key={}, Count={}, Sum={}", text(F.col("window_start"), SECONDS), key, count, total)
 
 
 def total_line(time: str, total: str) -> Column:
     """`2024-01-01 00:00:05.000,35`."""
-    return F.concat_ws(",", text(F.col(time), MILLIS), F.col(total).cast("string"))
+    return fill("{},{}", text(F.col(time), MILLIS), total)

@@ -30,6 +30,11 @@ def build_session(app: str = "rillstone", master: str | None = None, conf: dict[
     return builder.getOrCreate()
 
 
+def limit(spark: SparkSession, given: int | None, name: str, default: int) -> int:
+    """A size limit: the given one, else the session setting `name`, else the default."""
+    return given if given is not None else int(spark.conf.get(name, None) or default)
+
+
 def use_utc(spark: SparkSession) -> SparkSession:
     """Pin the session zone: epoch-aligned windows and rendered times must not depend on the host."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":

@@ -34,6 +34,24 @@ def test_query(spark, db, name):
     assert _table(got.columns, [tuple(r) for r in got.collect()]) == _table(names, want.fetchall())
 
 
+HEAVY = [
+    "length_parity", "rolling_sum", "rolling_min_by_last", "rolling_max_by", "rolling_avg", "velocity_1min", "join_asof",
+    "join_inner", "join_left", "join_right", "join_full", "join_hint_broadcast_first", "join_hint_shuffle_hash_second",
+    "join_theta", "sql_hint_broadcast", "fraud_score", "enrich_spend_by_segment", "pattern_fail_then_success", "avg_per_driver",
+]
+
+
+@pytest.mark.parametrize("name", HEAVY)
+def test_query_when_every_key_is_heavy_and_nothing_is_small(spark, db, name):
+    spark.conf.set("spark.rillstone.rowsPerTask", "15")
+    spark.conf.set("spark.rillstone.broadcastRows", "3")
+    try:
+        test_query(spark, db, name)
+    finally:
+        spark.conf.unset("spark.rillstone.rowsPerTask")
+        spark.conf.unset("spark.rillstone.broadcastRows")
+
+
 def test_entry(spark):
     assert entry(spark).count() > 0
 
