@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rillstone.functions.text import trim_controls
@@ -82,3 +83,33 @@ def conversion(df: DataFrame, keys: Sequence[str], kind: str, seen: str, bought:
         F.count_if(F.col(kind) == seen).alias("views"),
         F.count_if(F.col(kind) == bought).alias("purchases"),
     ).withColumn("rate", F.col("purchases") / F.nullif(F.col("views"), F.lit(0)))
+
+
+def accumulate(
+    df: DataFrame,
+    keys: Sequence[str],
+    schema: str,
+    add: Callable[[pd.DataFrame], pd.DataFrame],
+    merge: Callable[[pd.DataFrame], pd.DataFrame],
+    flush_rows: int = 200_000,
+) -> DataFrame:
+    """A user-defined aggregate for what the built-in ones cannot express.
+
+    `add` turns rows into accumulators and `merge` combines accumulators, both to one row per key with the
+    columns of `schema`.  Each task merges its own batches before the shuffle, so a heavy key sends at most a
+    few accumulators per task.
+    """
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
+        for batch in batches:
+            if len(batch) == 0:
+                continue
+            fresh = add(batch)
+            held = fresh if held is None else merge(pd.concat([held, fresh], ignore_index=True))
+            if len(held) > flush_rows:  # too many keys to hold
+                yield held
+                held = None
+        if held is not None:
+            yield held
+
+    return df.mapInPandas(partial, schema).groupBy(*keys).applyInPandas(merge, schema)

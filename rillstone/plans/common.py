@@ -21,7 +21,7 @@ def instant(column: str) -> Column:
     return F.col(column).cast("timestamp")
 
 
-def events(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+def events(spark: SparkSession, folder: str, *columns: str | Column) -> DataFrame:
     """The event table with `ts` as an instant and `cents`."""
     return in_cents(table(spark, folder, "events")).select(*columns)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rillstone.operators import enrich, joins
 from rillstone.plans.common import cents, events, shown
@@ -96,6 +96,22 @@ def enrich_spend_by_segment(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _placed(df: DataFrame, key: str, lat: str, lon: str, shift: Column) -> DataFrame:
+    """Positions derived from the key; equal keys of two tables lie `shift` degrees apart."""
+    return df.select(
+        key,
+        ((F.col(key) * 7919 % 16001) / 100.0 - 80.0 + shift).alias(lat),
+        ((F.col(key) * 104729 % 36007) / 100.0 - 180.0).alias(lon),
+    )
+
+
+def join_nearby(spark: SparkSession, folder: str) -> DataFrame:
+    rides = _placed(table(spark, folder, "customer"), "c_custkey", "lat", "lon", (F.col("c_custkey") % 7) * 0.004)
+    drivers = _placed(table(spark, folder, "supplier"), "s_suppkey", "driver_lat", "driver_lon", F.lit(0.0))
+    near = joins.nearby_join(rides, drivers, ("lat", "lon"), ("driver_lat", "driver_lon"), 2.0)
+    return near.select("c_custkey", "s_suppkey", F.round(F.col("distance_km") * 1000).cast("bigint").alias("metres"))
+
+
 QUERIES = {
     **{f"join_{how}": _named(how) for how in ("inner", "left", "right", "full")},
     **{f"join_hint_{s}": _hinted(s) for s in joins.STRATEGIES},
@@ -104,8 +120,8 @@ QUERIES = {
     **{
         f.__name__: f
         for f in (
-            sql_hint_nest_loop, join_theta, join_asof, join_window, join_window_sliding, order_ship_delay,
-            enrich_spend_by_segment,
+            sql_hint_nest_loop, join_theta, join_asof, join_window, join_window_sliding, join_nearby,
+            order_ship_delay, enrich_spend_by_segment,
         )
     },
 }
@@ -149,6 +165,17 @@ ORACLES = {
         FROM (SELECT * FROM events WHERE event_type = 'purchase') p
         ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v
           ON p.user_id = v.user_id AND p.ts > v.ts""",
+    "join_nearby": """
+        SELECT c_custkey, s_suppkey, CAST(round(km * 1000) AS BIGINT) AS metres FROM (
+          SELECT c_custkey, s_suppkey, 2 * 6371.0::DOUBLE * asin(sqrt(
+              pow(sin(radians(b.lat - a.lat) / 2), 2)
+              + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))) AS km
+          FROM (SELECT c_custkey, (c_custkey * 7919 % 16001) / 100.0::DOUBLE - 80 + (c_custkey % 7) * 0.004::DOUBLE AS lat,
+                       (c_custkey * 104729 % 36007) / 100.0::DOUBLE - 180 AS lon FROM customer) a
+          JOIN (SELECT s_suppkey, (s_suppkey * 7919 % 16001) / 100.0::DOUBLE - 80 AS lat,
+                       (s_suppkey * 104729 % 36007) / 100.0::DOUBLE - 180 AS lon FROM supplier) b
+            ON abs(a.lat - b.lat) < 0.02::DOUBLE)
+        WHERE km < 2""",
     "join_window": _window_sql(1, "a.c AS click_cents, b.c AS purchase_cents,"),
     "join_window_sliding": _window_sql(2, ""),
     "order_ship_delay": """

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rillstone.operators import aggregates, rolling as r
@@ -51,7 +52,22 @@ def final_aggs(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("user_id", "n", "total", "smallest", "largest", "mean", *firsts)
 
 
+def accumulator(spark: SparkSession, folder: str) -> DataFrame:
+    """Count, sum and sum of squares by a user-defined accumulator."""
+    whole = events(spark, folder, "event_type", F.floor("value").alias("total"))
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.groupby("event_type", as_index=False, dropna=False)[["n", "total", "squares"]].sum()
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        return merge(pdf.assign(n=1, squares=pdf["total"] ** 2))
+
+    schema = "event_type string, n bigint, total bigint, squares bigint"
+    return aggregates.accumulate(whole, ["event_type"], schema, add, merge)
+
+
 QUERIES = {
+    "accumulator": accumulator,
     "rolling_sum": _field_only(r.rolling_sum("cents", "_sum")),
     "rolling_min": _field_only(r.rolling_min("cents", "_min")),
     "rolling_max": _field_only(r.rolling_max("cents", "_max")),
@@ -83,6 +99,10 @@ def _record_sql(fn: str, sign: str) -> str:
 
 
 ORACLES = {
+    "accumulator": """
+        SELECT event_type, count(*) AS n, CAST(sum(floor(value)) AS BIGINT) AS total,
+               CAST(sum(floor(value) * floor(value)) AS BIGINT) AS squares
+        FROM events GROUP BY 1""",
     "rolling_sum": _field_sql("sum"),
     "rolling_min": _field_sql("min"),
     "rolling_max": _field_sql("max"),

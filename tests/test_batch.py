@@ -196,6 +196,24 @@ def test_reports(spark):
     assert aggregates.conversion(df, ["g"], "i", "z", "y").first()["rate"] is None
 
 
+def test_user_defined_accumulator(spark):
+    """Extremes of a ratio, held as (key, low, high); tasks flush when they hold too many keys."""
+    rows = [(f"k{i % 5}", float(i * 37 % 101), float(i % 7 + 1)) for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, a double, b double").repartition(4)
+
+    def merge(pdf):
+        return pdf.groupby("k", as_index=False).agg(low=("low", "min"), high=("high", "max"))
+
+    def add(pdf):
+        ratio = pdf["a"] / pdf["b"]
+        return merge(pdf.assign(low=ratio, high=ratio)[["k", "low", "high"]])
+
+    want = sorted((k, min(a / b for x, a, b in rows if x == k), max(a / b for x, a, b in rows if x == k)) for k in {r[0] for r in rows})
+    for flush in (200_000, 1):
+        out = aggregates.accumulate(df, ["k"], "k string, low double, high double", add, merge, flush)
+        assert rows_of(out) == want
+
+
 def test_top_groups_rank_before_the_shuffle(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("g"), (F.col("id") % 50).alias("i"))
     assert "WindowGroupLimit" in plan_of(aggregates.top_groups(df, ["g"], ["i"], 5))
