@@ -43,7 +43,7 @@ def _parsed(part: Column, kind: str) -> Column:
 
 def _checked(df: DataFrame, line: str, layout: Mapping[str, str], separator: str) -> DataFrame:
     values = {n: _parsed(F.get(F.col("_parts"), i), t) for i, (n, t) in enumerate(layout.items())}
-    reason = F.when(F.size("_parts") != len(layout), F.lit("column count"))
+    reason = F.when(~F.size("_parts").eqNullSafe(F.lit(len(layout))), F.lit("column count"))
     for name, kind in layout.items():
         if kind != "string":
             reason = reason.when(values[name].isNull(), F.lit(f"bad {name}"))

@@ -48,6 +48,7 @@ def test_parse_and_rejects_split_the_lines(spark):
         ("TXN1,5,USD,A,B,1.5", "bad ts"),
         ("[Ljava.lang.String;@1,[Ljava.lang.String;@1,[Ljava.lang.String;@1,a,b,c", "bad amount"),
         ("", "column count"),
+        (None, "column count"),
     ]
     df = spark.createDataFrame([(t,) for t in TRANSACTIONS] + [(b,) for b, _ in bad], "line string")
     assert parsing.parse(df, "line").first() == ("TXN001", 41000, "USD", "NY", "LA", 1764123211111)
