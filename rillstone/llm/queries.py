@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import simhash, toxicity
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,19 @@ def registered(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spa
     return query
 
 
+@registered
+def op2_toxicity_counterfactual(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = read(spark, folder, "documents")
+    model = toxicity.train(docs, read(spark, folder, "labels"))
+    return toxicity.scored(docs, model, ["doc_id"]).select(
+        "doc_id",
+        toxicity.held_out("doc_id").alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 @registered
 def op7_simhash_pigeonring(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and near-duplicate class of every document."""
