@@ -7,9 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash, toxicity
+from . import mixing, packing, simhash, toxicity
 from .common import read
 
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Where the public tokenizer files are; every machine has them."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -32,6 +40,14 @@ def op2_toxicity_counterfactual(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@registered
+def op5_mix_sainte_lague(spark: SparkSession, folder: str) -> DataFrame:
+    """Words that a mixture of the sources takes of every document."""
+    return mixing.mixed(read(spark, folder, "documents")).select(
+        F.col("id").alias("doc_id"), "size", "source_size", "target", "taken"
+    )
+
+
 @registered
 def op7_simhash_pigeonring(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and near-duplicate class of every document."""
@@ -41,3 +57,9 @@ def op7_simhash_pigeonring(spark: SparkSession, folder: str) -> DataFrame:
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
     )
+
+
+@registered
+def op9_pack_minimum_bin_slack(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents as token sequences of at most 1024 ids."""
+    return packing.packed(read(spark, folder, "documents"), tokenizer_path())

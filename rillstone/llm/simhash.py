@@ -231,7 +231,8 @@ def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classed = prints.join(found.withColumnRenamed("node", "fp"), "fp", "left").select(
         "id", "key", "fp", F.coalesce("root", "fp").alias("class_fp")
     )
-    smallest = classed.groupBy("class_fp").agg(F.min("id").alias("component_id"))
+    # written, so that the join below reads plain shuffles on both sides and a class of very many rows is split
+    smallest = stored(classed.groupBy("class_fp").agg(F.min("id").alias("component_id")), "smallest")
     return classed.join(smallest, "class_fp").select("id", "key", "fp", "class_fp", "component_id")
 
 
