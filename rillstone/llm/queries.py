@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, simhash, toxicity
+from . import mixing, packing, pii, simhash, toxicity
 from .common import read
 
 
@@ -63,3 +63,14 @@ def op7_simhash_pigeonring(spark: SparkSession, folder: str) -> DataFrame:
 def op9_pack_minimum_bin_slack(spark: SparkSession, folder: str) -> DataFrame:
     """All documents as token sequences of at most 1024 ids."""
     return packing.packed(read(spark, folder, "documents"), tokenizer_path())
+
+
+@registered
+def op10_pii_boosted_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every document: base spans, and those that the trees add."""
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    found = pii.spans(docs, pii.train(docs))
+    counts = [
+        F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{kind}") for i, kind in enumerate(pii.KINDS)
+    ]
+    return found.select("doc_id", *counts, F.sha2(pii.listed("base"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"))
