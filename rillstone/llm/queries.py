@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, packing, pii, simhash, toxicity
+from . import chat, mixing, multi_index, packing, pii, simhash, toxicity, vptree
 from .common import read
 
 
@@ -84,6 +84,12 @@ def op5_mix_sainte_lague(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@registered
+def op6_embedding_multi_index(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and classes of near-duplicate vectors."""
+    return multi_index.near_duplicates(read(spark, folder, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 @registered
 def op7_simhash_pigeonring(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and near-duplicate class of every document."""
@@ -95,6 +101,12 @@ def op7_simhash_pigeonring(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@registered
+def op8_nearest_vantage_point(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten nearest other vectors of every hundredth vector."""
+    return vptree.nearest(read(spark, folder, "embeddings"), F.col("id") % 100 == 0)
+
+
 @registered
 def op9_pack_minimum_bin_slack(spark: SparkSession, folder: str) -> DataFrame:
     """All documents as token sequences of at most 1024 ids."""
