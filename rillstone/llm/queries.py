@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, multi_index, packing, pii, simhash, toxicity, vptree
+from . import chat, language, mixing, multi_index, packing, pii, sharding, simhash, toxicity, vptree
 from .common import read
 
 
@@ -44,6 +44,13 @@ FROM written GROUP BY conv_id
 """
 
 
+@registered
+def op1_language_evidence_fusion(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every page."""
+    pages = read(spark, folder, "pages")
+    return language.identified(pages, read(spark, folder, "documents")).withColumnRenamed("id", "page_id")
+
+
 @registered
 def op2_toxicity_counterfactual(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity score of every document."""
@@ -76,6 +83,27 @@ def op3_chat_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@registered
+def op4_shard_extendible_hashing(spark: SparkSession, folder: str) -> DataFrame:
+    """The shard of every document."""
+    return sharding.sharded(read(spark, folder, "documents")).select(F.col("id").alias("doc_id"), "bytes", "depth", "shard")
+
+
+ORACLES["op4_shard_extendible_hashing"] = f"""
+WITH docs AS (
+    SELECT doc_id, coalesce(strlen(text), 0) AS bytes,
+        lpad(bin(('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT), 60, '0') AS bits
+    FROM documents
+), nodes AS (
+    SELECT depth, substr(bits, 1, depth) AS node, sum(bytes) AS held FROM docs, range(61) AS d(depth) GROUP BY ALL
+), placed AS (
+    SELECT doc_id, bytes, bits, min(depth) AS depth FROM docs JOIN nodes ON node = substr(bits, 1, depth)
+    WHERE held <= {sharding.SHARD_BYTES} GROUP BY ALL
+)
+SELECT doc_id, bytes::BIGINT AS bytes, depth::INTEGER AS depth, substr(bits, 1, depth) AS shard FROM placed
+"""
+
+
 @registered
 def op5_mix_sainte_lague(spark: SparkSession, folder: str) -> DataFrame:
     """Words that a mixture of the sources takes of every document."""
