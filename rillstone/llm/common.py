@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rillstone.session import fresh_dir
 
@@ -25,7 +26,8 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
 
 def row_key(df: DataFrame) -> Column:
     """A hash of all columns, nulls included, to tell apart rows that share an id."""
-    columns = [F.col(f"`{name}`") for name in sorted(df.columns)]
+    fields = sorted(df.schema, key=lambda f: f.name)
+    columns = [F.map_entries(f"`{f.name}`") if isinstance(f.dataType, T.MapType) else F.col(f"`{f.name}`") for f in fields]
     return F.xxhash64(*columns, *[c.isNull() for c in columns])
 
 

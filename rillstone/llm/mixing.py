@@ -192,9 +192,9 @@ def mixture(docs: DataFrame, source_col: str = "source", text_col: str = "text",
     if not plan.where("__rows > 1").limit(1).isEmpty():
         keyed = keyed.dropDuplicates([id_col, "__key"])
     joined = keyed.join(plan, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__hash")))
-    whole = F.expr("p.size = p.to_1 - p.from_1 + p.to_2 - p.from_2")
-    copies = joined.withColumn("p", F.explode(F.concat(F.array_repeat(F.lit(None).cast(plan.schema["__parts"].dataType.elementType), F.col("__turns").cast("int")), "__parts")))
+    whole = F.expr("__part.size = __part.to_1 - __part.from_1 + __part.to_2 - __part.from_2")
+    copies = joined.withColumn("__part", F.explode(F.concat(F.array_repeat(F.lit(None).cast(plan.schema["__parts"].dataType.elementType), F.col("__turns").cast("int")), "__parts")))
     spaced = F.regexp_extract_all(F.col(text_col), F.lit(rf"[\x20\x09-\x0D]*{WORDS}"), F.lit(0))
-    cut = lambda a, b: F.array_join(F.slice(spaced, F.expr(f"CAST(p.{a} + 1 AS INT)"), F.expr(f"CAST(p.{b} - p.{a} AS INT)")), "")
-    text = F.when(F.col("p").isNull() | whole, F.col(text_col)).otherwise(F.concat(cut("from_2", "to_2"), cut("from_1", "to_1")))
+    cut = lambda a, b: F.array_join(F.slice(spaced, F.expr(f"CAST(__part.{a} + 1 AS INT)"), F.expr(f"CAST(__part.{b} - __part.{a} AS INT)")), "")
+    text = F.when(F.col("__part").isNull() | whole, F.col(text_col)).otherwise(F.concat(cut("from_2", "to_2"), cut("from_1", "to_1")))
     return copies.withColumn(text_col, text).select(*[f"`{name}`" for name in docs.columns])

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import row_key, stored
 
@@ -109,8 +110,8 @@ def _pieces(path: str, end_id: int, most: int, keep_ids: bool):
 def pieces(docs: DataFrame, tokenizer: str, keep: Sequence[str], text_col: str = "text", end_id: int = 2, most: int = MAX_TOKENS, keep_ids: bool = False) -> DataFrame:
     """One row per piece: the columns `keep`, piece, start, length, ids_crc32, and the ids as bytes if asked for."""
     rows = docs.select(*[F.col(f"`{k}`") for k in keep], row_key(docs).alias("__key"), F.col(f"`{text_col}`").cast("binary").alias("__text"))
-    kinds = [f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep]
-    schema = ", ".join([*kinds, "__key long", "piece int, start long, length long, ids_crc32 long, __serial long", *(["ids binary"] if keep_ids else [])])
+    added = "__key long, piece int, start long, length long, ids_crc32 long, __serial long" + (", ids binary" if keep_ids else "")
+    schema = T.StructType([*(docs.schema[k] for k in keep), *T.StructType.fromDDL(added)])
     return rows.mapInArrow(_pieces(tokenizer, end_id, most, keep_ids), schema)
 
 
@@ -222,5 +223,5 @@ def packed(
     kept = [*(f"`{k}`" for k in keep), "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])]
     numbered = table.withColumn("__inside", F.row_number().over(inside)).join(starts, ["length", "__block"])
     numbered = numbered.select(*kept, (F.col("__before") + F.col("__inside") - 1).alias("__number"))
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in numbered.schema if f.name != "__number"]
-    return numbered.mapInArrow(_placed(_slots(patterns(counts, most))), ", ".join([*kinds, "sequence_id long, offset long"]))
+    schema = T.StructType([*(f for f in numbered.schema if f.name != "__number"), *T.StructType.fromDDL("sequence_id long, offset long")])
+    return numbered.mapInArrow(_placed(_slots(patterns(counts, most))), schema)

@@ -267,8 +267,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trees
     return fit([(r["kind"], tuple(r[f] for f in FEATURES), r["label"], r["part"], r["count"]) for r in grouped], trees, precision)
 
 
-def spans(docs: DataFrame, model: Trees, text_col: str = "text") -> DataFrame:
-    """`docs` with `base` and `spans`: arrays of (start, kind, stop), kind as a number in KINDS, in order.
+def spans(docs: DataFrame, model: Trees, text_col: str = "text", base_col: str = "base", spans_col: str = "spans") -> DataFrame:
+    """`docs` with two columns, `base` and `spans`: arrays of (start, kind, stop), kind as a number in KINDS, in order.
 
     Places are code points, the end exclusive.  `spans` holds the base spans and the selected candidates that don't
     overlap a base span or a better candidate.  Null and empty texts have none.  Rows, repeated ones included, stay
@@ -288,9 +288,8 @@ def spans(docs: DataFrame, model: Trees, text_col: str = "text") -> DataFrame:
     rank = lambda x: F.struct(-x["score"], x["kind"], x["start"])
     best = F.filter("__wide", lambda x: ~F.exists("__wide", lambda y: meets(x, y) & (rank(y) < rank(x))))
     extra = F.when(F.size("__wide") > 0, F.transform(best, key))
-    return found.withColumn("spans", ordered(F.concat("__base", F.coalesce(extra, F.slice("__base", 1, 0))))).withColumn(
-        "base", ordered(F.col("__base"))
-    ).drop("__base", "__wide")
+    found = found.withColumn(spans_col, ordered(F.concat("__base", F.coalesce(extra, F.slice("__base", 1, 0)))))
+    return found.withColumn(base_col, ordered(F.col("__base"))).drop("__base", "__wide")
 
 
 def listed(column: str) -> Column:
@@ -304,7 +303,7 @@ def redacted(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", le
 
     Spans that overlap are replaced as one, under the kind of the first.  `length_col`, if it is a column, gets the new length.
     """
-    found = spans(docs, train(docs, id_col, text_col), text_col)
+    found = spans(docs, train(docs, id_col, text_col), text_col, "__base_spans", "__spans")
     text = F.col(f"`{text_col}`")
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
 
@@ -318,8 +317,8 @@ def redacted(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", le
 
     begin = F.struct(F.lit(0).cast("long").alias("at"), F.expr("CAST(array() AS array<string>)").alias("out"))
     tail = lambda state: F.concat(F.array_join(state["out"], ""), F.substring(text, (state["at"] + 1).cast("int"), F.length(text)))
-    out = found.withColumn("__new", F.when(F.size("spans") > 0, F.aggregate("spans", begin, step, tail)).otherwise(text))
+    out = found.withColumn("__new", F.when(F.size("__spans") > 0, F.aggregate("__spans", begin, step, tail)).otherwise(text))
     changed = {text_col: F.col("__new")}
     if length_col and length_col in docs.columns:
-        changed[length_col] = F.when(F.size("spans") > 0, F.length("__new").cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col))
+        changed[length_col] = F.when(F.size("__spans") > 0, F.length("__new").cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col))
     return out.select(*[changed.get(n, F.col(f"`{n}`")).alias(n) for n in docs.columns])

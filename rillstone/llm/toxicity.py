@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Size of the hash space of features; the model keeps those with a weight.
@@ -248,8 +249,8 @@ def scored(docs: DataFrame, model: Model, keep: Sequence[str], text_col: str = "
     the score.  An empty table gives no rows.
     """
     rows = docs.select(*[F.col(f"`{k}`") for k in keep], F.col(f"`{text_col}`").cast("binary").alias("__text"))
-    fields = [f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep]
-    return rows.mapInArrow(_score(model), ", ".join([*fields, "__score double"])).withColumnRenamed("__score", score_col)
+    schema = T.StructType([*(docs.schema[k] for k in keep), T.StructField("__score", T.DoubleType())])
+    return rows.mapInArrow(_score(model), schema).withColumnRenamed("__score", score_col)
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
