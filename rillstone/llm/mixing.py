@@ -182,12 +182,12 @@ def mixture(docs: DataFrame, source_col: str = "source", text_col: str = "text",
     Parts keep the white space before their words.  Identical rows are told apart by nothing, so what is taken of
     them together is given out to one of them.
     """
-    taken = mixed(docs, source_col=source_col, text_col=text_col, id_col=id_col, **options).where("taken > 0")
+    taken = mixed(docs, source_col=source_col, text_col=text_col, id_col=id_col, **options)
     part = F.struct("from_1", "to_1", "from_2", "to_2", "size")
     plan = taken.groupBy(F.col("id").alias("__id"), F.col("key").alias("__hash")).agg(
-        F.sum("turns").alias("__turns"), F.collect_list(F.when(F.expr("to_1 > from_1 OR to_2 > from_2"), part)).alias("__parts"), F.count("*").alias("__rows")
+        F.sum("turns").alias("__turns"), F.collect_list(F.when(F.expr("to_1 > from_1 OR to_2 > from_2"), part)).alias("__parts"), F.count("*").alias("__rows"), F.sum("taken").alias("__taken")
     )
-    plan = stored(plan, "mixture")
+    plan = stored(plan.where("__taken > 0").drop("__taken"), "mixture")
     keyed = docs.withColumn("__key", row_key(docs))
     if not plan.where("__rows > 1").limit(1).isEmpty():
         keyed = keyed.dropDuplicates([id_col, "__key"])

@@ -111,5 +111,5 @@ def _cut(rows: DataFrame, shard_bytes: int) -> DataFrame:
 
 def write_sharded(docs: DataFrame, path: str, shard_bytes: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write `docs` with one folder of Parquet per shard; ids must be unique and not null."""
-    placed = sharded(docs, shard_bytes, id_col, text_col).select(F.col("id").alias(id_col), F.col("shard").alias("__shard"))
+    placed = sharded(docs, shard_bytes, id_col, text_col).select(F.col("id").alias(id_col), F.concat(F.lit("bits-"), "shard").alias("__shard"))
     docs.join(placed, id_col).repartition("__shard").write.partitionBy("__shard").parquet(path)
