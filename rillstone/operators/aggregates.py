@@ -27,13 +27,17 @@ def truncated_mean(column: str) -> Column:
 def final_state(
     df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], record: Sequence[str]
 ) -> DataFrame:
-    """Per key the last emission of every rolling aggregate: count, sum, min, max, mean and extreme records."""
+    """Per key the last emission of every rolling aggregate: count, sum, min, max, mean and extreme records.
+
+    Null values count as rows and nothing else: not in the mean, nor as an extreme.
+    """
     def ranked(largest: bool, last: bool) -> Column:
         return extreme_record(df, value, order, record, largest, last)
 
     out = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(value).alias("total"),
+        F.avg(value).alias("_mean"),
         F.min(value).alias("smallest"),
         F.max(value).alias("largest"),
         F.min(ranked(False, False)).alias("_min_first"),
@@ -43,7 +47,7 @@ def final_state(
     )
     records = ("min_first", "min_last", "max_first", "max_last")
     return out.select(
-        *keys, "n", "total", "smallest", "largest", (F.col("total") / F.col("n")).alias("mean"),
+        *keys, "n", "total", "smallest", "largest", F.col("_mean").alias("mean"),
         *[F.col(f"_{r}")["_r"].alias(r) for r in records],
     )
 
@@ -57,6 +61,13 @@ def ratio_report(df: DataFrame, keys: Sequence[str], total: str, rows: str, amou
     )
 
 
+def merged_ratio(df: DataFrame, keys: Sequence[str], total: str, rows: str) -> DataFrame:
+    """`ratio_report` from partial sums and counts."""
+    return df.groupBy(*keys).agg(
+        F.sum(total).alias(total), F.sum(rows).alias(rows), (F.sum(total) / F.sum(rows)).alias("average")
+    )
+
+
 def top_groups(df: DataFrame, group: Sequence[str], item: Sequence[str], k: int, count: str = "n") -> DataFrame:
     """The `k` most frequent items of each group; ties go to the smaller item.
 
@@ -67,6 +78,11 @@ def top_groups(df: DataFrame, group: Sequence[str], item: Sequence[str], k: int,
     return counted.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def largest(df: DataFrame, item: str, value: str) -> DataFrame:
+    """The one item with the largest sum of `value`; ties go to the smaller item."""
+    return df.groupBy(item).agg(F.sum(value).alias(value)).orderBy(F.desc(value), item).limit(1)
+
+
 def most_frequent(df: DataFrame, item: str, count: str = "n") -> DataFrame:
     """The one item with the most rows; ties go to the smaller item."""
     return df.groupBy(item).agg(F.count(F.lit(1)).alias(count)).orderBy(F.desc(count), item).limit(1)

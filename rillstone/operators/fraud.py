@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rillstone.functions.text import fill
 from rillstone.functions.time import millis_text
-from rillstone.operators.rolling import roll, rolling_sum
+from rillstone.operators.rolling import roll, rolling_sum, with_lags
 
 # Fixed values of the rule set.  Scores are hundredths: whole numbers decide the boundary cases exactly.
 AMOUNT_TIERS = [(100000, 35, "VERY_HIGH_AMOUNT"), (50000, 25, "HIGH_AMOUNT"), (20000, 15, "MEDIUM_AMOUNT")]
@@ -110,3 +110,26 @@ def velocity(
         .filter((F.col("arrival") == 1) & (F.col("n_recent") >= at_least))
         .select(*keys, "second", "n_recent")
     )
+
+
+def high_velocity(
+    df: DataFrame, keys: list[str], time: str, amount: str, above: float, seconds: int, at_least: int, rows_per_task: int | None = None
+) -> DataFrame:
+    """`velocity` of the records whose amount is above a limit."""
+    return velocity(df.filter(F.col(amount) > above), keys, time, seconds, at_least, rows_per_task)
+
+
+def place_changes(
+    df: DataFrame, keys: list[str], order: list[str], place: str, seconds: int, rows_per_task: int | None = None
+) -> DataFrame:
+    """Records in another place than the key's preceding record, at most `seconds` after it.
+
+    `order` starts with the time.  Two records in different places within the limit have such a step between them or
+    among the records in between.
+    """
+    seen = df.filter(F.col(place).isNotNull() & F.col(order[0]).isNotNull())
+    lagged = with_lags(seen, keys, order, [place, order[0]], 1, "_before_", rows_per_task)
+    before = F.col("_before_1")
+    span = F.unix_micros(F.col(order[0]).cast("timestamp")) - F.unix_micros(before[order[0]].cast("timestamp"))
+    moved = lagged.filter((before[place] != F.col(place)) & (span <= seconds * 1_000_000))
+    return moved.select(*df.columns, before[place].alias("from_place"))

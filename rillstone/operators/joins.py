@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -9,7 +10,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from rillstone.functions.geo import cell, haversine_km, neighbour_cells
 from rillstone.operators.rolling import roll, rolling_last_known
 from rillstone.operators.sizing import fits_broadcast
-from rillstone.operators.skew import heavy_join_keys, rows_limit, same
+from rillstone.operators.skew import grid_slots, heavy_join_keys, rows_limit, same
+from rillstone.session import limit
+
+NESTED_ROWS = 10_000  # setting spark.rillstone.nestedRows: rows that a nested loop may copy to each task
 
 MISSING = "NULL"  # fixed value: text an outer join shows for an absent side
 
@@ -57,11 +61,14 @@ def equi_join(
 
     Keys with too many rows for one task, on either side and for every join type, are spread over a grid:
     a row goes to one of its own side's slots and is copied to each slot of the other side, so every pair
-    meets exactly once.
+    meets exactly once.  Streams can't be counted beforehand: there the join is Spark's own.
     """
     pairs = _pairs(on)
     keys = [l for l, _ in pairs]
     right = _aligned(right, pairs)
+    if left.isStreaming or right.isStreaming:
+        l, r = _with_hint(left, right, hint)
+        return l.join(r, keys, how)
     heavy = heavy_join_keys(left, right, keys, rows_per_task)
     if heavy is None:
         l, r = _with_hint(left, right, hint)
@@ -69,36 +76,33 @@ def equi_join(
     return _grid_join(left, right, keys, how, hint, heavy, rows_per_task)
 
 
-def _grid_join(
-    left: DataFrame,
-    right: DataFrame,
-    keys: Sequence[str],
-    how: str,
-    hint: tuple[str, str] | None,
-    heavy: DataFrame | tuple[int, int],
-    rows_per_task: int | None,
-    condition: Column | None = None,
-) -> DataFrame:
-    """`heavy` holds the counts of the heavy keys, or without keys the two row counts."""
-    most = rows_limit(left, rows_per_task)
+def _spread(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], heavy: DataFrame | tuple[int, int], rows_per_task: int | None
+) -> tuple[DataFrame, DataFrame]:
+    """Both sides with their slots `_at_l` and `_at_r`; equal slots and keys are where pairs meet, exactly once.
 
-    def slots(count: Column) -> Column:
-        return F.greatest(F.ceil(count / most), F.lit(1)).cast("bigint")
+    `heavy` holds the counts of the heavy keys, or without keys the two row counts.
+    """
+    most = rows_limit(left, rows_per_task)
 
     def sized(df: DataFrame) -> DataFrame:
         if isinstance(heavy, tuple):
-            nl, nr = (F.lit(n) for n in heavy)
-            return df.select("*", slots(nl).alias("_grid_l"), slots(nr).alias("_grid_r"), F.lit(True).alias("_meets"))
+            l, r = grid_slots(F.lit(heavy[0]), F.lit(heavy[1]), most)
+            return df.select("*", l.alias("_grid_l"), r.alias("_grid_r"), F.lit(True).alias("_meets"))
         complete = F.lit(True)
         for k in keys:
             complete = complete & F.col(k).isNotNull()
+        l, r = grid_slots(F.col("_nl"), F.col("_nr"), most)
+        meets = (F.col("_nl") > 0) & (F.col("_nr") > 0) & complete
+        # what meets nothing needs no slots but its own side's
+        alone = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / most)).cast("bigint")
         grid = heavy.select(
             *keys,
-            slots(F.col("_nl")).alias("_grid_l"),
-            slots(F.col("_nr")).alias("_grid_r"),
-            ((F.col("_nl") > 0) & (F.col("_nr") > 0) & complete).alias("_meets"),
+            F.when(meets, l).otherwise(alone("_nl")).alias("_grid_l"),
+            F.when(meets, r).otherwise(alone("_nr")).alias("_grid_r"),
+            meets.alias("_meets"),
         )
-        return df.join(F.broadcast(grid), same(df, grid, keys), "left").select(
+        return df.join(grid, same(df, grid, keys), "left").select(
             *[df[c] for c in df.columns],
             F.coalesce(grid["_grid_l"], F.lit(1)).alias("_grid_l"),
             F.coalesce(grid["_grid_r"], F.lit(1)).alias("_grid_r"),
@@ -106,18 +110,33 @@ def _grid_join(
         )
 
     def spread(df: DataFrame, own: str, other: str, flag: str) -> DataFrame:
-        # exact copies of a row differ by the partition they are read from; a recomputed task repeats its slots
-        slot = F.pmod(F.xxhash64(*df.columns, F.spark_partition_id()), F.col(f"_grid_{own}"))
+        # rows are numbered in the order of their content, so a recomputed task repeats its slots, and exact copies of
+        # a row, which nothing tells apart, get different ones
+        numbered = df.sortWithinPartitions(F.xxhash64(*df.columns)).withColumn("_number", F.monotonically_increasing_id())
+        slot = F.pmod(F.xxhash64("_number"), F.col(f"_grid_{own}"))
         # copies only where both sides have rows: elsewhere nothing can meet them
         copies = F.when(F.col("_meets"), F.col(f"_grid_{other}")).otherwise(F.lit(1))
         return (
-            sized(df)
+            sized(numbered)
             .select(*df.columns, F.col("_meets").alias(flag), slot.alias(f"_at_{own}"), copies.alias("_copies"))
             .withColumn(f"_at_{other}", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_copies") - 1)))
             .drop("_copies")
         )
 
-    l, r = _with_hint(spread(left, "l", "r", "_meets_l"), spread(right, "r", "l", "_meets_r"), hint)
+    return spread(left, "l", "r", "_meets_l"), spread(right, "r", "l", "_meets_r")
+
+
+def _grid_join(
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    how: str,
+    hint: tuple[str, str] | None,
+    heavy: DataFrame | tuple[int, int],
+    rows_per_task: int | None,
+    condition: Column | None = None,
+) -> DataFrame:
+    l, r = _with_hint(*_spread(left, right, keys, heavy, rows_per_task), hint)
     at = ["_at_l", "_at_r"]
     joined = l.join(r, [*keys, *at], how)
     if condition is not None:
@@ -166,21 +185,29 @@ def hinted_join(
     if hint and hint[1] == "broadcast":
         side = left if hint[0] == "left" else right
         copyable = how in ("inner", "right" if hint[0] == "left" else "left")
-        if copyable and fits_broadcast(side, max_rows, max_bytes):
+        if copyable and not side.isStreaming and fits_broadcast(side, max_rows, max_bytes):
             pairs = _pairs(on)
             l, r = _with_hint(left, _aligned(right, pairs), hint)
             return l.join(r, [k for k, _ in pairs], how)
+        warnings.warn(f"{strategy}: that side is too large, streams or must be kept whole; joined without a hint", stacklevel=2)
         hint = None
     return equi_join(left, right, on, how, hint, rows_per_task)
 
 
 def sql_join(
-    left: DataFrame, right: DataFrame, hint: str, condition: str, columns: str, max_rows: int | None = None
+    left: DataFrame,
+    right: DataFrame,
+    hint: str,
+    condition: str,
+    columns: str,
+    max_rows: int | None = None,
+    rows_per_task: int | None = None,
 ) -> DataFrame:
     """Inner join written in SQL over `l` and `r` with a hint comment.
 
     `hint` is BROADCAST, SHUFFLE_HASH, SHUFFLE_MERGE or NEST_LOOP.  The two that copy a side are kept only
-    while that side is small; beyond it Spark and AQE choose.
+    while that side is small.  Beyond it BROADCAST becomes a join without a hint and NEST_LOOP a grid of cells, with a
+    warning and the same rows; a side is never multiplied into a Cartesian product.
     """
     spelled = {
         "BROADCAST": "BROADCAST(r)",
@@ -188,13 +215,23 @@ def sql_join(
         "SHUFFLE_MERGE": "MERGE(l, r)",
         "NEST_LOOP": "BROADCAST(r)",
     }[hint]
-    if hint in ("BROADCAST", "NEST_LOOP") and not fits_broadcast(right, max_rows):
-        spelled = "MERGE(l, r)"
+    comment = f"/*+ {spelled} */"
+    if hint == "NEST_LOOP" and not fits_broadcast(right, _nested_rows(left, max_rows)):
+        warnings.warn("NEST_LOOP: the right side is too large to copy; joined in a grid", stacklevel=2)
+        left, right = _spread(left, right, [], (left.count(), right.count()), rows_per_task)
+        comment, condition = "", f"l._at_l = r._at_l AND l._at_r = r._at_r AND ({condition})"
+    elif hint == "BROADCAST" and not fits_broadcast(right, max_rows):
+        warnings.warn("BROADCAST: the right side is too large to copy; joined without a hint", stacklevel=2)
+        comment = ""
     return left.sparkSession.sql(
-        f"SELECT /*+ {spelled} */ {columns} FROM {{l}} AS l JOIN {{r}} AS r ON {condition}", l=left, r=right
+        f"SELECT {comment} {columns} FROM {{l}} AS l JOIN {{r}} AS r ON {condition}", l=left, r=right
     )
 
 
+def _nested_rows(df: DataFrame, max_rows: int | None) -> int:
+    return limit(df.sparkSession, max_rows, "spark.rillstone.nestedRows", NESTED_ROWS)
+
+
 def theta_join(
     left: DataFrame,
     right: DataFrame,
@@ -204,9 +241,9 @@ def theta_join(
 ) -> DataFrame:
     """Inner join on any predicate.  A small right side is broadcast; otherwise rows meet in a grid of cells.
 
-    The grid gives each task at most about `rows_per_task` rows of either side, whatever their values.
+    The grid bounds the rows of either side and the pairs that a task has, whatever the values.
     """
-    if fits_broadcast(right, max_rows):
+    if fits_broadcast(right, _nested_rows(left, max_rows)):
         return left.join(F.broadcast(right), condition, "inner")
     return _grid_join(left, right, [], "inner", None, (left.count(), right.count()), rows_per_task, condition)
 
@@ -250,8 +287,10 @@ def asof_join(
 
     Both sides become one ordered sequence per key and the last version known is carried forward: one
     shuffle, no pairs.  With `inclusive`, a version at exactly the left time counts.  The order columns of
-    the two sides correspond by position; the first is the time.
+    the two sides correspond by position; the first is the time.  Null keys match nothing, a version without a time is
+    never known, and a left row without a time knows none.
     """
+    right = right.dropna(subset=[*on, right_order[0]])
     order = [f"_o{i}" for i in range(len(left_order))]
     mine = [c for c in left.columns if c not in on]
     rank_left, rank_right = (1, 0) if inclusive else (0, 1)

@@ -49,6 +49,20 @@ def life_cycle(
     return out.withColumn("in_order", ok)
 
 
+def transitions(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], status: str, stages: Sequence[str], rows_per_task: int | None = None
+) -> DataFrame:
+    """Every change of status with the one before it (null for the first) and whether it goes one stage on.
+
+    Repeats of a status and steps back are seen, unlike in `life_cycle`, which keeps the first time of each stage.
+    """
+    lagged = with_lags(df, keys, order, [status], 1, "_before_", rows_per_task)
+    place = lambda c: F.array_position(F.array(*[F.lit(s) for s in stages]), c)
+    before = F.col("_before_1")[status]
+    step = place(F.col(status)) - F.coalesce(place(before), F.lit(0))
+    return lagged.select(*df.columns, before.alias("from_status"), (step == 1).alias("forward"))
+
+
 def too_long(df: DataFrame, started: str, ended: str, seconds: int) -> DataFrame:
     """Rows whose span between two times is longer than the limit."""
     return df.filter(F.col(ended).cast("timestamp") - F.expr(f"interval {seconds} seconds") > F.col(started).cast("timestamp"))

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from rillstone.operators.skew import HEAVY, cut_heavy, position, same
+from rillstone.session import stored
 
 
 @dataclass(frozen=True)
@@ -102,7 +103,8 @@ def extreme_record(df: DataFrame, column: str, order: Sequence[str], record: Seq
     """A struct whose minimum (or maximum) is the record with the extreme value, ties broken by order."""
     sign = 1 if largest == last else -1
     ranks = [(position(df, o) * sign).alias(f"_p{i}") for i, o in enumerate(order)]
-    return F.struct(F.col(column).alias("_v"), *ranks, F.struct(*record).alias("_r"))
+    # a record without a value is no extreme
+    return F.when(F.col(column).isNotNull(), F.struct(F.col(column).alias("_v"), *ranks, F.struct(*record).alias("_r")))
 
 
 def rolling_min_by(column: str, record: Sequence[str], name: str, last: bool = False) -> Rolling:
@@ -157,8 +159,9 @@ def roll(
     totals = chunked.filter(HEAVY).groupBy(*keys, *chunks).agg(*[b.total.alias(n) for n, b in bound])
     # one row per chunk of a heavy key: rows / rows_per_task, times the ranges per task
     carries = totals.select(*keys, *chunks, *[b.fold(F.col(n)).over(before).alias(f"_carry_{n}") for n, b in bound])
+    carries = stored(carries, "carries")  # their size is known then, and decides whether they are copied
     here = (chunked.repartition(*keys, *chunks) if wide else chunked).select("*", *[b.within(inside).alias(f"_here_{n}") for n, b in bound])
-    return here.join(F.broadcast(carries), same(here, carries, [*keys, *chunks]), "left").select(
+    return here.join(carries, same(here, carries, [*keys, *chunks]), "left").select(
         *[here[c] for c in df.columns],
         *[b.merge(carries[f"_carry_{n}"], here[f"_here_{n}"]).alias(n) for n, b in bound],
     )
@@ -193,11 +196,12 @@ def with_lags(
         .agg(F.collect_list(tagged).alias("_tail"))  # at most `depth` entries
     )
     halos = tails.select(*keys, *chunks, F.sort_array(F.flatten(F.collect_list("_tail").over(before))).alias("_halo"))
+    halos = stored(halos, "halos")
     at = F.row_number().over(inside)
     here = chunked.select(
         "*", at.alias("_at"), *[F.lag(value, i).over(inside).alias(f"_in_{i}") for i in range(1, depth + 1)]
     )
-    joined = here.join(F.broadcast(halos), same(here, halos, [*keys, *chunks]), "left")
+    joined = here.join(halos, same(here, halos, [*keys, *chunks]), "left")
     outside = [F.try_element_at(halos["_halo"], F.least(here["_at"] - (i + 1), F.lit(-1)))["_v"] for i in range(1, depth + 1)]
     return joined.select(
         *[here[c] for c in df.columns],

@@ -7,8 +7,8 @@ aggregated pass and give their rows a second partitioning column:
 * `cut_heavy` cuts a heavy key into consecutive ranges of its ordering columns, for ordered work;
 * `heavy_join_keys` returns per-key row counts of both sides, for salted joins.
 
-What is collected is bounded by `rows / rows_per_task` entries and by `MAX_HEAVY`; rows never are.  The ranges
-are literals afterwards, so a recomputed task puts each row where the lost one did.
+Heavy keys and their ranges are small tables in the shared folder, however many there are, so a recomputed task puts
+each row where the lost one did.  Only bucket numbers, `BUCKETS` at most, come to the driver.
 """
 
 from __future__ import annotations
@@ -18,14 +18,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from rillstone.session import limit
+from rillstone.session import limit, stored
 
 ROWS_PER_TASK = 4_000_000  # setting spark.rillstone.rowsPerTask
-MAX_HEAVY = 100_000
+PAIRS_PER_ROW = 4  # pairs of a join that one task makes, for each row it may hold
 RANGES_PER_TASK = 4
-MAX_LEVELS = 6
 BUCKETS = 65_536
-MAX_LISTED = 1_000
 
 HEAVY = "_heavy"
 _HIT = "_hit"
@@ -91,7 +89,8 @@ def _apply_levels(df: DataFrame, keys: Sequence[str], order: str, chunk: str, le
     first = levels[0]
     # floor to the range start; rows without a position come before every range
     start = F.coalesce(at - F.pmod(at - first["_lo"], first["_w"]), first["_lo"] - 1)
-    out = df.join(F.broadcast(first), same(df, first, keys), "left").select(
+    # no hint: the tables of ranges have a known size, by which Spark decides whether to copy them
+    out = df.join(first, same(df, first, keys), "left").select(
         *[df[c] for c in columns],
         F.when(first["_w"].isNull(), F.lit(0)).otherwise(start).cast("bigint").alias(chunk),
         first["_w"].isNotNull().alias(_HIT),
@@ -101,7 +100,7 @@ def _apply_levels(df: DataFrame, keys: Sequence[str], order: str, chunk: str, le
         at = position(out, order)
         finer = at - F.pmod(at - out[chunk], level["_w"])
         hit = same(out, level, [*keys, chunk]) & out[_HIT]
-        out = out.join(F.broadcast(level), hit, "left").select(
+        out = out.join(level, hit, "left").select(
             *[out[c] for c in columns],
             F.when(level["_w"].isNull(), out[chunk]).otherwise(F.coalesce(finer, out[chunk])).alias(chunk),
             out[_HIT],
@@ -114,22 +113,23 @@ def _bucket(keys: Sequence[str]) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS))
 
 
-def _in_full_buckets(df: DataFrame, keys: Sequence[str], counts: Sequence[Column], rows_per_task: int) -> DataFrame | None:
+def _in_full_buckets(df: DataFrame, keys: Sequence[str], counts: Sequence[Column], too_many: Column) -> DataFrame | None:
     """The rows whose key may be heavy, or None when no key can be.
 
     A heavy key fills its hash bucket, and bucket counts are small however many keys there are; keys are
     counted one by one only in the buckets that are full.
     """
-    most = F.greatest(*counts) if len(counts) > 1 else counts[0]
-    full = df.groupBy(_bucket(keys).alias("_b")).agg(most.alias("_n")).filter(F.col("_n") > rows_per_task)
-    found = [r["_b"] for r in full.select("_b").limit(MAX_LISTED + 1).collect()]
-    if not found:
+    full = df.groupBy(_bucket(keys).alias("_b")).agg(*counts).filter(too_many).select("_b").collect()
+    if not full:
         return None
-    return df if len(found) > MAX_LISTED else df.filter(_bucket(keys).isin(found))
+    buckets = df.sparkSession.createDataFrame(full, "_b bigint")
+    return df.join(F.broadcast(buckets), _bucket(keys) == F.col("_b"), "left_semi")  # at most BUCKETS rows
 
 
-def _ranges(n: int, rows_per_task: int) -> int:
-    return RANGES_PER_TASK * -(-n // rows_per_task)
+def _width(span: Column, n: Column, rows_per_task: int) -> Column:
+    """Width of equal ranges over `span` positions, RANGES_PER_TASK of them for each task's rows."""
+    ranges = F.ceil(n / rows_per_task) * RANGES_PER_TASK
+    return F.greatest(F.lit(1), F.ceil(span / ranges)).cast("bigint")
 
 
 def plan_chunks(
@@ -140,47 +140,33 @@ def plan_chunks(
     Equal-width ranges over [min, max] first; a range that is still too full is cut again, so uneven
     distributions end up even too.  Rows that share key and position stay together.
     """
-    spark = df.sparkSession
     rows_per_task = rows_limit(df, rows_per_task)
     at = position(df, order)
-    key_fields = [T.StructField(k, df.schema[k].dataType) for k in keys]
-    suspects = _in_full_buckets(df, keys, [F.count(F.lit(1))], rows_per_task)
+    suspects = _in_full_buckets(df, keys, [F.count(F.lit(1)).alias("_n")], F.col("_n") > rows_per_task)
     if suspects is None:
         return None
     found = (
         suspects.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi"))
         .filter((F.col("_n") > rows_per_task) & F.col("_lo").isNotNull())
-        .orderBy(F.desc("_n"))
-        .limit(MAX_HEAVY)
-        .collect()
+        .select(*keys, "_lo", _width(F.col("_hi") - F.col("_lo") + 1, F.col("_n"), rows_per_task).alias("_w"))
     )
-    if not found:
+    levels = [stored(found, "heavy-keys")]
+    if levels[0].isEmpty():
         return None
-    rows = [
-        (*[r[k] for k in keys], r["_lo"], max(1, -(-(r["_hi"] - r["_lo"] + 1) // _ranges(r["_n"], rows_per_task))))
-        for r in found
-    ]
-    schema = T.StructType([*key_fields, T.StructField("_lo", T.LongType()), T.StructField("_w", T.LongType())])
-    levels = [spark.createDataFrame(rows, schema)]
-    schema = T.StructType([*key_fields, T.StructField(chunk, T.LongType()), T.StructField("_w", T.LongType())])
-    while len(levels) < MAX_LEVELS:
+    while True:  # each level is at least RANGES_PER_TASK times finer, so a range ends up light or one position wide
         full = (
             _apply_levels(df.select(*keys, order), keys, order, chunk, levels)
             .filter(F.col(_HIT) & (F.col(_WIDTH) > 1))
             .groupBy(*keys, chunk)
             .agg(F.count(F.lit(1)).alias("_n"), F.max(_WIDTH).alias(_WIDTH))
             .filter(F.col("_n") > rows_per_task)
-            .orderBy(F.desc("_n"))
-            .limit(MAX_HEAVY)
-            .collect()
+            .select(*keys, chunk, _width(F.col(_WIDTH), F.col("_n"), rows_per_task).alias("_w"))
         )
-        if not full:
+        level = stored(full, "heavy-ranges")
+        if level.isEmpty():
             break
-        rows = [
-            (*[r[k] for k in keys], r[chunk], max(1, -(-r[_WIDTH] // _ranges(r["_n"], rows_per_task)))) for r in full
-        ]
-        levels.append(spark.createDataFrame(rows, schema))
+        levels.append(level)
     return ChunkPlan(tuple(keys), order, chunk, tuple(levels))
 
 
@@ -222,21 +208,26 @@ def cut_heavy(
 def heavy_join_keys(
     left: DataFrame, right: DataFrame, on: Sequence[str], rows_per_task: int | None = None
 ) -> DataFrame | None:
-    """Join keys with more than `rows_per_task` rows on a side, with the row counts `_nl` and `_nr`."""
+    """Join keys too heavy for one task, by the rows of a side or by their pairs, with the row counts `_nl` and `_nr`."""
     names = list(on)
     rows_per_task = rows_limit(left, rows_per_task)
     both = left.select(*names, F.lit(1).alias("_l"), F.lit(0).alias("_r")).unionAll(
         right.select(*names, F.lit(0).alias("_l"), F.lit(1).alias("_r"))
     )
-    suspects = _in_full_buckets(both, names, [F.sum("_l"), F.sum("_r")], rows_per_task)
+    counts = [F.sum("_l").alias("_nl"), F.sum("_r").alias("_nr")]
+    pairs = F.col("_nl").cast("double") * F.col("_nr")
+    too_many = (F.greatest("_nl", "_nr") > rows_per_task) | (pairs > rows_per_task * PAIRS_PER_ROW)
+    suspects = _in_full_buckets(both, names, counts, too_many)
     if suspects is None:
         return None
-    counted = (
-        suspects.groupBy(*names)
-        .agg(F.sum("_l").alias("_nl"), F.sum("_r").alias("_nr"))
-        .filter(F.greatest("_nl", "_nr") > rows_per_task)
-        .orderBy(F.desc(F.greatest("_nl", "_nr")))
-        .limit(MAX_HEAVY)
-    )
-    found = counted.collect()
-    return left.sparkSession.createDataFrame(found, counted.schema) if found else None
+    found = stored(suspects.groupBy(*names).agg(*counts).filter(too_many), "heavy-join-keys")
+    return None if found.isEmpty() else found
+
+
+def grid_slots(nl: Column, nr: Column, rows_per_task: int) -> tuple[Column, Column]:
+    """Slots of both sides, so that a cell holds neither too many rows of a side nor too many pairs."""
+    cells = F.ceil(nl.cast("double") * nr / (rows_per_task * PAIRS_PER_ROW)).cast("double")
+    of_left = F.least(cells, F.ceil(F.sqrt(cells * nl / F.greatest(nr, F.lit(1)))))
+    left = F.greatest(F.lit(1), of_left, F.ceil(nl / rows_per_task))
+    right = F.greatest(F.lit(1), F.ceil(cells / left), F.ceil(nr / rows_per_task))
+    return left.cast("bigint"), right.cast("bigint")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from rillstone.functions.time import text
 from rillstone.operators import aggregates, parsing, routing
 from rillstone.operators.rolling import roll, rolling_sum
-from rillstone.plans.common import CURRENCIES, events, instant, scored_input, shown
+from rillstone.plans.common import CURRENCIES, amounts, events, instant, shown
 from rillstone.sources.files import json_fields, table
 
 
@@ -67,7 +67,7 @@ def parse_rejects(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _transactions(spark: SparkSession, folder: str) -> DataFrame:
-    return scored_input(table(spark, folder, "orders"), spark, folder)
+    return amounts(table(spark, folder, "orders"))
 
 
 def table_high_value(spark: SparkSession, folder: str) -> DataFrame:

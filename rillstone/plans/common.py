@@ -35,6 +35,16 @@ def shown(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[text(F.col(c), SECONDS).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
+def amounts(orders: DataFrame) -> DataFrame:
+    """Orders, static or streaming, as transactions without places: no join, and no order is lost."""
+    code = F.element_at(F.array(*[F.lit(c) for c in CURRENCIES]), (F.col("o_orderkey") % 8 + 1).cast("int"))
+    return orders.select(
+        F.concat(F.lit("TXN"), F.col("o_orderkey").cast("string")).alias("txn_id"),
+        F.floor("o_totalprice").cast("int").alias("amount"),
+        code.alias("currency"),
+    )
+
+
 def scored_input(orders: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
     """Orders, static or streaming, as transactions.
 

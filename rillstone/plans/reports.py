@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rillstone.operators import aggregates, iterate, patterns
-from rillstone.operators.joins import lookup_join
-from rillstone.operators.sizing import fits_broadcast
 from rillstone.plans.common import events, shown
 from rillstone.sources.files import table
 
@@ -46,28 +44,38 @@ def peak_hours(spark: SparkSession, folder: str) -> DataFrame:
 
 def _trips(spark: SparkSession, folder: str) -> DataFrame:
     """Ongoing trips: a line is a trip, its supplier the driver, the supplier's nation the pickup place."""
-    line = table(spark, folder, "lineitem").filter(F.col("l_linestatus") == "O").select(
-        "l_suppkey", (F.col("l_partkey") % 25).cast("int").alias("_to"), F.col("l_quantity").cast("bigint").alias("passengers")
+    return table(spark, folder, "lineitem").filter(F.col("l_linestatus") == "O").select(
+        "l_suppkey", (F.col("l_partkey") % 25).cast("bigint").alias("_to"), F.col("l_quantity").cast("bigint").alias("passengers")
     )
+
+
+def _per_driver(spark: SparkSession, folder: str) -> DataFrame:
+    """People and trips per supplier with the supplier's columns: the trips are summed before anything is joined."""
+    summed = _trips(spark, folder).groupBy("l_suppkey").agg(F.sum("passengers").alias("passengers"), F.count(F.lit(1)).alias("trips"))
     supplier = table(spark, folder, "supplier").select("s_suppkey", F.col("s_name").alias("driver"), "s_nationkey")
-    nation = table(spark, folder, "nation").select("n_nationkey", "n_name")
-    driven = lookup_join(line, supplier, {"l_suppkey": "s_suppkey"}, "inner")
-    small = fits_broadcast(nation)
-    place = lambda name: nation.withColumnRenamed("n_name", name)
-    started = lookup_join(driven, place("pickup"), {"s_nationkey": "n_nationkey"}, "inner", small=small)
-    return lookup_join(started, place("destination"), {"_to": "n_nationkey"}, "inner", small=small)
+    return summed.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+
+
+def _named_place(df: DataFrame, spark: SparkSession, folder: str, key: str, name: str) -> DataFrame:
+    nation = table(spark, folder, "nation").select("n_nationkey", F.col("n_name").alias(name))
+    return df.join(nation, F.col(key) == F.col("n_nationkey"))
 
 
 def top_destination(spark: SparkSession, folder: str) -> DataFrame:
-    return aggregates.most_frequent(_trips(spark, folder), "destination", "trips")
+    """The place that most people travel to."""
+    summed = _trips(spark, folder).groupBy("_to").agg(F.sum("passengers").alias("passengers"))
+    named = _named_place(summed, spark, folder, "_to", "destination")
+    return aggregates.largest(named.select("destination", "passengers"), "destination", "passengers")
 
 
 def avg_per_pickup(spark: SparkSession, folder: str) -> DataFrame:
-    return aggregates.ratio_report(_trips(spark, folder), ["pickup"], "passengers", "trips", "passengers")
+    places = _per_driver(spark, folder).groupBy("s_nationkey").agg(F.sum("passengers").alias("passengers"), F.sum("trips").alias("trips"))
+    named = _named_place(places, spark, folder, "s_nationkey", "pickup")
+    return aggregates.merged_ratio(named, ["pickup"], "passengers", "trips")
 
 
 def avg_per_driver(spark: SparkSession, folder: str) -> DataFrame:
-    return aggregates.ratio_report(_trips(spark, folder), ["driver"], "passengers", "trips", "passengers")
+    return aggregates.merged_ratio(_per_driver(spark, folder), ["driver"], "passengers", "trips")
 
 
 QUERIES = {
@@ -118,7 +126,8 @@ ORACLES = {
         SELECT hour, n, CAST(row_number() OVER (ORDER BY n DESC, hour) AS INTEGER) AS rank FROM (
           SELECT CAST(extract('hour' FROM ts) AS INTEGER) AS hour, count(*) AS n FROM events GROUP BY 1)""",
     "top_destination": f"""
-        SELECT destination, count(*) AS trips FROM ({_TRIPS}) GROUP BY 1 ORDER BY trips DESC, destination LIMIT 1""",
+        SELECT destination, CAST(sum(passengers) AS BIGINT) AS passengers FROM ({_TRIPS})
+        GROUP BY 1 ORDER BY passengers DESC, destination LIMIT 1""",
     "avg_per_pickup": f"SELECT pickup, {_RATIO} FROM ({_TRIPS}) GROUP BY 1",
     "avg_per_driver": f"SELECT driver, {_RATIO} FROM ({_TRIPS}) GROUP BY 1",
 }

@@ -14,21 +14,31 @@ _TIMES = [f"{s}_at" for s in _STAGES.values()]
 _PERIOD = 30 * 86400
 
 
-def _rides(spark: SparkSession, folder: str) -> DataFrame:
+def _log(spark: SparkSession, folder: str) -> DataFrame:
     status = None
     for kind, stage in _STAGES.items():
         hit = F.col("event_type") == kind
         status = F.when(hit, stage) if status is None else status.when(hit, stage)
-    log = events(spark, folder, "user_id", "ts", "event_type").select(
-        "user_id", F.to_date("ts").cast("string").alias("day"), status.alias("status"), "ts"
+    log = events(spark, folder, "event_id", "user_id", "ts", "event_type").select(
+        "event_id", "user_id", F.to_date("ts").cast("string").alias("day"), status.alias("status"), "ts"
     )
-    return patterns.life_cycle(log.filter("status IS NOT NULL"), ["user_id", "day"], "status", "ts", list(_STAGES.values()))
+    return log.filter("status IS NOT NULL")
+
+
+def _rides(spark: SparkSession, folder: str) -> DataFrame:
+    return patterns.life_cycle(_log(spark, folder), ["user_id", "day"], "status", "ts", list(_STAGES.values()))
 
 
 def ride_stages(spark: SparkSession, folder: str) -> DataFrame:
     return shown(_rides(spark, folder), *_TIMES)
 
 
+def ride_transitions(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each status follows each other one within a ride, and whether that is one stage on."""
+    steps = patterns.transitions(_log(spark, folder), ["user_id", "day"], ["ts", "event_id"], "status", list(_STAGES.values()))
+    return steps.groupBy("from_status", "status", "forward").agg(F.count(F.lit(1)).alias("n"))
+
+
 def ride_wait_by_city(spark: SparkSession, folder: str) -> DataFrame:
     nation = table(spark, folder, "nation").select("n_nationkey", F.col("n_name").alias("city"))
     home = table(spark, folder, "customer").select("c_custkey", "c_nationkey")
@@ -47,7 +57,7 @@ def ride_too_long(spark: SparkSession, folder: str) -> DataFrame:
     return shown(late.select("user_id", "day", "started_at", "completed_at"), "started_at", "completed_at")
 
 
-QUERIES = {f.__name__: f for f in (ride_stages, ride_wait_by_city, driver_utilisation, ride_too_long)}
+QUERIES = {f.__name__: f for f in (ride_stages, ride_transitions, ride_wait_by_city, driver_utilisation, ride_too_long)}
 
 _RIDES = """
 SELECT *, (matched_at IS NULL OR coalesce(requested_at <= matched_at, false))
@@ -72,6 +82,14 @@ def _span(earlier: str, later: str) -> str:
 
 ORACLES = {
     "ride_stages": f"SELECT user_id, day, {_text(*_TIMES)}, in_order FROM ({_RIDES})",
+    "ride_transitions": """
+        SELECT from_status, status, list_position(['requested', 'matched', 'started', 'completed'], status)
+               - coalesce(list_position(['requested', 'matched', 'started', 'completed'], from_status), 0) = 1 AS forward,
+               count(*) AS n
+        FROM (SELECT status, lag(status) OVER (PARTITION BY user_id, day ORDER BY ts, event_id) AS from_status FROM (
+          SELECT event_id, user_id, ts, strftime(ts, '%Y-%m-%d') AS day, CASE event_type WHEN 'view' THEN 'requested'
+                 WHEN 'click' THEN 'matched' WHEN 'signup' THEN 'started' WHEN 'purchase' THEN 'completed' END AS status
+          FROM events) WHERE status IS NOT NULL) GROUP BY ALL""",
     "ride_wait_by_city": f"""
         SELECT n_name AS city, count(*) AS rides, {_span("requested_at", "matched_at")} AS wait_seconds,
                CAST({_span("requested_at", "matched_at")} AS DOUBLE) / CAST(count(*) AS DOUBLE) AS mean_wait

@@ -38,12 +38,25 @@ def format_normal(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def velocity_1min(spark: SparkSession, folder: str) -> DataFrame:
-    return fraud.velocity(events(spark, folder, "user_id", "ts"), ["user_id"], "ts", 3600, 2)
+    return fraud.velocity(events(spark, folder, "user_id", "ts"), ["user_id"], "ts", 60, 2)
+
+
+def velocity_high_amounts(spark: SparkSession, folder: str) -> DataFrame:
+    """Several high amounts within a minute."""
+    return fraud.high_velocity(events(spark, folder, "user_id", "ts", "cents"), ["user_id"], "ts", "cents", 5000, 60, 2)
+
+
+def velocity_two_places(spark: SparkSession, folder: str) -> DataFrame:
+    """One user in two places within a minute; the kind of event stands for the place."""
+    df = events(spark, folder, "event_id", "user_id", "ts", "event_type")
+    moved = fraud.place_changes(df, ["user_id"], ["ts", "event_id"], "event_type", 60)
+    return moved.select("event_id", "user_id", "event_type", "from_place")
 
 
 QUERIES = {
     f.__name__: f
-    for f in (fraud_score, fraud_reasons, fraud_flagged, fraud_normal, format_alert, format_normal, velocity_1min)
+    for f in (fraud_score, fraud_reasons, fraud_flagged, fraud_normal, format_alert, format_normal, velocity_1min,
+              velocity_high_amounts, velocity_two_places)
 }
 
 _SCORED = f"""
@@ -84,6 +97,16 @@ ORACLES = {
     "velocity_1min": f"""
         SELECT DISTINCT user_id, sec AS second, n_recent FROM (
           SELECT user_id, sec, count(*) OVER (PARTITION BY user_id ORDER BY sec
-                 RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS n_recent
+                 RANGE BETWEEN 60 PRECEDING AND CURRENT ROW) AS n_recent
           FROM ({EVENTS_SQL})) WHERE n_recent >= 2""",
+    "velocity_high_amounts": f"""
+        SELECT DISTINCT user_id, sec AS second, n_recent FROM (
+          SELECT user_id, sec, count(*) OVER (PARTITION BY user_id ORDER BY sec
+                 RANGE BETWEEN 60 PRECEDING AND CURRENT ROW) AS n_recent
+          FROM ({EVENTS_SQL}) WHERE cents > 5000) WHERE n_recent >= 2""",
+    "velocity_two_places": """
+        SELECT event_id, user_id, event_type, from_place FROM (
+          SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS from_place,
+                 lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS from_ts FROM events)
+        WHERE from_place <> event_type AND ts - from_ts <= INTERVAL 60 SECOND""",
 }

@@ -2,41 +2,101 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rillstone.operators import fraud, routing
-from rillstone.operators.windows import streaming_sessions, windowed
-from rillstone.plans.common import EVENTS_SQL, in_cents, scored_input, shown
+from rillstone.operators.windows import stamp_arrival, streaming_sessions, windowed
+from rillstone.plans.common import EVENTS_SQL, events, in_cents, scored_input, shown
+from rillstone.plans.reports import ORACLES as REPORTS
 from rillstone.plans.scoring import ORACLES as SCORING
 from rillstone.plans.windows import window_sql
+from rillstone.session import fresh_dir
 from rillstone.sources.streams import table_stream
-from rillstone.streaming.runner import to_table
-from rillstone.streaming.stateful import running_totals
+from rillstone.streaming.runner import run, to_table, with_open_sessions, with_open_windows
+from rillstone.streaming.stateful import rolling_sums, running_totals, sequence_alerts
 
 _BOUNDS = ("window_start", "window_end")
 
 
+_COLUMNS = ("event_id", "ts", "user_id", "event_type", "cents")
+_SLICES = 4
+
+
 def _events(spark: SparkSession, folder: str) -> DataFrame:
-    return in_cents(table_stream(spark, folder, "events")).select("event_id", "ts", "user_id", "event_type", "cents")
+    return in_cents(table_stream(spark, folder, "events")).select(*_COLUMNS)
+
+
+def _by_slices(spark: SparkSession, folder: str, name: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Run `build` over the events as they arrive in four spans of time: one micro-batch and one restart for each span."""
+    rows = events(spark, folder, *_COLUMNS)
+    low, high = rows.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    width = ((high or 0) - (low or 0)) // _SLICES + 1
+    span = F.floor((F.unix_micros("ts") - (low or 0)) / width)
+    root = fresh_dir(spark, name)
+    for i in range(_SLICES):
+        rows.where(span == i).write.mode("append").parquet(f"{root}/in")
+        out = build(spark.readStream.schema(rows.schema).parquet(f"{root}/in"))
+        run(out, f"{root}/out", f"{root}/checkpoint")
+    return spark.read.schema(out.schema).parquet(f"{root}/out")
 
 
 def stream_tumbling_sum(spark: SparkSession, folder: str) -> DataFrame:
-    stream = _events(spark, folder).withWatermark("ts", "0 seconds")
-    out = windowed(stream, "ts", "1 hour", [F.sum("cents").alias("total")])
-    return shown(to_table(out, "stream_tumbling_sum"), *_BOUNDS)
+    whole = lambda rows: windowed(rows, "ts", "1 hour", [F.sum("cents").alias("total")])
+    closed = to_table(whole(_events(spark, folder).withWatermark("ts", "0 seconds")), "stream_tumbling_sum")
+    return shown(with_open_windows(closed, events(spark, folder, *_COLUMNS), "ts", 0, "window_end", whole, "1 hour"), *_BOUNDS)
 
 
 def stream_sliding_sum(spark: SparkSession, folder: str) -> DataFrame:
-    stream = _events(spark, folder).withWatermark("ts", "1 second")
-    out = windowed(stream, "ts", "2 hours", [F.sum("cents").alias("total")], ["event_type"], "1 hour")
-    return shown(to_table(out, "stream_sliding_sum"), *_BOUNDS)
+    whole = lambda rows: windowed(rows, "ts", "2 hours", [F.sum("cents").alias("total")], ["event_type"], "1 hour")
+    closed = to_table(whole(_events(spark, folder).withWatermark("ts", "1 second")), "stream_sliding_sum")
+    return shown(with_open_windows(closed, events(spark, folder, *_COLUMNS), "ts", 1000, "window_end", whole, "2 hours"), *_BOUNDS)
 
 
 def stream_session(spark: SparkSession, folder: str) -> DataFrame:
-    stream = _events(spark, folder).withWatermark("ts", "0 seconds")
     aggs = [F.count(F.lit(1)).alias("events"), F.sum("cents").alias("cents")]
-    out = streaming_sessions(stream, "ts", "6 hours", ["user_id"], aggs)
-    return shown(to_table(out, "stream_session"), "session_start", "session_end")
+    whole = lambda rows: streaming_sessions(rows, "ts", "6 hours", ["user_id"], aggs)
+    closed = to_table(whole(_events(spark, folder).withWatermark("ts", "0 seconds")), "stream_session")
+    rows = events(spark, folder, *_COLUMNS)
+    done = with_open_sessions(closed, rows, "ts", 0, "session_end", whole, ["user_id"], "6 hours")
+    return shown(done, "session_start", "session_end")
+
+
+def stream_processing_time(spark: SparkSession, folder: str) -> DataFrame:
+    """Sums per processing-time window of five seconds, added up again: when rows arrive differs from run to run."""
+    aggs = [F.count(F.lit(1)).alias("n"), F.sum("cents").alias("total")]
+    whole = lambda rows: windowed(rows, "arrived_at", "5 seconds", aggs, ["event_type"])
+    arriving, root = stamp_arrival(_events(spark, folder)), fresh_dir(spark, "stream_arrivals")
+    run(arriving, f"{root}/out", f"{root}/checkpoint")
+    again = spark.readStream.schema(arriving.schema).parquet(f"{root}/out")
+    closed = to_table(whole(again.withWatermark("arrived_at", "0 seconds")), "stream_processing_time")
+    stamped = spark.read.schema(arriving.schema).parquet(f"{root}/out")
+    windows = with_open_windows(closed, stamped, "arrived_at", 0, "window_end", whole, "5 seconds")
+    return windows.groupBy("event_type").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+
+
+def stream_rolling_sum(spark: SparkSession, folder: str) -> DataFrame:
+    """Every event with its user's running sum, kept in state across micro-batches."""
+
+    def build(stream: DataFrame) -> DataFrame:
+        rows = stream.select("event_id", "user_id", "cents", F.unix_micros("ts").alias("at"))
+        return rolling_sums(rows, "user_id", "cents", ["event_id", "at"], order=["at", "event_id"])
+
+    return _by_slices(spark, folder, "stream_rolling_sum", build).select("event_id", "user_id", F.col("rolling").alias("total"))
+
+
+def stream_pattern(spark: SparkSession, folder: str) -> DataFrame:
+    """Three errors and then a purchase, one right after the other within three days."""
+    steps = ["error", "error", "error", "purchase"]
+    build = lambda rows: sequence_alerts(rows, "user_id", "ts", "event_type", steps, 3 * 86400, "event_id")
+    return shown(_by_slices(spark, folder, "stream_pattern", build), "first_time", "last_time")
+
+
+def stream_report_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Report lines of transactions that aren't flagged, written as text by the stream."""
+    scored = fraud.normal(fraud.score(scored_input(table_stream(spark, folder, "orders"), spark, folder)))
+    return to_table(scored.select(fraud.normal_text().alias("value")), "stream_report_lines", format="text")
 
 
 def stream_count_by_type(spark: SparkSession, folder: str) -> DataFrame:
@@ -59,20 +119,17 @@ def stream_fraud(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        stream_tumbling_sum, stream_sliding_sum, stream_session, stream_count_by_type, stream_split, stream_fraud,
+        stream_tumbling_sum, stream_sliding_sum, stream_session, stream_processing_time, stream_count_by_type,
+        stream_rolling_sum, stream_pattern, stream_split, stream_fraud, stream_report_lines,
     )
 }
 
 _SUM = "CAST(sum(cents) AS BIGINT) AS total"
 
 
-def _closed(size: int, delay: int) -> str:
-    return f"WHERE w + INTERVAL {size} HOUR <= (SELECT max(ts) FROM events) - INTERVAL {delay} SECOND"
-
-
 ORACLES = {
-    "stream_tumbling_sum": window_sql(1, "", _SUM, _closed(1, 0)),
-    "stream_sliding_sum": window_sql(2, "event_type", _SUM, _closed(2, 1)),
+    "stream_tumbling_sum": window_sql(1, "", _SUM),
+    "stream_sliding_sum": window_sql(2, "event_type", _SUM),
     "stream_session": f"""
         SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start,
                strftime(max(ts) + INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S') AS session_end,
@@ -81,8 +138,13 @@ ORACLES = {
           SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 6 HOUR
                          THEN 0 ELSE 1 END AS opened
           FROM ({EVENTS_SQL})))
-        GROUP BY user_id, s
-        HAVING max(ts) + INTERVAL 6 HOUR <= date_trunc('millisecond', (SELECT max(ts) FROM events))""",
+        GROUP BY user_id, s""",
+    "stream_processing_time": f"SELECT event_type, count(*) AS n, {_SUM} FROM ({EVENTS_SQL}) GROUP BY 1",
+    "stream_rolling_sum": f"""
+        SELECT event_id, user_id, CAST(sum(cents) OVER (PARTITION BY user_id ORDER BY ts, event_id
+               ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total FROM ({EVENTS_SQL})""",
+    "stream_pattern": f"SELECT user_id, first_time, ts AS last_time FROM ({REPORTS['pattern_fail_then_success']})",
+    "stream_report_lines": f"SELECT line AS value FROM ({SCORING['format_normal']})",
     "stream_count_by_type": f"SELECT event_type, count(*) AS n, {_SUM} FROM ({EVENTS_SQL}) GROUP BY 1",
     "stream_split": """
         SELECT event_id, event_type, CASE WHEN event_id % 2 = 0 THEN 'even' ELSE 'odd' END AS tag FROM events""",

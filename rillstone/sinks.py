@@ -36,8 +36,8 @@ def write_partitioned(df: DataFrame, path: str, keys: Sequence[str], max_rows_pe
     writer.parquet(path)
 
 
-def show(df: DataFrame, prefix: str | None = None, n: int = 20) -> None:
-    """Print the first rows; with a prefix one line per row."""
+def show(df: DataFrame, n: int, prefix: str | None = None) -> None:
+    """Print the first `n` rows; with a prefix one line per row."""
     if prefix is None:
         df.show(n, truncate=False)
         return

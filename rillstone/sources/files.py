@@ -25,9 +25,9 @@ def delimited(spark: SparkSession, path: str, schema: str | T.StructType, separa
 
 
 def csv_table(spark: SparkSession, name: str, columns: str, path: str) -> DataFrame:
-    """Declare a CSV file as the temporary view `name` and return it."""
+    """Declare a CSV file as the temporary view `name` and return it; a malformed row fails the read."""
     quoted = path.replace("'", "\\'")
-    spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW `{name}` ({columns}) USING csv OPTIONS (path '{quoted}')")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW `{name}` ({columns}) USING csv OPTIONS (path '{quoted}', mode 'FAILFAST')")
     return spark.table(name)
 
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from rillstone.session import fresh_dir
+from rillstone.session import fresh_dir, stored
 
 PROVIDERS = {
     "heap": "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider",
@@ -76,9 +76,36 @@ def run(df: DataFrame, path: str, checkpoint: str, **options) -> None:
         raise failure
 
 
-def to_table(df: DataFrame, name: str, **options) -> DataFrame:
-    """Run a stream over the available input into a new parquet folder of the shared area, and read it."""
+def to_table(df: DataFrame, name: str, format: str = "parquet", **options) -> DataFrame:
+    """Run a stream over the available input into a new folder of the shared area, and read it."""
     spark = df.sparkSession
     root = fresh_dir(spark, name)
-    run(df, f"{root}/out", f"{root}/checkpoint", **options)
-    return spark.read.schema(df.schema).parquet(f"{root}/out")
+    run(df, f"{root}/out", f"{root}/checkpoint", format=format, **options)
+    return spark.read.format(format).schema(df.schema).load(f"{root}/out")
+
+
+def with_open_windows(emitted: DataFrame, rows: DataFrame, time: str, delay_ms: int, end: str, whole, reach: str) -> DataFrame:
+    """`emitted` and the windows that were still open when a bounded input ended.
+
+    `rows` is the same input as a static frame, `whole` turns rows into windows with the column `end`, and no window that
+    is open at the end holds a row older than `reach` before the watermark.  The watermark is the latest time, in whole
+    milliseconds, less the delay; the stream has emitted what ends by it.
+    """
+    latest = rows.agg(F.max(F.unix_millis(F.col(time).cast("timestamp")))).first()[0]
+    if latest is None:
+        return emitted
+    mark = F.timestamp_millis(F.lit(latest - delay_ms))
+    late = rows.where(F.col(time).cast("timestamp") > mark - F.expr(f"INTERVAL {reach}"))
+    return emitted.unionByName(whole(late).where(F.col(end) > mark))
+
+
+def with_open_sessions(emitted: DataFrame, rows: DataFrame, time: str, delay_ms: int, end: str, whole, keys: Sequence[str], gap: str) -> DataFrame:
+    """`emitted` and the sessions that were still open when a bounded input ended: those of keys seen shortly before it."""
+    latest = rows.agg(F.max(F.unix_millis(F.col(time).cast("timestamp")))).first()[0]
+    if latest is None:
+        return emitted
+    mark = F.timestamp_millis(F.lit(latest - delay_ms))
+    recent = rows.where(F.col(time).cast("timestamp") > mark - F.expr(f"INTERVAL {gap}")).select(*keys).distinct()
+    # stored first: the optimizer pushes a condition on the end of a session below the merging of its rows
+    last = stored(whole(rows.join(recent, list(keys), "left_semi")), "open-sessions")
+    return emitted.unionByName(last.where(F.col(end) > mark))

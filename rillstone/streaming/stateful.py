@@ -14,9 +14,10 @@ def running_totals(df: DataFrame, key: str, value: str) -> DataFrame:
     """Count and sum per key so far, one row for each key a micro-batch changes.
 
     Each Arrow batch is reduced to one row per key inside its task before the shuffle, so a heavy key sends
-    a few partial sums and not its rows.
+    a few partial sums and not its rows.  Nulls count and add nothing; they never reach pandas, which would turn the
+    numbers into floats.  Append-mode files take no aggregate without a watermark, hence the state function.
     """
-    rows = df.select(F.col(key).alias("key"), F.col(value).cast("bigint").alias("value"))
+    rows = df.select(F.col(key).alias("key"), F.coalesce(F.col(value).cast("bigint"), F.lit(0)).alias("value"))
     kind = dict(rows.dtypes)["key"]
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -42,14 +43,27 @@ def running_totals(df: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def rolling_sums(
-    df: DataFrame, key: str, value: str, carry: Sequence[str], time: str | None = None, idle_ms: int | None = None
+    df: DataFrame,
+    key: str,
+    value: str,
+    carry: Sequence[str],
+    time: str | None = None,
+    idle_ms: int | None = None,
+    order: Sequence[str] = (),
 ) -> DataFrame:
-    """One output row per input row with the key's running sum, in the order rows arrive.
+    """One output row per input row with the key's running sum, micro-batch by micro-batch.
 
-    `carry` columns are passed through.  With `time`, a watermarked column, and `idle_ms`, a key starts anew
-    once the watermark is that far beyond its latest row.
+    Within a micro-batch rows follow the columns `order`, which must be among `carry` or be the value; without them their
+    order is the shuffle's.  A null value adds nothing and stays null in the output.  `carry` columns are passed
+    through.  With `time`, a watermarked column, and `idle_ms`, a key starts anew once the watermark is that far
+    beyond its latest row.
     """
-    rows = df.select(F.col(key).alias("key"), F.col(value).cast("bigint").alias("value"), *carry, *([time] if time else []))
+    number = F.col(value).cast("bigint")
+    rows = df.select(
+        F.col(key).alias("key"), F.coalesce(number, F.lit(0)).alias("value"), number.isNull().alias("_absent"),
+        *carry, *([time] if time else []),
+    )
+    by = ["value" if o == value else o for o in order]
     fields = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
     timeout = GroupStateTimeout.EventTimeTimeout if time else GroupStateTimeout.NoTimeout
 
@@ -60,6 +74,8 @@ def rolling_sums(
         total, latest = state.get if state.exists else (0, 0)
         if time and latest + idle_ms <= state.getCurrentWatermarkMs():
             total, latest = 0, 0  # new rows came in the very batch in which the time ran out
+        if by:  # the rows of a key in one micro-batch, which the files per trigger bound
+            parts = iter([pd.concat(list(parts), ignore_index=True).sort_values(by, kind="stable", ignore_index=True)])
         for part in parts:
             sums = part["value"].cumsum() + total
             if len(sums):
@@ -74,48 +90,65 @@ def rolling_sums(
     return (
         rows.groupBy("key")
         .applyInPandasWithState(update, f"{fields}, rolling bigint", "total bigint, latest bigint", "append", timeout)
+        .withColumn("value", F.when(~F.col("_absent"), F.col("value")))
+        .drop("_absent")
         .withColumnRenamed("key", key)
     )
 
 
 def sequence_alerts(
-    df: DataFrame, key: str, time: str, status: str, steps: Sequence[str], within_seconds: int
+    df: DataFrame,
+    key: str,
+    time: str,
+    status: str,
+    steps: Sequence[str],
+    within_seconds: int,
+    tie: str | None = None,
+    delay: str = "0 seconds",
 ) -> DataFrame:
     """Alerts for `steps` as consecutive events of a key within the limit, over a stream.
 
-    The state is the tail of the key's events, shorter than the pattern.  Events are put in time order within
-    a micro-batch, as one number and one byte each, so the files per trigger bound what a key brings at once.
+    The state is the tail of the key's events, shorter than the pattern.  Tail and micro-batch are put in order of time, and
+    of the integer column `tie` where times are equal, as numbers and one byte each; the files per trigger bound what a key
+    brings at once.  An alert needs a new event.  Events behind the watermark, `delay` after the latest event of
+    earlier micro-batches, are dropped, as are events without a time.
     """
     steps = list(steps)
     depth = len(steps) - 1
     names = sorted(set(steps))
     code = F.coalesce(F.array_position(F.array(*[F.lit(n) for n in names]), F.col(status)), F.lit(0)).cast("tinyint")
     wanted = [names.index(s) + 1 for s in steps]
-    rows = df.select(
-        F.col(key).alias("key"), F.unix_micros(F.col(time).cast("timestamp")).alias("at"), code.alias("code")
-    )
+    seen = F.col(time).cast("timestamp")
+    rows = df.withColumn("_seen", seen).where(seen.isNotNull()).withWatermark("_seen", delay).select(
+        F.col(key).alias("key"), F.unix_micros("_seen").alias("at"), code.alias("code"),
+        (F.col(tie).cast("bigint") if tie else F.lit(0).cast("bigint")).alias("tie"), "_seen",
+    )
     kind = dict(rows.dtypes)["key"]
 
     def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tail_at, tail_code = state.get if state.exists else ([], [])
-        new = [(p["at"].to_numpy("int64"), p["code"].to_numpy("int8")) for p in parts]
-        at, code = np.concatenate([n[0] for n in new]), np.concatenate([n[1] for n in new])
-        order = np.argsort(at, kind="stable")
-        at = np.concatenate([np.array(tail_at, "int64"), at[order]])
-        code = np.concatenate([np.array(tail_code, "int8"), code[order]])
+        tail = [np.array(x, "int64") for x in state.get] if state.exists else [np.zeros(0, "int64")] * 3
+        new = [[p[c].to_numpy("int64") for c in ("at", "code", "tie")] for p in parts]
+        new = [np.concatenate([n[i] for n in new]) for i in range(3)]
+        timely = new[0] >= state.getCurrentWatermarkMs() * 1000
+        at, code, tie_ = (np.concatenate([t, n[timely]]) for t, n in zip(tail, new))
+        fresh = np.arange(len(at)) >= len(tail[0])
+        order = np.lexsort((tie_, at))
+        at, code, tie_, fresh = at[order], code[order], tie_[order], fresh[order]
         ends = np.arange(depth, len(at))
         hit = at[ends] - at[ends - depth] <= within_seconds * 1_000_000
+        any_new = np.zeros(len(ends), bool)
         for i, step in enumerate(wanted):
             hit &= code[ends - depth + i] == step
-        found = ends[hit]
+            any_new |= fresh[ends - depth + i]
+        found = ends[hit & any_new]
         yield pd.DataFrame({"key": [key[0]] * len(found), "first_us": at[found - depth], "last_us": at[found]})
-        keep = len(at) - depth if len(at) > depth else 0
-        state.update((at[keep:].tolist(), code[keep:].tolist()))
+        keep = max(0, len(at) - depth)
+        state.update((at[keep:].tolist(), code[keep:].tolist(), tie_[keep:].tolist()))
 
     return (
         rows.groupBy("key")
         .applyInPandasWithState(
-            update, f"key {kind}, first_us bigint, last_us bigint", "at array<bigint>, code array<int>",
+            update, f"key {kind}, first_us bigint, last_us bigint", "at array<bigint>, code array<bigint>, tie array<bigint>",
             "append", GroupStateTimeout.NoTimeout,
         )
         .select(

@@ -12,17 +12,17 @@ from tests.conftest import plan_of, rows_of
 
 @pytest.fixture
 def people(spark):
-    return spark.createDataFrame([(1, "John"), (2, "Albert"), (3, "Lui"), (4, "Smith"), (5, "Robert")], "id int, name string")
+    return spark.createDataFrame([(1, "Ada"), (3, "Ben"), (4, "Cleo"), (6, "Dag"), (7, "Eva")], "id int, name string")
 
 
 @pytest.fixture
 def places(spark):
-    return spark.createDataFrame([(1, "DC"), (2, "NY"), (4, "LA"), (6, "LU"), (7, "DL"), (8, "NH")], "id int, state string")
+    return spark.createDataFrame([(1, "Ulm"), (2, "Graz"), (4, "Bern"), (5, "Kiel"), (7, "Linz"), (9, "Chur")], "id int, state string")
 
 
-INNER = {(1, "John", "DC"), (2, "Albert", "NY"), (4, "Smith", "LA")}
-LEFT = {(3, "Lui", "NULL"), (5, "Robert", "NULL")}
-RIGHT = {(6, "NULL", "LU"), (7, "NULL", "DL"), (8, "NULL", "NH")}
+INNER = {(1, "Ada", "Ulm"), (4, "Cleo", "Bern"), (7, "Eva", "Linz")}
+LEFT = {(3, "Ben", "NULL"), (6, "Dag", "NULL")}
+RIGHT = {(2, "NULL", "Graz"), (5, "NULL", "Kiel"), (9, "NULL", "Chur")}
 
 
 @pytest.mark.parametrize("how,want", [("inner", INNER), ("left", INNER | LEFT), ("right", INNER | RIGHT), ("full", INNER | LEFT | RIGHT)])
@@ -79,7 +79,58 @@ def test_sql_hints(people, places, hint):
 def test_nest_loop_hint(people, places):
     out = joins.sql_join(people, places, "NEST_LOOP", "l.id < r.id", "l.id AS a, r.id AS b")
     assert "BroadcastNestedLoopJoin" in plan_of(out)
-    assert out.count() == sum(a < b for a in (1, 2, 3, 4, 5) for b in (1, 2, 4, 6, 7, 8))
+    assert out.count() == sum(a < b for a in (1, 3, 4, 6, 7) for b in (1, 2, 4, 5, 7, 9))
+
+
+def test_nest_loop_without_a_small_side_is_no_product(people, places):
+    with pytest.warns(UserWarning, match="grid"):
+        out = joins.sql_join(people, places, "NEST_LOOP", "l.id < r.id", "l.id AS a, r.id AS b", max_rows=2, rows_per_task=2)
+    assert "Cartesian" not in plan_of(out) and "NestedLoop" not in plan_of(out)
+    assert rows_of(out) == sorted(((a, b) for a in (1, 3, 4, 6, 7) for b in (1, 2, 4, 5, 7, 9) if a < b), key=str)
+
+
+def test_an_unfit_broadcast_becomes_a_plain_join(people, places):
+    with pytest.warns(UserWarning, match="without a hint"):
+        out = joins.sql_join(people, places, "BROADCAST", "l.id = r.id", "l.id, name, state", max_rows=2)
+    assert "Hint" not in out._jdf.queryExecution().logical().toString() and {tuple(r) for r in out.collect()} == INNER
+
+
+def most_in_a_task(df):
+    return df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+
+
+def test_pairs_of_a_key_spread_over_tasks(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        left = spark.range(1000).select(F.lit(1).alias("k"), F.col("id").alias("l"))
+        right = spark.range(1000).select(F.lit(1).alias("k"), F.col("id").alias("r"))
+        out = joins.equi_join(left, right, "k", hint=("left", "merge"), rows_per_task=1000)
+        assert out.count() == 1_000_000 and most_in_a_task(out) < 200_000
+        assert out.distinct().count() == 1_000_000
+        same = spark.range(10_000).select(F.lit(1).alias("k"), F.lit("x").alias("l")).coalesce(1)
+        one = spark.createDataFrame([(1, "y")], "k int, r string")
+        out = joins.equi_join(same, one, "k", hint=("left", "merge"), rows_per_task=100)
+        assert out.count() == 10_000 and most_in_a_task(out) < 2_000
+    finally:
+        spark.conf.unset("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_streams_are_joined_by_spark(spark, tmp_path):
+    spark.createDataFrame([(1, "a"), (2, "b")], "k int, l string").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("k int, l string").parquet(f"{tmp_path}/in")
+    fixed = spark.createDataFrame([(1, "x")], "k int, r string")
+    assert joins.named_join(stream, fixed, "k", "left").isStreaming
+    assert joins.hinted_join(stream, fixed, "k", "broadcast_first").isStreaming
+
+
+def test_asof_join_of_nulls(spark):
+    left = spark.createDataFrame([("a", 5, 1), (None, 5, 2), ("a", None, 3), ("b", 5, 4)], "k string, t bigint, id bigint")
+    right = spark.createDataFrame([("a", 1, 10, "v"), (None, 1, 11, "n"), ("b", None, 12, "w")], "k string, vt bigint, vid bigint, rate string")
+    got = joins.asof_join(left, right, ["k"], ["t", "id"], ["vt", "vid"], ["rate"])
+    assert {r["id"]: r["rate"] for r in got.collect()} == {1: "v", 2: None, 3: None, 4: None}
 
 
 def skewed(spark, n, seed, prefix, hot):

@@ -5,8 +5,9 @@ import os
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from compare import TABLES, _table
+from rillstone.plans import ORACLES, QUERIES
 from rillstone.sources.files import table
 from tests.conftest import plan_of
 
@@ -23,13 +24,13 @@ def db():
 
 
 def test_every_query_has_an_oracle():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, db, name):
-    got = queries()[name](spark, FOLDER)
-    want = db.execute(oracle_sql()[name])
+    got = QUERIES[name](spark, FOLDER)
+    want = db.execute(ORACLES[name])
     names = [d[0] for d in want.description]
     assert _table(got.columns, [tuple(r) for r in got.collect()]) == _table(names, want.fetchall())
 
@@ -57,11 +58,11 @@ def test_entry(spark):
 
 
 def test_scans_read_only_what_is_needed(spark):
-    plan = plan_of(queries()["word_count"](spark, FOLDER))
+    plan = plan_of(QUERIES["word_count"](spark, FOLDER))
     assert "ReadSchema: struct<event_type:string>" in plan
-    plan = plan_of(queries()["word_count_filter"](spark, FOLDER))
+    plan = plan_of(QUERIES["word_count_filter"](spark, FOLDER))
     assert "StringStartsWith(event_type,e)" in plan
-    plan = plan_of(queries()["frequent_buyers"](spark, FOLDER))
+    plan = plan_of(QUERIES["frequent_buyers"](spark, FOLDER))
     assert "EqualTo(event_type,purchase)" in plan and "ReadSchema: struct<user_id:bigint,event_type:string>" in plan
 
 

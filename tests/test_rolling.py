@@ -12,13 +12,13 @@ from tests.conftest import plan_of
 RECORD = ["category", "product", "profit"]
 
 
-def june(df, *names):
-    return [tuple(row[n] for n in names) for row in df.filter("month = 'June'").orderBy("seq").collect()]
+def may(df, *names):
+    return [tuple(row[n] for n in names) for row in df.filter("month = 'May'").orderBy("seq").collect()]
 
 
 def test_rolling_sum_in_file_order(profits):
     out = r.roll(profits, ["month"], ["seq"], r.rolling_sum("profit", "s"))
-    assert [x for (x,) in june(out, "s")] == [12, 22, 60, 101, 140, 154, 195, 215, 232]
+    assert [x for (x,) in may(out, "s")] == [17, 26, 70, 96, 105, 149, 162]
 
 
 def test_field_only_and_whole_record_minimum(profits):
@@ -26,27 +26,27 @@ def test_field_only_and_whole_record_minimum(profits):
         profits, ["month"], ["seq"], r.rolling_min("profit", "low"), r.rolling_first("product", "p"),
         r.rolling_first("category", "c"), r.rolling_min_by("profit", RECORD, "rec"),
     )
-    row = out.filter("month = 'June'").orderBy("seq").collect()[1]
-    assert (row["c"], row["p"], row["low"]) == ("Category5", "Bat", 10)
-    assert tuple(row["rec"]["_r"]) == ("Category4", "Perfume", 10)
+    row = out.filter("month = 'May'").orderBy("seq").collect()[1]
+    assert (row["c"], row["p"], row["low"]) == ("Garden", "Rake", 9)
+    assert tuple(row["rec"]["_r"]) == ("Kitchen", "Kettle", 9)
 
 
 def test_ties_keep_the_first_or_the_last_record(profits):
     out = r.roll(
         profits, ["month"], ["seq"], r.rolling_max_by("profit", RECORD, "a"), r.rolling_max_by("profit", RECORD, "b", last=True)
     )
-    row = out.filter("month = 'June'").orderBy(F.desc("seq")).first()
-    assert tuple(row["a"]["_r"]) == ("Category5", "Bat", 41)
-    assert tuple(row["b"]["_r"]) == ("Category2", "Tablet", 41)
+    row = out.filter("month = 'May'").orderBy(F.desc("seq")).first()
+    assert tuple(row["a"]["_r"]) == ("Office", "Lamp", 44)
+    assert tuple(row["b"]["_r"]) == ("Office", "Chair", 44)
 
 
 def test_final_state(profits):
     out = {x["month"]: x for x in final_state(profits, ["month"], "profit", ["seq"], RECORD).collect()}
-    assert [(m, out[m]["n"], out[m]["total"], out[m]["smallest"], out[m]["largest"]) for m in ("August", "July", "June")] == [
-        ("August", 6, 212, 16, 50), ("July", 3, 89, 12, 50), ("June", 9, 232, 10, 41),
+    assert [(m, out[m]["n"], out[m]["total"], out[m]["smallest"], out[m]["largest"]) for m in ("May", "November", "September")] == [
+        ("May", 7, 162, 9, 44), ("November", 1, 23, 23, 23), ("September", 4, 113, 12, 58),
     ]
-    assert tuple(out["June"]["max_last"]) == ("Category2", "Tablet", 41)
-    assert out["June"]["mean"] == 232 / 9
+    assert tuple(out["May"]["max_last"]) == ("Office", "Chair", 44)
+    assert out["May"]["mean"] == 162 / 7
 
 
 def heavy_rows(n, seed=3):
@@ -139,3 +139,11 @@ def test_order_must_be_a_position(spark):
     df = spark.createDataFrame([("a", "b")], "k string, o string")
     with pytest.raises(TypeError):
         r.roll(df, ["k"], ["o"], r.rolling_count("n"))
+
+
+def test_a_missing_value_is_no_extreme_and_not_in_the_mean(spark):
+    df = spark.createDataFrame([("k", 1, 10), ("k", 2, None), ("k", 3, 5)], "k string, seq bigint, v bigint")
+    out = r.roll(df, ["k"], ["seq"], r.rolling_min_by("v", ["seq"], "low"), r.rolling_min("v", "m")).orderBy("seq").collect()
+    assert [x["low"]["_r"]["seq"] for x in out] == [1, 1, 3] and [x["m"] for x in out] == [10, 10, 5]
+    last = final_state(df, ["k"], "v", ["seq"], ["seq"]).first()
+    assert (last["n"], last["mean"], last["min_first"]["seq"]) == (3, 7.5, 3)

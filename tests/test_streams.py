@@ -146,7 +146,7 @@ def test_scoring_a_stream_fans_out_to_tagged_folders(spark, tmp_path, transactio
     scored = fraud.score(parsing.parse(lines, "value"))
     tagged = routing.tagged(scored, {"fraud": F.col("is_fraud")}, "normal").select("txn_id", "score", "tag")
     runner.run(tagged, f"{tmp_path}/out", f"{tmp_path}/checkpoint", partition_by=["tag"])
-    assert rows_of(spark.read.parquet(f"{tmp_path}/out/tag=fraud")) == [("TXN002", 47), ("TXN004", 47)]
+    assert rows_of(spark.read.parquet(f"{tmp_path}/out/tag=fraud")) == [("TXN902", 47), ("TXN904", 47)]
     static = fraud.score(transactions).select("txn_id", "score")
     assert rows_of(spark.read.parquet(f"{tmp_path}/out").select("txn_id", "score")) == rows_of(static)
 
@@ -217,3 +217,34 @@ def test_interval_join_bounds(spark):
     right = spark.createDataFrame([(1, t(9)), (1, t(10)), (1, t(15)), (1, t(16))], "rid int, b timestamp")
     out = joins.interval_join(left, right, {"id": "rid"}, "a", "b", "5 seconds", "0 seconds")
     assert [r["b"] for r in out.orderBy("b").collect()] == [t(10), t(15)]
+
+
+def test_running_totals_keep_large_numbers_beside_nulls(spark, tmp_path):
+    drop(f"{tmp_path}/in", [["a,9007199254740993", "a,"]])
+    rows = streams.delimited_stream(spark, f"{tmp_path}/in", "k string, v bigint")
+    assert rows_of(runner.to_table(stateful.running_totals(rows, "k", "v"), "large")) == [("a", 2, 9007199254740993)]
+
+
+def test_rolling_sums_follow_their_order_and_take_nulls(spark, tmp_path):
+    drop(f"{tmp_path}/in", [["a,3,5", "a,1,10", "a,2,"], ["a,5,", "a,4,9007199254740993"]])
+    rows = streams.delimited_stream(spark, f"{tmp_path}/in", "k string, at bigint, v bigint", max_files=1)
+    out = runner.to_table(stateful.rolling_sums(rows, "k", "v", ["at"], order=["at"]), "ordered").orderBy("at")
+    big = 9007199254740993
+    assert [(r["value"], r["rolling"]) for r in out.collect()] == [(10, 10), (None, 10), (5, 15), (big, big + 15), (None, big + 15)]
+
+
+def test_a_late_event_raises_no_false_alert(spark, tmp_path):
+    drop(f"{tmp_path}/in", [["1000000,ip,fail", "1001000,ip,fail", "1002000,ip,fail"], ["10000,ip,ok", "1003000,ip,fail"], ["1004000,ip,ok"]])
+    rows = streams.delimited_stream(spark, f"{tmp_path}/in", "ms bigint, ip string, status string", max_files=1)
+    timed = rows.select(F.timestamp_millis("ms").alias("t"), "ip", "status")
+    out = runner.to_table(stateful.sequence_alerts(timed, "ip", "t", "status", ["fail", "fail", "fail", "ok"], 300), "late_alerts")
+    assert rows_of(out.select(F.unix_seconds("first_time"), F.unix_seconds("last_time"))) == [(1001, 1004)]
+
+
+def test_windows_open_at_the_end_of_the_input_are_added(spark, tmp_path):
+    drop(f"{tmp_path}/in", [b for b in BATCHES if not b[0].startswith("3000")])
+    static = spark.read.schema(STORE).csv(f"{tmp_path}/in").select(F.timestamp_millis("ms").alias("t"), "store", "sale")
+    whole = lambda rows: windowed(rows, "t", "10 seconds", [F.sum("sale").alias("total")], ["store"], "5 seconds")
+    closed = runner.to_table(sliding(spark, f"{tmp_path}/in"), "closed")
+    done = runner.with_open_windows(closed, static, "t", 1000, "window_end", whole, "10 seconds")
+    assert rows_of(done) == rows_of(whole(static)) and done.count() > closed.count()
