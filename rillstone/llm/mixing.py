@@ -20,6 +20,17 @@ BLOCK_WORDS, SHARD_ROWS = 16, 4_096
 SEED = 20
 
 
+def _text(*parts: Column | str | int) -> Column:
+    """Parts as one text with slashes between; nulls are empty."""
+    columns = [F.col(p) if isinstance(p, str) else F.lit(p) if isinstance(p, int) else p for p in parts]
+    return F.concat_ws("/", *[F.coalesce(c.cast("string"), F.lit("")) for c in columns])
+
+
+def _number(*parts: Column | str | int) -> Column:
+    """A number of 60 bits from the md5 of the parts."""
+    return F.conv(F.substring(F.md5(_text(*parts)), 1, 15), 16, 10).cast("long")
+
+
 def sizes(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, key, source, size): the words of every row, written once so that texts are read once."""
     return stored(
@@ -140,8 +151,7 @@ def mixed(
     sources = stored(source_quotas(targets(sized, weights, share, most), block_words), "quotas")
     told = sources.select(F.col("source").alias("__source"), "place", "n_rows", "source_size", "target", "blocks")
     rows = sized.join(told, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    uniform = F.pmod(F.xxhash64(F.lit(seed), "id", "key"), F.ceil(F.col("n_rows") / shard_rows))
-    rows = rows.withColumn("shard", uniform.cast("int"))
+    rows = rows.withColumn("shard", (_number(seed, "id", "size") % F.ceil(F.col("n_rows") / shard_rows)).cast("int"))
     shards = rows.groupBy("place", "source", "shard").agg(F.sum("size").alias("words"), F.first("blocks").alias("blocks"))
     quotas = shard_quotas(shards.drop("place"))
     length, quota = F.col("words"), F.col("quota")
@@ -151,11 +161,11 @@ def mixed(
         F.col("shard").alias("__shard"),
         F.least(F.floor(quota / blocks), F.lit(int(most))).cast("long").alias("turns"),
         F.when(F.floor(quota / blocks) < int(most), quota % blocks).otherwise(0).cast("long").alias("__blocks"),
-        (F.pmod(F.xxhash64(F.lit(seed), "source", "shard"), blocks) * block_words).alias("__begin"),
+        (_number(seed, "source", "shard") % blocks * block_words).alias("__begin"),
         length.alias("__words"),
     )
     quotas = stored(quotas, "shard-quotas").withColumn("__end", F.col("__begin") + F.col("__blocks") * block_words)
-    line = Window.partitionBy("place", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "id", "key"), "id", "key", "size")
+    line = Window.partitionBy("place", "shard").orderBy(F.md5(_text(seed + 1, "id")), "id", "size", "key")
     at = F.coalesce(F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     laid = rows.withColumn("__at", at).join(
         quotas, F.col("source").eqNullSafe(F.col("__source")) & (F.col("shard") == F.col("__shard"))

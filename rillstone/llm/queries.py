@@ -112,6 +112,59 @@ def op5_mix_sainte_lague(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+ORACLES["op5_mix_sainte_lague"] = f"""
+WITH sized AS (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents
+), per_source AS (
+    SELECT source, count(*) AS n_rows, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
+), placed AS (
+    SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM per_source
+), weighed AS (
+    SELECT *, list_extract([3.0, 1.0, 2.0], (place % 3 + 1)::INT)::DOUBLE AS weight, 2.0::DOUBLE * source_size AS most FROM placed
+), filling AS (
+    SELECT weight, most, (1.5::DOUBLE * (SELECT sum(source_size) FROM weighed)
+        - coalesce(sum(most) OVER (ORDER BY most / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+        / sum(weight) OVER (ORDER BY most / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rate
+    FROM weighed
+), aimed AS (
+    SELECT *, least(weight * (SELECT max(rate) FROM filling WHERE weight * rate <= most), most) AS target FROM weighed
+), seats AS (
+    SELECT place, row_number() OVER (ORDER BY target / (2 * k - 1) DESC, place, k) AS number
+    FROM aimed, unnest(range(1, (target / {mixing.BLOCK_WORDS})::BIGINT + (SELECT count(*) FROM aimed) + 1)) AS r(k) WHERE target > 0
+), quotas AS (
+    SELECT place, count(*) AS blocks FROM seats
+    WHERE number <= (SELECT floor(sum(target) / {mixing.BLOCK_WORDS} + 0.5) FROM aimed) GROUP BY place
+), rowed AS (
+    SELECT s.*, a.place, a.source_size, a.target, coalesce(q.blocks, 0) AS blocks,
+        ('0x' || substr(md5('{mixing.SEED}/' || coalesce(doc_id::VARCHAR, '') || '/' || size), 1, 15))::BIGINT
+            % ceil(n_rows / {mixing.SHARD_ROWS}.0)::BIGINT AS shard
+    FROM sized s JOIN aimed a ON s.source IS NOT DISTINCT FROM a.source LEFT JOIN quotas q ON a.place = q.place
+), shards AS (
+    SELECT place, source, shard, sum(size)::BIGINT AS words, first(blocks) AS blocks FROM rowed GROUP BY ALL
+), shard_seats AS (
+    SELECT place, shard, blocks, row_number() OVER (PARTITION BY place ORDER BY words::DOUBLE / (2 * k - 1) DESC, shard, k) AS number
+    FROM (SELECT *, count(*) OVER w AS n, sum(words) OVER w AS total FROM shards WINDOW w AS (PARTITION BY place)),
+        unnest(range(1, (blocks * words / greatest(total, 1))::BIGINT + n + 2)) AS r(k) WHERE words > 0
+), shard_quotas AS (
+    SELECT s.*, coalesce(quota, 0) AS quota, greatest(1, ceil(words / {mixing.BLOCK_WORDS}.0))::BIGINT AS whole FROM shards s
+    LEFT JOIN (SELECT place, shard, count(*) AS quota FROM shard_seats WHERE number <= blocks GROUP BY ALL) q
+    ON s.place = q.place AND s.shard = q.shard
+), turned AS (
+    SELECT place, shard, least(quota // whole, 2) AS turns, {mixing.BLOCK_WORDS} * ceil(words / {mixing.BLOCK_WORDS}.0)::BIGINT AS line,
+        {mixing.BLOCK_WORDS} * (('0x' || substr(md5('{mixing.SEED}/' || coalesce(source, '') || '/' || shard), 1, 15))::BIGINT % whole) AS low,
+        {mixing.BLOCK_WORDS} * CASE WHEN quota // whole < 2 THEN quota % whole ELSE 0 END AS more
+    FROM shard_quotas
+), laid AS (
+    SELECT *, coalesce(sum(size) OVER (PARTITION BY place, shard ORDER BY md5('{mixing.SEED + 1}/' || coalesce(doc_id::VARCHAR, '')), doc_id, size
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begun FROM rowed
+)
+SELECT doc_id, size::BIGINT AS size, source_size, target, (turns * size
+    + greatest(0, least(begun + size, low + more, line) - greatest(begun, low))
+    + greatest(0, least(begun + size, low + more - line) - begun))::BIGINT AS taken
+FROM laid l JOIN turned t ON l.place = t.place AND l.shard = t.shard
+"""
+
+
 @registered
 def op6_embedding_multi_index(spark: SparkSession, folder: str) -> DataFrame:
     """Links and classes of near-duplicate vectors."""
