@@ -40,7 +40,7 @@ def parse_delimited(spark: SparkSession, folder: str) -> DataFrame:
     return parsing.pick(_report_lines(spark, folder), "line", layout)
 
 
-def _transaction_lines(spark: SparkSession, folder: str) -> DataFrame:
+def transaction_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Transaction lines as they arrive: pending orders have no time yet, some amounts are not numbers."""
     key = F.col("o_orderkey")
     amount = F.when(F.col("o_orderpriority") == "4-NOT SPECIFIED", "x").otherwise(
@@ -59,11 +59,11 @@ def _transaction_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def parse_good(spark: SparkSession, folder: str) -> DataFrame:
-    return parsing.parse(_transaction_lines(spark, folder), "line")
+    return parsing.parse(transaction_lines(spark, folder), "line")
 
 
 def parse_rejects(spark: SparkSession, folder: str) -> DataFrame:
-    return parsing.rejects(_transaction_lines(spark, folder), "line")
+    return parsing.rejects(transaction_lines(spark, folder), "line")
 
 
 def _transactions(spark: SparkSession, folder: str) -> DataFrame:

@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rillstone.operators import fraud, routing
+from rillstone.operators import fraud, parsing, routing
 from rillstone.operators.windows import stamp_arrival, streaming_sessions, windowed
+from rillstone.plans.basics import ORACLES as BASICS, transaction_lines
 from rillstone.plans.common import EVENTS_SQL, events, in_cents, scored_input, shown
 from rillstone.plans.reports import ORACLES as REPORTS
 from rillstone.plans.scoring import ORACLES as SCORING
 from rillstone.plans.windows import window_sql
 from rillstone.session import fresh_dir
-from rillstone.sources.streams import table_stream
-from rillstone.streaming.runner import run, to_table, with_open_sessions, with_open_windows
+from rillstone.sinks import write_text
+from rillstone.sources.streams import line_stream, table_stream
+from rillstone.streaming.runner import run, to_table, to_tables, with_open_sessions, with_open_windows
 from rillstone.streaming.stateful import rolling_sums, running_totals, sequence_alerts
 
 _BOUNDS = ("window_start", "window_end")
@@ -76,6 +78,27 @@ def stream_processing_time(spark: SparkSession, folder: str) -> DataFrame:
     return windows.groupBy("event_type").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
 
 
+def stream_fan_out(spark: SparkSession, folder: str) -> DataFrame:
+    """One input, two sinks with aggregates of their own: totals per kind of event, and events per hour."""
+    whole = lambda rows: windowed(rows, "ts", "1 hour", [F.count(F.lit(1)).alias("n")])
+    rows = _events(spark, folder)
+    out = to_tables({
+        "kinds": running_totals(rows, "event_type", "cents"), "hours": whole(rows.withWatermark("ts", "0 seconds")),
+    })
+    kinds = out["kinds"].groupBy("event_type").agg(F.max_by("total", "n").alias("value"))
+    hours = shown(with_open_windows(out["hours"], events(spark, folder, *_COLUMNS), "ts", 0, "window_end", whole, "1 hour"), *_BOUNDS)
+    return kinds.select(F.lit("kinds").alias("sink"), F.col("event_type").alias("key"), "value").unionByName(
+        hours.select(F.lit("hours").alias("sink"), F.col("window_start").alias("key"), F.col("n").alias("value"))
+    )
+
+
+def stream_delimited_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Transaction lines that arrive as text files, parsed and written row by row as delimited files."""
+    root = fresh_dir(spark, "lines")
+    write_text(transaction_lines(spark, folder), f"{root}/in", F.col("line"))
+    return to_table(parsing.parse(line_stream(spark, f"{root}/in"), "value"), "stream_delimited_lines", format="csv")
+
+
 def stream_rolling_sum(spark: SparkSession, folder: str) -> DataFrame:
     """Every event with its user's running sum, kept in state across micro-batches."""
 
@@ -120,7 +143,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         stream_tumbling_sum, stream_sliding_sum, stream_session, stream_processing_time, stream_count_by_type,
-        stream_rolling_sum, stream_pattern, stream_split, stream_fraud, stream_report_lines,
+        stream_fan_out, stream_delimited_lines, stream_rolling_sum, stream_pattern, stream_split, stream_fraud, stream_report_lines,
     )
 }
 
@@ -140,6 +163,10 @@ ORACLES = {
           FROM ({EVENTS_SQL})))
         GROUP BY user_id, s""",
     "stream_processing_time": f"SELECT event_type, count(*) AS n, {_SUM} FROM ({EVENTS_SQL}) GROUP BY 1",
+    "stream_fan_out": f"""
+        SELECT 'kinds' AS sink, event_type AS key, CAST(sum(cents) AS BIGINT) AS value FROM ({EVENTS_SQL}) GROUP BY 2
+        UNION ALL SELECT 'hours', window_start, n FROM ({window_sql(1, "", "count(*) AS n")})""",
+    "stream_delimited_lines": BASICS["parse_good"],
     "stream_rolling_sum": f"""
         SELECT event_id, user_id, CAST(sum(cents) OVER (PARTITION BY user_id ORDER BY ts, event_id
                ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total FROM ({EVENTS_SQL})""",

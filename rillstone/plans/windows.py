@@ -31,6 +31,11 @@ def window_count_sum_lines(spark: SparkSession, folder: str) -> DataFrame:
     return out.select(windows.count_sum_line("event_type", "n", "total").alias("line"))
 
 
+def window_total_lines(spark: SparkSession, folder: str) -> DataFrame:
+    out = windowed(_events(spark, folder), "ts", "1 hour", [F.sum("cents").alias("total")])
+    return out.select(windows.total_line("window_end", "total").alias("line"))
+
+
 def window_all_sum(spark: SparkSession, folder: str) -> DataFrame:
     return shown(windowed(_events(spark, folder), "ts", "1 hour", [F.sum("cents").alias("total")]), *_BOUNDS)
 
@@ -53,8 +58,8 @@ def window_session(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        window_tumbling_sales, window_count_sum, window_count_sum_lines, window_all_sum, window_sliding_sum,
-        window_sliding_avg, window_session,
+        window_tumbling_sales, window_count_sum, window_count_sum_lines, window_total_lines, window_all_sum,
+        window_sliding_sum, window_sliding_avg, window_session,
     )
 }
 
@@ -78,6 +83,7 @@ ORACLES = {
     "window_count_sum_lines": f"""
         SELECT 'WindowStart=' || window_start || ', Key=' || event_type || ', Count=' || n || ', Sum=' || total AS line
         FROM ({window_sql(1, "event_type", f"count(*) AS n, {_SUM}")})""",
+    "window_total_lines": f"SELECT window_end || '.000,' || total AS line FROM ({window_sql(1, '', _SUM)})",
     "window_all_sum": window_sql(1, "", _SUM),
     "window_sliding_sum": window_sql(2, "event_type", _SUM),
     "window_sliding_avg": window_sql(
