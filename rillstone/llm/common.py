@@ -24,6 +24,12 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def plain(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """`df` with columns c0, c1, ... and the new name of each: nothing an operator adds can clash with them."""
+    names = {name: f"c{i}" for i, name in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
 def row_key(df: DataFrame) -> Column:
     """A hash of all columns, nulls included, to tell apart rows that share an id."""
     fields = sorted(df.schema, key=lambda f: f.name)

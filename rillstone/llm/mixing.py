@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORDS, ranked, row_key, stored
+from .common import WORDS, plain, ranked, row_key, stored
 
 #: Words per block, rows per shard.
 BLOCK_WORDS, SHARD_ROWS = 16, 4_096
@@ -192,6 +192,8 @@ def mixture(docs: DataFrame, source_col: str = "source", text_col: str = "text",
     Parts keep the white space before their words.  Identical rows are told apart by nothing, so what is taken of
     them together is given out to one of them.
     """
+    docs, names = plain(docs)
+    source_col, text_col, id_col = names[source_col], names[text_col], names[id_col]
     taken = mixed(docs, source_col=source_col, text_col=text_col, id_col=id_col, **options)
     part = F.struct("from_1", "to_1", "from_2", "to_2", "size")
     plan = taken.groupBy(F.col("id").alias("__id"), F.col("key").alias("__hash")).agg(
@@ -207,4 +209,4 @@ def mixture(docs: DataFrame, source_col: str = "source", text_col: str = "text",
     spaced = F.regexp_extract_all(F.col(text_col), F.lit(rf"[\x20\x09-\x0D]*{WORDS}"), F.lit(0))
     cut = lambda a, b: F.array_join(F.slice(spaced, F.expr(f"CAST(__part.{a} + 1 AS INT)"), F.expr(f"CAST(__part.{b} - __part.{a} AS INT)")), "")
     text = F.when(F.col("__part").isNull() | whole, F.col(text_col)).otherwise(F.concat(cut("from_2", "to_2"), cut("from_1", "to_1")))
-    return copies.withColumn(text_col, text).select(*[f"`{name}`" for name in docs.columns])
+    return copies.withColumn(text_col, text).select(*docs.columns).toDF(*names)

@@ -78,7 +78,7 @@ class MultiIndex:
     def cells(self, units: np.ndarray, visits: int | None = None) -> np.ndarray:
         """The cells that each vector visits, its own first; shape (vectors, visits)."""
         visits = min(visits or self.visits, len(self.left) * len(self.right))
-        half = units.shape[1] // 2
+        half = self.left.shape[1]
         a, b = _distances(units[:, :half], self.left), _distances(units[:, half:], self.right)
         out = [[i * len(self.right) + j for i, j in traverse(x, y, visits)] for x, y in zip(a, b, strict=True)]
         return np.array(out, np.int64).reshape(len(units), visits)

@@ -18,6 +18,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import plain
+
 KINDS = ("email", "ip", "card", "phone")
 
 #: Base patterns.  They match what the plain ones match: `++` gives up backtracking that can't succeed, and what stands
@@ -303,6 +305,8 @@ def redacted(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", le
 
     Spans that overlap are replaced as one, under the kind of the first.  `length_col`, if it is a column, gets the new length.
     """
+    docs, renamed = plain(docs)
+    id_col, text_col, length_col = renamed[id_col], renamed[text_col], renamed.get(length_col)
     found = spans(docs, train(docs, id_col, text_col), text_col, "__base_spans", "__spans")
     text = F.col(f"`{text_col}`")
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
@@ -319,6 +323,6 @@ def redacted(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", le
     tail = lambda state: F.concat(F.array_join(state["out"], ""), F.substring(text, (state["at"] + 1).cast("int"), F.length(text)))
     out = found.withColumn("__new", F.when(F.size("__spans") > 0, F.aggregate("__spans", begin, step, tail)).otherwise(text))
     changed = {text_col: F.col("__new")}
-    if length_col and length_col in docs.columns:
+    if length_col:
         changed[length_col] = F.when(F.size("__spans") > 0, F.length("__new").cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col))
-    return out.select(*[changed.get(n, F.col(f"`{n}`")).alias(n) for n in docs.columns])
+    return out.select(*[changed.get(n, F.col(n)).alias(n) for n in docs.columns]).toDF(*renamed)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import row_key, stored
+from .common import plain, row_key, stored
 from .graph import components
 
 MAX_BITS = 4
@@ -242,6 +242,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     The row with the smallest id stays; null ids come last, and among rows of one id the smallest row hash
     decides.  Of identical rows one stays.
     """
+    docs, names = plain(docs)
+    id_col, text_col = names[id_col], names[text_col]
     classes = stored(simhash_classes(docs, id_col, text_col), "classes")
     first = F.min(F.struct(F.col("id").isNull().alias("missing"), "id", "key")).alias("first")
     chosen = classes.groupBy("class_fp").agg(first).select(F.col("first.id").alias("__id"), F.col("first.key").alias("__key"))
@@ -250,4 +252,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     repeated = classes.groupBy("id", "key").count().where("count > 1").limit(1)
     if not repeated.isEmpty():
         kept = kept.dropDuplicates([id_col, "__key"])
-    return kept.select(*[f"`{name}`" for name in docs.columns])
+    return kept.select(*docs.columns).toDF(*names)

@@ -20,13 +20,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import plain
+
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Size of the hash space of features; the model keeps those with a weight.
 SPACE = 1 << 24
 #: Bounds of the training sample, in rows of each class.
 TOXIC_ROWS, CLEAN_ROWS = 2_000, 4_000
 #: Words whose features a task remembers; beyond it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 #: Terms that name groups of people, by axis; the first of each is neutral.
 IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
@@ -256,4 +258,6 @@ def scored(docs: DataFrame, model: Model, keep: Sequence[str], text_col: str = "
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that score below the threshold, with all their columns."""
     model = train(docs, labels, id_col, text_col)
-    return scored(docs, model, docs.columns, text_col, "__toxicity").where(F.col("__toxicity") < threshold).drop("__toxicity")
+    docs, names = plain(docs)
+    kept = scored(docs, model, docs.columns, names[text_col]).where(F.col("score") < threshold)
+    return kept.select(*docs.columns).toDF(*names)

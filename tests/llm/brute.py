@@ -68,7 +68,7 @@ def pii(text):
     for number, (kind, pattern) in enumerate(PII.items()):
         for m in re.finditer(pattern, text or ""):
             digits = re.sub("[^0-9]", "", m.group())
-            if kind == "ip" and any(int(p) > 255 for p in m.group().split(".")):
+            if kind == "ip" and any(len(p.lstrip("0")) > 3 or int(p.lstrip("0") or 0) > 255 for p in m.group().split(".")):
                 continue
             if kind == "card" and not (14 <= len(digits) <= 19 and luhn(digits)):
                 continue
