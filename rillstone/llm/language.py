@@ -29,7 +29,7 @@ from .common import stored
 SAMPLE_ROWS, SPACE, TEXT_UNITS = 4_000, 1 << 16, 30.0
 #: Pseudo-counts: of a trigram, of declarations and suffixes, of the domain's prior and of the overall prior.
 GRAM, DECLARED, HOST, DOMAIN = 0.5, 1.0, 5.0, 5.0
-REMEMBERED = 200_000
+REMEMBERED = 50_000
 
 HIDDEN = re.compile(r"(?is)<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>")
 TAG = re.compile(r"(?s)<[^>]*>")

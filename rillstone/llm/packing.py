@@ -27,7 +27,7 @@ from .common import row_key, stored
 
 MAX_TOKENS = 1024
 #: Pieces of one length that are numbered together.
-BLOCK_ROWS = 4_096
+BLOCK_ROWS = 1_024
 #: Fixed value: how byte-level BPE cuts texts before it merges.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A text on which both ways have to agree.
