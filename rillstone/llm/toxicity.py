@@ -26,7 +26,7 @@ LETTERS = re.compile(r"[^\W\d_]+")
 #: Size of the hash space of features; the model keeps those with a weight.
 SPACE = 1 << 24
 #: Bounds of the training sample, in rows of each class.
-TOXIC_ROWS, CLEAN_ROWS = 2_000, 4_000
+TOXIC_ROWS, CLEAN_ROWS = 1_500, 3_000
 #: Words whose features a task remembers; beyond it starts anew.
 REMEMBERED = 100_000
 
@@ -162,12 +162,17 @@ def _fit(own, labels, others, ridge: float, lasso: float, fairness: float, steps
         share = (positive + 1) / (len(labels) + 2) if len(labels) else 0.01
         return Model(float(np.log(share / (1 - share))))
     # features of fewer than two texts can't generalise
-    names, inverse, counts = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+    lengths = [len(r) for r in own]
+    flat = np.concatenate(own)
+    own.clear()
+    names, inverse, counts = np.unique(flat, return_inverse=True, return_counts=True)
+    del flat
     wide = counts >= 2
     number = np.where(wide, np.cumsum(wide) - 1, -1)
     names = names[wide]
-    at = np.split(number[inverse], np.cumsum([len(r) for r in own])[:-1])
+    at = np.split(number[inverse], np.cumsum(lengths)[:-1])
     x = _Sparse([r[r >= 0] for r in at], len(names))
+    del inverse, number, at  # as large as the sample
     index = {int(f): i for i, f in enumerate(names)}
     source = [i for i, rows in enumerate(others) for _ in rows]
     other = _Sparse([np.array([index[int(f)] for f in row if int(f) in index], np.int64) for rows in others for row in rows], len(names))
@@ -215,9 +220,11 @@ def train(
     kind = docs.schema[id_col].dataType.simpleString()
     rows = sample(docs, labels, id_col, text_col, label_col, toxic_rows, clean_rows)
     found = rows.mapInArrow(_sample_features(terms), f"id {kind}, label int, own array<int>, others array<array<int>>").toArrow().sort_by("id")
-    own = [np.asarray(r.values, np.int64) for r in found.column("own")]
+    own = [np.asarray(r.values, np.int32) for r in found.column("own")]
     others = [[np.array(x, np.int64) for x in r.as_py()] for r in found.column("others")]
-    return _fit(own, found.column("label").to_pylist(), others, ridge, lasso, fairness, steps)
+    labels = found.column("label").to_pylist()
+    del found
+    return _fit(own, labels, others, ridge, lasso, fairness, steps)
 
 
 def _score(model: Model):
