@@ -7,35 +7,43 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rillstone.operators import fraud, parsing, routing
+from rillstone.operators.skew import HEAVY, cut_heavy
 from rillstone.operators.windows import stamp_arrival, streaming_sessions, windowed
 from rillstone.plans.basics import ORACLES as BASICS, transaction_lines
 from rillstone.plans.common import EVENTS_SQL, events, in_cents, scored_input, shown
 from rillstone.plans.reports import ORACLES as REPORTS
 from rillstone.plans.scoring import ORACLES as SCORING
 from rillstone.plans.windows import window_sql
-from rillstone.session import fresh_dir
+from rillstone.session import fresh_dir, stored
 from rillstone.sinks import write_text
 from rillstone.sources.streams import line_stream, table_stream
 from rillstone.streaming.runner import run, to_table, to_tables, with_open_sessions, with_open_windows
-from rillstone.streaming.stateful import rolling_sums, running_totals, sequence_alerts
+from rillstone.streaming.stateful import chunk_totals, rolling_sums, running_totals, sequence_alerts, sums_in_chunks
 
 _BOUNDS = ("window_start", "window_end")
 
 
 _COLUMNS = ("event_id", "ts", "user_id", "event_type", "cents")
 _SLICES = 4
+_ORDER = ["at", "event_id"]
 
 
 def _events(spark: SparkSession, folder: str) -> DataFrame:
     return in_cents(table_stream(spark, folder, "events")).select(*_COLUMNS)
 
 
-def _by_slices(spark: SparkSession, folder: str, name: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Run `build` over the events as they arrive in four spans of time: one micro-batch and one restart for each span."""
+def _ordered(spark: SparkSession, folder: str) -> DataFrame:
+    """The events with `at`, their time in microseconds; events without a time come after all others, as they do in the SQL."""
     rows = events(spark, folder, *_COLUMNS)
-    low, high = rows.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    high = rows.agg(F.max(F.unix_micros("ts"))).first()[0]
+    return rows.withColumn("at", F.coalesce(F.unix_micros("ts"), F.lit((high or 0) + 1)))
+
+
+def _by_slices(spark: SparkSession, rows: DataFrame, name: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Run `build` over `rows` as they arrive in four spans of `at`: one micro-batch and one restart for each span."""
+    low, high = rows.agg(F.min("at"), F.max("at")).first()
     width = ((high or 0) - (low or 0)) // _SLICES + 1
-    span = F.floor((F.unix_micros("ts") - (low or 0)) / width)
+    span = F.floor((F.col("at") - (low or 0)) / width)
     root = fresh_dir(spark, name)
     for i in range(_SLICES):
         rows.where(span == i).write.mode("append").parquet(f"{root}/in")
@@ -100,20 +108,35 @@ def stream_delimited_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_rolling_sum(spark: SparkSession, folder: str) -> DataFrame:
-    """Every event with its user's running sum, kept in state across micro-batches."""
+    """Every event with its user's running sum, kept in state across micro-batches.
 
-    def build(stream: DataFrame) -> DataFrame:
-        rows = stream.select("event_id", "user_id", "cents", F.unix_micros("ts").alias("at"))
-        return rolling_sums(rows, "user_id", "cents", ["event_id", "at"], order=["at", "event_id"])
+    Users with more events than a task may hold are cut into ranges: the state has a total for each range, and the sums
+    inside a range are a window over the stored events.
+    """
 
-    return _by_slices(spark, folder, "stream_rolling_sum", build).select("event_id", "user_id", F.col("rolling").alias("total"))
+    def build(stream: DataFrame) -> DataFrame:
+        return rolling_sums(stream.select("event_id", "user_id", "cents", "at"), "user_id", "cents", ["event_id", "at"], order=_ORDER)
+
+    rows = _ordered(spark, folder)
+    cut = cut_heavy(rows, ["user_id"], _ORDER)
+    if cut is None:
+        light = rows
+    else:
+        frame = stored(cut.frame, "stream-ranges")
+        light, heavy = frame.where(~F.col(HEAVY)), frame.where(HEAVY)
+    sums = _by_slices(spark, light, "stream_rolling_sum", build).select("event_id", "user_id", F.col("rolling").alias("total"))
+    if cut is None:
+        return sums
+    totals = _by_slices(spark, heavy, "stream_range_totals", lambda stream: chunk_totals(stream, ["user_id"], cut.chunks, "cents"))
+    inside = sums_in_chunks(heavy, totals, ["user_id"], cut.chunks, _ORDER, "cents", "total")
+    return sums.unionByName(inside.select("event_id", "user_id", "total"))
 
 
 def stream_pattern(spark: SparkSession, folder: str) -> DataFrame:
     """Three errors and then a purchase, one right after the other within three days."""
     steps = ["error", "error", "error", "purchase"]
     build = lambda rows: sequence_alerts(rows, "user_id", "ts", "event_type", steps, 3 * 86400, "event_id")
-    return shown(_by_slices(spark, folder, "stream_pattern", build), "first_time", "last_time")
+    return shown(_by_slices(spark, _ordered(spark, folder), "stream_pattern", build), "first_time", "last_time")
 
 
 def stream_report_lines(spark: SparkSession, folder: str) -> DataFrame:

@@ -6,9 +6,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from rillstone.operators.skew import same
+
 
 def running_totals(df: DataFrame, key: str, value: str) -> DataFrame:
     """Count and sum per key so far, one row for each key a micro-batch changes.
@@ -57,6 +60,8 @@ def rolling_sums(
     order is the shuffle's.  A null value adds nothing and stays null in the output.  `carry` columns are passed
     through.  With `time`, a watermarked column, and `idle_ms`, a key starts anew once the watermark is that far
     beyond its latest row.
+
+    The rows that a key brings in one micro-batch sit in one task: heavy keys go through `chunk_totals` and `sums_in_chunks`.
     """
     number = F.col(value).cast("bigint")
     rows = df.select(
@@ -74,7 +79,7 @@ def rolling_sums(
         total, latest = state.get if state.exists else (0, 0)
         if time and latest + idle_ms <= state.getCurrentWatermarkMs():
             total, latest = 0, 0  # new rows came in the very batch in which the time ran out
-        if by:  # the rows of a key in one micro-batch, which the files per trigger bound
+        if by:
             parts = iter([pd.concat(list(parts), ignore_index=True).sort_values(by, kind="stable", ignore_index=True)])
         for part in parts:
             sums = part["value"].cumsum() + total
@@ -96,6 +101,54 @@ def rolling_sums(
     )
 
 
+def chunk_totals(df: DataFrame, keys: Sequence[str], chunks: Sequence[str], value: str) -> DataFrame:
+    """Rows `n` and sum `total` so far per key and chunk, one row for each chunk that a micro-batch changes.
+
+    Each Arrow batch is reduced to one row per chunk before the shuffle, and the state is one total per chunk.  A null
+    value adds nothing.
+    """
+    names, kinds = [*keys, *chunks], dict(df.dtypes)
+    # keys as text: pandas would turn whole numbers beside nulls into floats
+    rows = df.select(*[F.col(k).cast("string").alias(k) for k in keys], *chunks, F.coalesce(F.col(value).cast("bigint"), F.lit(0)).alias("total"))
+    fields = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes if n != "total") + ", n bigint, total bigint"
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = pa.Table.from_batches([batch]).group_by(names).aggregate([([], "count_all"), ("total", "sum")])
+            columns = [*names, "count_all", "total_sum"]
+            yield from sums.select(columns).rename_columns([*names, "n", "total"]).combine_chunks().to_batches()
+
+    def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, total = state.get if state.exists else (0, 0)
+        for part in parts:
+            n += int(part["n"].sum())
+            total += int(part["total"].sum())
+        state.update((n, total))
+        yield pd.DataFrame({**{name: [k] for name, k in zip(names, key)}, "n": [n], "total": [total]})
+
+    return (
+        rows.mapInArrow(partial, fields)
+        .groupBy(*names)
+        .applyInPandasWithState(update, fields, "n bigint, total bigint", "append", GroupStateTimeout.NoTimeout)
+        .select(*[F.col(k).cast(kinds[k]).alias(k) for k in keys], *chunks, "n", "total")
+    )
+
+
+def sums_in_chunks(
+    rows: DataFrame, totals: DataFrame, keys: Sequence[str], chunks: Sequence[str], order: Sequence[str], value: str, name: str
+) -> DataFrame:
+    """`rows` plus the key's running sum, from the emissions of `chunk_totals`: a window for each chunk, and what comes before it."""
+    # the rows of a chunk only grow in number, so its last emission has the most
+    last = totals.groupBy(*keys, *chunks).agg(F.max_by("total", "n").alias("total"))
+    before = Window.partitionBy(*keys).orderBy(*chunks).rowsBetween(Window.unboundedPreceding, -1)
+    carries = last.select(*keys, *chunks, F.coalesce(F.sum("total").over(before), F.lit(0)).alias("_carry"))
+    inside = Window.partitionBy(*keys, *chunks).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    here = rows.withColumn("_here", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return here.join(carries, same(here, carries, [*keys, *chunks]), "left").select(
+        *[here[c] for c in rows.columns], (carries["_carry"] + here["_here"]).alias(name)
+    )
+
+
 def sequence_alerts(
     df: DataFrame,
     key: str,

@@ -1,10 +1,12 @@
 import datetime as dt
 import os
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from rillstone import plans
 from rillstone.operators import fraud, joins, parsing, routing
 from rillstone.operators.windows import stamp_arrival, streaming_sessions, windowed
 from rillstone.session import shared_dir
@@ -248,3 +250,52 @@ def test_windows_open_at_the_end_of_the_input_are_added(spark, tmp_path):
     closed = runner.to_table(sliding(spark, f"{tmp_path}/in"), "closed")
     done = runner.with_open_windows(closed, static, "t", 1000, "window_end", whole, "10 seconds")
     assert rows_of(done) == rows_of(whole(static)) and done.count() > closed.count()
+
+
+HOT = 60
+
+
+@pytest.fixture
+def hot_folder(spark, tmp_path):
+    """Events of which one user has most, many of them close together or at one time, and some without a time or a value."""
+    day = lambda i: dt.datetime(2024, 1, 1) + dt.timedelta(hours=i)
+    kinds = ["error", "error", "error", "purchase", "view"]
+    rows = [(i, day(i // 4 if i < 40 else 20 * i), 7, kinds[i % 5], None if i and i % 9 == 0 else i / 4) for i in range(HOT)]
+    rows += [(100 + i, day(5 * i), 1 + i % 3, kinds[(i // 3) % 5], 1.0) for i in range(30)]
+    rows += [(200 + i, day(700), 7, kinds[i % 4], 2.0) for i in range(20)]  # one time
+    rows += [(300 + i, None, 7 if i % 2 else 1, "error", 0.5) for i in range(8)] + [(400, day(1), None, "view", 3.0), (401, day(2), None, "view", 3.0)]
+    schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double"
+    spark.createDataFrame(rows, schema).withColumn("props", F.lit("{}")).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    return str(tmp_path)
+
+
+def fed(monkeypatch):
+    """Most rows of a user, or of a range of a user, that each stream of the query is given."""
+    found, slices = [], plans.streams._by_slices
+
+    def counted(spark, rows, *args):
+        by = [c for c in ("user_id", "_chunk0", "_chunk1") if c in rows.columns]
+        found.append(rows.groupBy(*by).count().agg(F.max("count")).first()[0] or 0)
+        return slices(spark, rows, *args)
+
+    monkeypatch.setattr(plans.streams, "_by_slices", counted)
+    return found
+
+
+def sql_rows(name, folder):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet/*.parquet'")
+    return sorted(con.execute(plans.ORACLES[name]).fetchall(), key=str)
+
+
+@pytest.mark.parametrize("limit", [None, 15, 1])
+def test_stream_rolling_sum_of_a_hot_user_is_that_of_the_sql_and_no_task_gets_all_its_rows(spark, hot_folder, monkeypatch, limit):
+    found = fed(monkeypatch)
+    if limit:
+        spark.conf.set("spark.rillstone.rowsPerTask", str(limit))
+    try:
+        got = rows_of(plans.QUERIES["stream_rolling_sum"](spark, hot_folder).select("event_id", "user_id", "total"))
+    finally:
+        spark.conf.unset("spark.rillstone.rowsPerTask")
+    assert got == sql_rows("stream_rolling_sum", hot_folder)
+    assert len(found) == (2 if limit else 1) and (not limit or max(found) <= limit)
