@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
-from rillstone.operators.skew import HEAVY, cut_heavy, position, same
+from rillstone.operators.skew import HEAVY, Cut, cut_heavy, position, same
 from rillstone.session import stored
 
 
@@ -210,3 +210,22 @@ def with_lags(
             for i in range(1, depth + 1)
         ],
     )
+
+
+def with_preceding(cut: Cut, keys: Sequence[str], order: Sequence[str], depth: int, name: str) -> DataFrame:
+    """The rows of `cut`, and for each chunk of a heavy key copies of the key's `depth` rows before it; `name` marks the copies."""
+    chunks = cut.chunks
+    rest = [c for c in cut.frame.columns if c not in (*keys, *chunks, *order)]
+    backwards = Window.partitionBy(*keys, *chunks).orderBy(*[F.desc(o) for o in order])
+    before = Window.partitionBy(*keys).orderBy(*chunks).rowsBetween(-depth, -1)
+    tails = (
+        cut.frame.filter(HEAVY)
+        .withColumn("_back", F.row_number().over(backwards))
+        .filter(F.col("_back") <= depth)
+        .groupBy(*keys, *chunks)
+        .agg(F.collect_list(F.struct(*order, *rest)).alias("_tail"))  # at most `depth` entries
+    )
+    latest = F.slice(F.sort_array(F.flatten(F.collect_list("_tail").over(before)), asc=False), 1, depth)
+    copies = tails.select(*keys, *chunks, latest.alias("_halo")).select(*keys, *chunks, F.explode("_halo").alias("_row"))
+    copies = copies.select(*keys, *chunks, "_row.*", F.lit(True).alias(name))
+    return cut.frame.withColumn(name, F.lit(False)).unionByName(copies)

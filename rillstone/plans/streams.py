@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rillstone.operators import fraud, parsing, routing
+from rillstone.operators.rolling import with_preceding
 from rillstone.operators.skew import HEAVY, cut_heavy
 from rillstone.operators.windows import stamp_arrival, streaming_sessions, windowed
 from rillstone.plans.basics import ORACLES as BASICS, transaction_lines
@@ -133,10 +134,20 @@ def stream_rolling_sum(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_pattern(spark: SparkSession, folder: str) -> DataFrame:
-    """Three errors and then a purchase, one right after the other within three days."""
+    """Three errors and then a purchase, one right after the other within three days.
+
+    Users with more events than a task may hold are cut into ranges, each with copies of the three events before it.
+    """
     steps = ["error", "error", "error", "purchase"]
-    build = lambda rows: sequence_alerts(rows, "user_id", "ts", "event_type", steps, 3 * 86400, "event_id")
-    return shown(_by_slices(spark, _ordered(spark, folder), "stream_pattern", build), "first_time", "last_time")
+    rows = _ordered(spark, folder).where(F.col("ts").isNotNull())
+    cut = cut_heavy(rows, ["user_id"], _ORDER)
+    chunks, copied = ((), None) if cut is None else (cut.chunks, "_copied")
+    if cut is not None:
+        rows = stored(with_preceding(cut, ["user_id"], _ORDER, len(steps) - 1, copied), "stream-ranges")
+    build = lambda stream: sequence_alerts(
+        stream, "user_id", "ts", "event_type", steps, 3 * 86400, "event_id", chunks=chunks, copied=copied
+    )
+    return shown(_by_slices(spark, rows, "stream_pattern", build), "first_time", "last_time")
 
 
 def stream_report_lines(spark: SparkSession, folder: str) -> DataFrame:

@@ -158,12 +158,15 @@ def sequence_alerts(
     within_seconds: int,
     tie: str | None = None,
     delay: str = "0 seconds",
+    chunks: Sequence[str] = (),
+    copied: str | None = None,
 ) -> DataFrame:
     """Alerts for `steps` as consecutive events of a key within the limit, over a stream.
 
     The state is the tail of the key's events, shorter than the pattern.  Tail and micro-batch are put in order of time, and
-    of the integer column `tie` where times are equal, as numbers and one byte each; the files per trigger bound what a key
-    brings at once.  An alert needs a new event.  Events behind the watermark, `delay` after the latest event of
+    of the integer column `tie` where times are equal, as numbers and one byte each; what a key brings at once is in one
+    task.  Heavy keys come in `chunks`, columns that cut a key's events into ranges, each with copies of the events before it
+    that the column `copied` marks: an alert belongs to the range of its last event.  An alert needs a new event.  Events behind the watermark, `delay` after the latest event of
     earlier micro-batches, are dropped, as are events without a time.
     """
     steps = list(steps)
@@ -172,8 +175,10 @@ def sequence_alerts(
     code = F.coalesce(F.array_position(F.array(*[F.lit(n) for n in names]), F.col(status)), F.lit(0)).cast("tinyint")
     wanted = [names.index(s) + 1 for s in steps]
     seen = F.col(time).cast("timestamp")
+    if copied:
+        code = F.when(F.col(copied), -1 - code).otherwise(code).cast("tinyint")
     rows = df.withColumn("_seen", seen).where(seen.isNotNull()).withWatermark("_seen", delay).select(
-        F.col(key).alias("key"), F.unix_micros("_seen").alias("at"), code.alias("code"),
+        F.col(key).alias("key"), *chunks, F.unix_micros("_seen").alias("at"), code.alias("code"),
         (F.col(tie).cast("bigint") if tie else F.lit(0).cast("bigint")).alias("tie"), "_seen",
     )
     kind = dict(rows.dtypes)["key"]
@@ -188,10 +193,11 @@ def sequence_alerts(
         order = np.lexsort((tie_, at))
         at, code, tie_, fresh = at[order], code[order], tie_[order], fresh[order]
         ends = np.arange(depth, len(at))
-        hit = at[ends] - at[ends - depth] <= within_seconds * 1_000_000
+        hit = (at[ends] - at[ends - depth] <= within_seconds * 1_000_000) & (code[ends] >= 0)
         any_new = np.zeros(len(ends), bool)
+        kinds = np.where(code < 0, -1 - code, code)
         for i, step in enumerate(wanted):
-            hit &= code[ends - depth + i] == step
+            hit &= kinds[ends - depth + i] == step
             any_new |= fresh[ends - depth + i]
         found = ends[hit & any_new]
         yield pd.DataFrame({"key": [key[0]] * len(found), "first_us": at[found - depth], "last_us": at[found]})
@@ -199,7 +205,7 @@ def sequence_alerts(
         state.update((at[keep:].tolist(), code[keep:].tolist(), tie_[keep:].tolist()))
 
     return (
-        rows.groupBy("key")
+        rows.groupBy("key", *chunks)
         .applyInPandasWithState(
             update, f"key {kind}, first_us bigint, last_us bigint", "at array<bigint>, code array<bigint>, tie array<bigint>",
             "append", GroupStateTimeout.NoTimeout,

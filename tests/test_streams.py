@@ -299,3 +299,17 @@ def test_stream_rolling_sum_of_a_hot_user_is_that_of_the_sql_and_no_task_gets_al
         spark.conf.unset("spark.rillstone.rowsPerTask")
     assert got == sql_rows("stream_rolling_sum", hot_folder)
     assert len(found) == (2 if limit else 1) and (not limit or max(found) <= limit)
+
+
+@pytest.mark.parametrize("limit", [None, 15, 1])
+def test_stream_pattern_of_a_hot_user_is_that_of_the_sql_and_no_task_gets_all_its_rows(spark, hot_folder, monkeypatch, limit):
+    found = fed(monkeypatch)
+    if limit:
+        spark.conf.set("spark.rillstone.rowsPerTask", str(limit))
+    try:
+        got = rows_of(plans.QUERIES["stream_pattern"](spark, hot_folder).select("user_id", "first_time", "last_time"))
+    finally:
+        spark.conf.unset("spark.rillstone.rowsPerTask")
+    want = sql_rows("stream_pattern", hot_folder)
+    assert got == want and len(want) > 10
+    assert not limit or max(found) <= limit + 3  # with copies of three events
