@@ -20,12 +20,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Documents in the training sample, hash space of trigrams, weight of a text in trigrams.
+#: Documents of each language in the training sample, hash space of trigrams, weight of a text in trigrams.
 SAMPLE_ROWS, SPACE, TEXT_UNITS = 4_000, 1 << 16, 30.0
 #: Pseudo-counts: of a trigram, of declarations and suffixes, of the domain's prior and of the overall prior.
 GRAM, DECLARED, HOST, DOMAIN = 0.5, 1.0, 5.0, 5.0
@@ -87,17 +87,26 @@ def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> TextModel:
-    """The text model from the `sample_rows` documents of known language with the smallest hashes.
+    """The text model from the `sample_rows` documents of each language with the smallest hashes of their ids.
 
-    What reaches the driver is a count per language and hashed trigram, at most SPACE of them for each language.
-    Without any labelled document the model knows the one language `und`.
+    Languages are those of all documents, counted by grouped aggregation; a language of fewer documents is sampled whole.
+    What reaches the driver is a row per language and a count per language and hashed trigram, at most SPACE of them for
+    each language.  Without any labelled document the model knows the one language `und`.
     """
-    known = docs.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.lower(F.col(lang_col)).alias("lang"))
-    chosen = known.orderBy(F.xxhash64("id"), "id", "lang").limit(sample_rows)
-    texts = docs.select(F.col(id_col).alias("id"), F.lower(F.col(lang_col)).alias("lang"), F.col(text_col).alias("text"))
-    sample = texts.join(F.broadcast(chosen.distinct()), ["id", "lang"]).select("lang", "text")
+    place = F.xxhash64(F.col(id_col))
+    known = docs.where(F.col(lang_col).isNotNull()).select(F.lower(F.col(lang_col)).alias("lang"), place.alias("place"), F.col(text_col).alias("text"))
+    counted = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("least")).collect()
+    languages = sorted(r["lang"] for r in counted) or ["und"]
+    # about twice the rows wanted, so that what is ranked within a language is bounded
+    share = lambda n: min(1.0, (2 * sample_rows + 100) / n)
+    near = [(r["lang"], max(r["least"], min(2**63 - 1, int(share(r["n"]) * 2**64) - 2**63))) for r in counted]
+    bounds = lambda rows: F.broadcast(rows.withColumnRenamed("most", "__most"))
+    rough = docs.sparkSession.createDataFrame(near, "lang string, most long")
+    ranked = known.select("lang", "place").join(bounds(rough), "lang").where(F.col("place") <= F.col("__most"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place"))
+    exact = ranked.withColumn("rank", rank).where(F.col("rank") <= sample_rows).groupBy("lang").agg(F.max("place").alias("most"))
+    sample = known.join(bounds(exact), "lang").where(F.col("place") <= F.col("__most")).select("lang", "text")
     rows = sample.mapInArrow(_gram_rows, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
-    languages = sorted(set(rows.column("lang").to_pylist())) or ["und"]
     table = np.full((len(languages), SPACE), GRAM)
     if rows.num_rows:
         at = np.searchsorted(languages, rows.column("lang").to_pylist())

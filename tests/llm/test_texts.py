@@ -1,5 +1,6 @@
 """Personal data, chat formatting, toxicity, language."""
 
+import math
 import random
 
 import pytest
@@ -230,3 +231,18 @@ def test_host_priors_are_smoothed_towards_the_domain(spark):
             counts, values = summed(keys, keys[at]), len(set(keys))
             logs = [x + math.log((c + 1) / (t + values)) for x, c, t in zip(logs, counts, totals)]
         assert got[at] == pytest.approx(max(normal(logs)), rel=1e-9)
+
+
+def test_a_rare_language_is_known_whatever_its_share(spark):
+    common = [(i, "the house with there thought", "en") for i in range(3_000)] + [(i, "der schiff nicht zwischen", "de") for i in range(3_000, 3_400)]
+    rare = [(5_000 + i, "talo meri kuusi yksi", "FI") for i in range(2)] + [(None, "casa mare", "ro"), (6_000, None, "hu")]
+    docs = spark.createDataFrame(common + rare, "doc_id long, text string, lang string")
+    model = language.fit(docs, sample_rows=20)
+    assert model.languages == ["de", "en", "fi", "hu", "ro"]
+    best = lambda text: model.languages[model.evidence(language._counts(text, {})).argmax()]
+    assert [best(t) for t in ("talo meri", "casa mare", "the house", "der schiff")] == ["fi", "ro", "en", "de"]
+    # the sample is bounded for each language: the weight of one trigram tells the documents
+    gram = language._counts("the", {})[0]
+    logs = model.logs[model.languages.index("en")]
+    weight = math.exp(logs[gram] - logs.min()) * language.GRAM - language.GRAM
+    assert weight / (language._counts("the house with there thought", {}) == gram).sum() == pytest.approx(20)
