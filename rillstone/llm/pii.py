@@ -3,7 +3,8 @@
 Fixed patterns give the base spans, which are always redacted.  Generators with a higher recall propose more spans, which
 may overlap: cards and phones that the base patterns run together, phones without a plus, addresses with brackets.
 Each candidate has a few small features of its format and context.  Candidates that are base spans are examples,
-candidates that break their own format are counterexamples, and the rest has to be judged.  Equal feature values are
+candidates that break their own format are counterexamples, and the rest has to be judged.  An address breaks it with a
+space beside a bare @ or dot, with a last label that is no top-level domain, or with a capitalised word for a last label.  Equal feature values are
 counted over all documents, so the training table is bounded by the number of feature combinations, however many
 documents there are; boosted trees of depth two are fitted to those counts.  Per kind, the threshold is the lowest one with
 the wanted precision on a fifth of the documents that took no part in the fit.  The trees become a CASE expression, and
@@ -47,10 +48,18 @@ WIDE_HINT = {
 }
 #: Words near a span that speak for its kind.
 CONTEXT = r"(?i)(?:mail|contact|phone|tel|call|mobile|fax|card|visa|credit|pay|account|addr|host|server|ip)"
+#: Top-level domains: the general ones in common use; two letters are a country's.
+DOMAINS = (
+    "com org net edu gov mil int info biz name pro mobi tel travel jobs museum coop aero asia cat post arpa example test invalid "
+    "app dev page blog shop store online site website web tech cloud email mail agency company group team work life live news media "
+    "design studio art games game digital network systems solutions services software academy school university institute foundation "
+    "health care clinic finance bank money legal law consulting global world space earth city town house club social chat wiki xyz top icu"
+).split()
 #: Characters before a candidate that count as its context.
 NEAR = 24
 
-FEATURES = ("digits", "luhn", "octets", "plus", "parens", "separators", "brackets", "before", "after", "context")
+#: Of equal splits the first feature's is taken, so the signs of a broken address come first.
+FEATURES = ("spaced", "domain", "capital", "digits", "luhn", "octets", "plus", "parens", "separators", "brackets", "before", "after", "context")
 TREES, RATE, PRECISION, SMOOTH = 20, 0.3, 0.99, 1.0
 
 
@@ -110,6 +119,13 @@ def _valid(kind: str, hit: Column) -> Column:
     return _octets(hit) if kind == "ip" else F.lit(True)
 
 
+def _email_signs(hit: Column) -> tuple[Column, Column, Column]:
+    """Whether a space stands beside a bare @ or dot, the last label is a top-level domain, and it is a capitalised word."""
+    last = F.regexp_extract(hit, r"([A-Za-z0-9-]+)$", 1)
+    domain = F.lower(last).isin(DOMAINS) | last.rlike(r"^(?i)(?:[a-z]{2}|xn--[a-z0-9-]+)$")
+    return hit.rlike(r" [@.]|[@.] "), domain, last.rlike(r"^[A-Z][a-z]")
+
+
 def _if(condition: Column, hits: Column) -> Column:
     return F.when(condition, hits).otherwise(F.expr("CAST(array() AS array<struct<start:bigint,stop:bigint,hit:string,before:string,after:string>>)"))
 
@@ -138,8 +154,9 @@ def _wide(text: Column, kind: str) -> Column:
         hit, digits = x["hit"], _digits(x["hit"])
         flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
         broken = ~_valid(kind, hit) | F.right(x["before"], F.lit(1)).rlike(r"^\p{L}") | F.coalesce(x["after"], F.lit("")).rlike(r"^\p{L}")
-        if kind in ("email",):
-            broken = F.lit(False)
+        spaced, domain, capital = _email_signs(hit) if kind == "email" else [F.lit(False)] * 3
+        if kind == "email":
+            broken = spaced | ~domain | capital
         return F.struct(
             F.lit(KINDS.index(kind)).alias("kind"), x["start"].alias("start"), x["stop"].alias("stop"), flag(broken).alias("broken"),
             F.least(F.length(digits), F.lit(20)).alias("digits"), flag(_luhn(digits)).alias("luhn"),
@@ -147,6 +164,7 @@ def _wide(text: Column, kind: str) -> Column:
             flag(F.contains(hit, F.lit("("))).alias("parens"), F.least(F.length(F.regexp_replace(hit, r"[^ .-]", "")), F.lit(6)).alias("separators"),
             flag(hit.rlike(r"[\[(](?:\.|at|dot)")).alias("brackets"), _class(F.right(x["before"], F.lit(1))).alias("before"),
             _class(x["after"]).alias("after"), flag(x["before"].rlike(CONTEXT)).alias("context"),
+            flag(spaced).alias("spaced"), flag(domain).alias("domain"), flag(capital).alias("capital"),
         )
 
     return F.transform(_if(text.rlike(WIDE_HINT[kind]), _hits(text, WIDE[kind])), described)
@@ -154,7 +172,7 @@ def _wide(text: Column, kind: str) -> Column:
 
 @dataclass
 class Trees:
-    """Per kind: prior log-odds, trees of depth two [(split, left, right)], threshold.  Kinds without examples select nothing."""
+    """Per kind: prior log-odds, trees of depth two [(split, left, right)], threshold.  Kinds without examples, and addresses without counterexamples, select nothing."""
 
     prior: dict[int, float] = field(default_factory=dict)
     trees: dict[int, list[tuple]] = field(default_factory=dict)
@@ -199,7 +217,7 @@ def _grow(rows: list[tuple], depth: int) -> tuple:
     if not depth:
         return leaf
     best, found = g * g / (h + SMOOTH) + 1e-9, None
-    for at in range(len(FEATURES)):
+    for at in range(len(rows[0][0])):
         for most in sorted({r[0][at] for r in rows})[:-1]:
             gl, hl = sum(r[1] for r in rows if r[0][at] <= most), sum(r[2] for r in rows if r[0][at] <= most)
             gain = gl * gl / (hl + SMOOTH) + (g - gl) ** 2 / (h - hl + SMOOTH)
@@ -217,8 +235,8 @@ def fit(counts: list[tuple[int, tuple[int, ...], int, int, int]], trees: int = T
     for kind in range(len(KINDS)):
         own = [c for c in counts if c[0] == kind]
         weight = lambda label, part: sum(c[4] for c in own if c[2] == label and c[3] == part)  # noqa: E731, B023
-        if not weight(1, 0):
-            continue
+        if not weight(1, 0) or kind == KINDS.index("email") and not weight(0, 0):
+            continue  # nothing to judge by; the wide patterns of the other kinds are strict
         odds = math.log((weight(1, 0) + SMOOTH) / (weight(0, 0) + SMOOTH))
         model.prior[kind], model.trees[kind] = odds, []
         fitted = sorted((c for c in own if not c[3]), key=lambda c: (c[1], c[2]))
@@ -238,7 +256,7 @@ def fit(counts: list[tuple[int, tuple[int, ...], int, int, int]], trees: int = T
             if ended and score >= 0.5 and (right + SMOOTH) / (right + wrong + 2 * SMOOTH) >= precision:
                 lowest = score
         if lowest is not None:
-            model.threshold[kind] = min(max(0.5, lowest), 0.9)
+            model.threshold[kind] = lowest - 1e-9  # Spark's exponential may differ in the last digit
     return model
 
 
@@ -252,7 +270,7 @@ def _found(docs: DataFrame, text_col: str) -> DataFrame:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trees: int = TREES, precision: float = PRECISION) -> Trees:
     """Fit the trees to the candidates of all documents, as counts of equal feature values.
 
-    The rows that reach the driver are at most the combinations of ten small features, two labels and two folds.
+    The rows that reach the driver are at most the combinations of thirteen small features, two labels and two folds.
     """
     found = _found(docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text")), "__text")
     keys = F.transform("__base", lambda b: F.struct(b["kind"], b["start"], b["stop"]))

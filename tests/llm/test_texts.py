@@ -246,3 +246,26 @@ def test_a_rare_language_is_known_whatever_its_share(spark):
     logs = model.logs[model.languages.index("en")]
     weight = math.exp(logs[gram] - logs.min()) * language.GRAM - language.GRAM
     assert weight / (language._counts("the house with there thought", {}) == gram).sum() == pytest.approx(20)
+
+
+def test_prose_is_no_address_and_without_counterexamples_no_address_is_selected(spark):
+    prose = ["many thanks @john. See you", "we meet @ noon. Bring tea", "look (at) me. Now go", "it was @home. then on"]
+    written = [(i, f"write to user{i}@host{i % 7}.com today") for i in range(700)]
+    rows = [*written, *((1000 + i, prose[i % 4]) for i in range(400)), (2000, "write to jane(at)host(dot)com today"), (2001, "write to jane[at]host.de today")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = pii.train(docs)
+    found = {r["doc_id"]: [tuple(x) for x in r["spans"]] for r in pii.spans(docs, model).collect()}
+    assert model.trees[0] and not any(found[1000 + i] for i in range(400))
+    assert found[2000] == [(9, 0, 29)] and found[2001] == [(9, 0, 24)] and all(len(found[i]) == 1 for i in range(700))
+    model = pii.train(docs.where("doc_id < 700"))
+    assert pii.KINDS.index("email") not in model.threshold
+    assert not any(r["spans"] for r in pii.spans(docs.where("doc_id >= 1000"), model).collect())
+
+
+def test_a_threshold_above_nine_tenths_stays():
+    features = lambda x: (16, x, 0, 0, 0, 0, 0, 1, 1, 0, 0, 0, 0)
+    counts = [(0, features(0), 1, 0, 999), (0, features(0), 0, 0, 1), (0, features(1), 1, 0, 960), (0, features(1), 0, 0, 40)]
+    counts += [(0, features(0), 1, 1, 999), (0, features(1), 1, 1, 900), (0, features(1), 0, 1, 100)]
+    model = pii.fit(counts)
+    low, high = sorted(1 / (1 + math.exp(-model.margin(0, features(x)))) for x in (0, 1))
+    assert 0.9 < low < model.threshold[0] <= high
