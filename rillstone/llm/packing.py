@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
 from collections.abc import Iterator, Sequence
 
@@ -45,10 +46,11 @@ class Encoder:
     """Ids of a byte-level BPE of the `tokenizers` library as little-endian unsigned 32-bit numbers.
 
     The vocabulary and merges come from the file.  `tiktoken` applies the same ones several times faster; what it can't
-    encode, and files it reads differently, go to the library itself.
+    encode, texts that hold an added token of the file, and files it reads differently, go to the library itself.  With
+    `literal`, added tokens are encoded as the text they are.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, literal: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tiktoken
         from tokenizers import Tokenizer
@@ -57,18 +59,23 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         letters = _byte_letters()
         special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.added = None if literal or not special else re.compile("|".join(map(re.escape, special)))
         vocabulary = {t: i for t, i in self.tokenizer.get_vocab().items() if t not in special}
         self.quick = None
-        if all(c in letters for token in vocabulary for c in token):
+        # a normalizer could make an added token of other text
+        if all(c in letters for token in vocabulary for c in token) and (literal or self.tokenizer.normalizer is None):
             ranks = {bytes(letters[c] for c in token): i for token, i in vocabulary.items()}
             quick = tiktoken.Encoding("ranks", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
             if quick.encode_ordinary(PROBE) == self._slow(PROBE):
                 self.quick = quick
+        self.tokenizer.encode_special_tokens = literal
 
     def _slow(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def encode(self, text: str) -> bytes:
+        if self.added and self.added.search(text):
+            return np.asarray(self._slow(text), "<u4").tobytes()
         try:
             ids = self.quick.encode_to_numpy(text, disallowed_special=()) if self.quick else self._slow(text)
         except (ValueError, RuntimeError):  # its pattern engine gave up
@@ -84,7 +91,7 @@ def cut(length: int, most: int) -> list[tuple[int, int]]:
 
 def _pieces(path: str, end_id: int, most: int, keep_ids: bool):
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = Encoder(path, literal=False)
         end = np.array([end_id], "<u4").tobytes()
         serial = 0
         for batch in batches:

@@ -246,3 +246,17 @@ def test_pipeline_takes_odd_tables(spark):
         for _, stage in corpus_pipeline.STAGES:
             docs = corpus_pipeline.stored(stage(spark, docs, folder), "odd")
         assert docs.count() >= 0
+
+
+def test_ids_are_those_of_the_tokenizer_as_the_file_makes_it(spark):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(queries.tokenizer_path())
+    rng = random.Random(4)
+    parts = ["a", " ", "  ", "\n", "'s", "é", " the", "<|endoftext|>", "<|endoftext", "|>", "日本"]
+    texts = ["a <|endoftext|> b", *("".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(500))]
+    want = [np.array([*plain.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes() for t in texts]
+    assert want[0] == np.array([64, 220, 50256, 275, 2], "<u4").tobytes()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = packing.packed(docs, queries.tokenizer_path(), keep_ids=True).collect()
+    assert {r["doc_id"]: bytes(r["ids"]) for r in found} == dict(enumerate(want))
