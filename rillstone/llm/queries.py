@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language, mixing, multi_index, packing, pii, sharding, simhash, toxicity, vptree
+from . import chat, language, mixing, multi_index, packing, pii, sharding, simhash, suffix_array, toxicity, vptree
 from .common import read
 
 
@@ -203,3 +203,12 @@ def op10_pii_boosted_candidates(spark: SparkSession, folder: str) -> DataFrame:
         F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{kind}") for i, kind in enumerate(pii.KINDS)
     ]
     return found.select("doc_id", *counts, F.sha2(pii.listed("base"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"))
+
+
+@registered
+def op11_suffix_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes of every document that strings of 200 bytes, found elsewhere too, cover."""
+    found = suffix_array.repeated(read(spark, folder, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256"
+    )
