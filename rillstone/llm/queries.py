@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language, mixing, multi_index, packing, pii, sharding, simhash, suffix_array, toxicity, vptree
+from . import chat, language, mixing, multi_index, packing, pii, sharding, simhash, spelling, suffix_array, toxicity, vptree, whitening
 from .common import read
 
 
@@ -212,3 +212,15 @@ def op11_suffix_repeats(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(
         F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256"
     )
+
+
+@registered
+def op12_whitening_bit_sliced(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector projected on the first eight components of the exact covariance, whitened."""
+    return whitening.whitened(read(spark, folder, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+@registered
+def op13_spelling_position_index(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of all documents and the more frequent words that they are variants of."""
+    return spelling.spelling_variants(read(spark, folder, "documents"))
