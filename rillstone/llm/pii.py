@@ -318,6 +318,11 @@ def listed(column: str) -> Column:
     return F.array_join(F.transform(column, lambda s: F.concat_ws(":", kinds[s["kind"]], s["start"], s["stop"])), ",")
 
 
+def counted(column: str, kind: int) -> Column:
+    """Number of spans of a kind; the kind is a name of this function, as a second parameter would be the span's place."""
+    return F.size(F.filter(column, lambda s: s["kind"] == kind)).cast("long")
+
+
 def redacted(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", length_col: str | None = "n_chars") -> DataFrame:
     """`docs` with every span replaced by its kind in capitals and brackets; null texts stay null.
 

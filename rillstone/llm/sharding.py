@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import plain, stored
 
 #: Bits of the hash, bits that a directory is indexed by, bytes of a shard.
 HASH_BITS, INDEX_BITS, SHARD_BYTES = 60, 12, 1 << 20
@@ -43,8 +43,8 @@ def _directory(bytes_at: DataFrame, known: int, bits: int, shard_bytes: int) ->
     return bytes_at.select("index").join(placed, "index", "left")
 
 
-def sharded(docs: DataFrame, shard_bytes: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text", index_bits: int = INDEX_BITS) -> DataFrame:
-    """(id, serial, bytes, depth, shard): one row per row of `docs`.
+def sharded(docs: DataFrame, shard_bytes: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text", index_bits: int = INDEX_BITS, serial_col: str | None = None) -> DataFrame:
+    """(id, serial, bytes, depth, shard): one row per row of `docs`; `serial_col` names a column of distinct numbers to take.
 
     `shard` is the prefix of the shard as ones and zeros (empty if all fits into one), followed by a dash and a number where
     a full hash had to be cut.  `bytes` is the UTF-8 length of the text, 0 if null.  Shards hold at most `shard_bytes`, but
@@ -54,7 +54,7 @@ def sharded(docs: DataFrame, shard_bytes: int = SHARD_BYTES, id_col: str = "doc_
     sized = stored(
         docs.select(
             F.col(id_col).alias("id"),
-            F.monotonically_increasing_id().alias("serial"),
+            (F.col(serial_col) if serial_col else F.monotonically_increasing_id()).alias("serial"),
             F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long").alias("bytes"),
             hash_bits(F.col(id_col)).alias("hash"),
         ),
@@ -110,6 +110,12 @@ def _cut(rows: DataFrame, shard_bytes: int) -> DataFrame:
 
 
 def write_sharded(docs: DataFrame, path: str, shard_bytes: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write `docs` with one folder of Parquet per shard; ids must be unique and not null."""
-    placed = sharded(docs, shard_bytes, id_col, text_col).select(F.col("id").alias(id_col), F.concat(F.lit("bits-"), "shard").alias("__shard"))
-    docs.join(placed, id_col).repartition("__shard").write.partitionBy("__shard").parquet(path)
+    """Write `docs` with one folder of Parquet per shard; repeated rows and ids and null ids are rows of their own.
+
+    Rows get a serial number in a stored table first, so that each finds its own shard again.
+    """
+    rows, names = plain(docs)
+    numbered = stored(rows.withColumn("serial", F.monotonically_increasing_id()), "numbered")
+    placed = sharded(numbered, shard_bytes, names[id_col], names[text_col], serial_col="serial").select("serial", F.concat(F.lit("bits-"), "shard").alias("__shard"))
+    joined = numbered.join(placed, "serial").select(*[F.col(c).alias(n) for n, c in names.items()], "__shard")
+    joined.repartition("__shard").write.partitionBy("__shard").parquet(path)

@@ -1,5 +1,6 @@
 """Mixing, packing, sharding, the pipeline and the registered queries."""
 
+import hashlib
 import os
 import random
 import zlib
@@ -182,6 +183,31 @@ def test_shards_are_written(spark, tmp_path):
     assert back.groupBy("__shard").count().agg(F.max("count")).first()[0] <= 10
 
 
+def test_repeated_and_null_ids_are_written_once_each(spark, tmp_path):
+    rows = [(1, "same", "a"), (1, "same", "a"), (1, "other", "b"), (None, "lost", "c"), (None, None, None), (2, "", "x" * 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, serial string")
+    for shard_bytes in (1, 8, 1_000):
+        sharding.write_sharded(docs, str(tmp_path / str(shard_bytes)), shard_bytes)
+        back = spark.read.parquet(str(tmp_path / str(shard_bytes))).select(docs.columns)
+        assert sorted(map(str, back.collect())) == sorted(map(str, docs.collect()))
+
+
+@tables
+@pytest.mark.parametrize("folder", [FOLDER, FOLDER.replace("0.001", "0.01")])
+def test_personal_data_is_counted_by_kind(spark, folder):
+    """Every column of op10 but the spans that the trees add, which hold the base spans."""
+    texts = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
+    found = {r["doc_id"]: r for r in queries.op10_pii_boosted_candidates(spark, folder).collect()}
+    assert len(found) == len(texts)
+    for doc, text in texts:
+        spans, r = brute.pii(text), found[doc]
+        listed = ",".join(f"{list(brute.PII)[k]}:{s}:{e}" for s, k, e in spans)
+        counts = [sum(k == kind for _, k, _ in spans) for kind in range(4)]
+        assert [r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]] == counts
+        assert r["base_sha256"] == hashlib.sha256(listed.encode()).hexdigest()
+        assert set(listed.split(",")) - {""} <= set(r["spans"].split(","))
+
+
 @pytest.fixture(scope="module")
 def db():
     con = duckdb.connect()
@@ -203,10 +229,15 @@ def test_queries_with_sql(spark, db, name):
 @pytest.mark.parametrize("name", [n for n in queries.QUERIES if n not in queries.ORACLES])
 def test_queries_without_sql_return_their_tables(spark, db, name):
     got = queries.QUERIES[name](spark, FOLDER)
-    table = {"op1": "pages", "op6": "embeddings"}.get(name.split("_")[0], "documents")
+    if name.startswith("op13"):
+        assert got.columns == ["word", "form", "root", "n", "n_near", "form_n"]  # held against all pairs in test_spelling
+        return
+    table = {"op1": "pages", "op6": "embeddings", "op12": "embeddings"}.get(name.split("_")[0], "documents")
     rows = db.execute(f"SELECT count(*) FROM {table}").fetchone()[0]
     if name.startswith("op8"):
         rows = 10 * db.execute("SELECT count(*) FROM embeddings WHERE vec_id % 100 = 0").fetchone()[0]
+    if name.startswith("op12"):
+        rows *= 8
     if name.startswith("op9"):
         assert got.select("doc_id").distinct().count() == rows
     else:
