@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rillstone.operators import enrich, joins
+from rillstone.operators.inequality import inequality_join
 from rillstone.plans.common import cents, events, shown
 from rillstone.sources.files import table
 
@@ -41,6 +42,37 @@ def join_theta(spark: SparkSession, folder: str) -> DataFrame:
     return joins.theta_join(customer, region, F.col("c_nationkey") < F.col("r_regionkey"))
 
 
+def join_less(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers who owe more than a supplier in debt."""
+    customer = table(spark, folder, "customer").select("c_custkey", cents("c_acctbal").alias("owed"))
+    supplier = table(spark, folder, "supplier").select("s_suppkey", cents("s_acctbal").alias("balance")).where("balance < 0")
+    return inequality_join(customer, supplier, [("owed", "<", "balance")])
+
+
+def _priced(spark: SparkSession, folder: str, above: int) -> tuple[DataFrame, DataFrame]:
+    orders = table(spark, folder, "orders").select(
+        "o_orderkey", F.col("o_orderdate").cast("timestamp").alias("ordered"), cents("o_totalprice").alias("low"),
+        (cents("o_totalprice") + above).alias("high"),
+    )
+    lines = table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.col("l_shipdate").cast("timestamp").alias("shipped"), cents("l_extendedprice").alias("price")
+    )
+    return orders, lines
+
+
+def join_between(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders and the lines whose price lies between the order's total and 25 cents more."""
+    met = inequality_join(*_priced(spark, folder, 25), [("low", "<=", "price"), ("high", ">=", "price")])
+    return met.select("o_orderkey", "low", "l_orderkey", "l_linenumber", "price")
+
+
+def join_two_inequalities(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines up to 60 cents dearer than an order and shipped before it was made."""
+    near = [("low", "<", "price"), ("high", ">=", "price"), ("ordered", ">", "shipped")]
+    met = inequality_join(*_priced(spark, folder, 60), near)
+    return met.select("o_orderkey", "low", "l_orderkey", "l_linenumber", "price")
+
+
 def sql_hint_nest_loop(spark: SparkSession, folder: str) -> DataFrame:
     customer = table(spark, folder, "customer").select("c_custkey", "c_nationkey")
     region = table(spark, folder, "region")
@@ -120,7 +152,7 @@ QUERIES = {
     **{
         f.__name__: f
         for f in (
-            sql_hint_nest_loop, join_theta, join_asof, join_window, join_window_sliding, join_nearby,
+            sql_hint_nest_loop, join_theta, join_less, join_between, join_two_inequalities, join_asof, join_window, join_window_sliding, join_nearby,
             order_ship_delay, enrich_spend_by_segment,
         )
     },
@@ -149,7 +181,21 @@ def _window_sql(size: int, totals: str) -> str:
           ON a.user_id = b.user_id AND a.w = b.w"""
 
 
+def _priced_sql(condition: str) -> str:
+    return f"""
+        SELECT o_orderkey, low, l_orderkey, l_linenumber, price
+        FROM (SELECT *, CAST(round(o_totalprice * 100) AS BIGINT) AS low FROM orders)
+        JOIN (SELECT *, CAST(round(l_extendedprice * 100) AS BIGINT) AS price FROM lineitem) ON {condition}"""
+
+
 ORACLES = {
+    "join_less": """
+        SELECT c_custkey, owed, s_suppkey, balance
+        FROM (SELECT c_custkey, CAST(round(c_acctbal * 100) AS BIGINT) AS owed FROM customer)
+        JOIN (SELECT s_suppkey, CAST(round(s_acctbal * 100) AS BIGINT) AS balance FROM supplier) ON owed < balance
+        WHERE balance < 0""",
+    "join_between": _priced_sql("price BETWEEN low AND low + 25"),
+    "join_two_inequalities": _priced_sql("price > low AND price <= low + 60 AND o_orderdate > l_shipdate"),
     "join_inner": _join_sql("INNER"),
     "join_left": _join_sql("LEFT"),
     "join_right": _join_sql("RIGHT"),
