@@ -27,7 +27,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator, Sequence
-from functools import cache
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,11 +42,11 @@ LENGTH = 200
 #: Bytes that an anchor holds.
 GRAM = 48
 #: Items of one gram that a task sorts; more are cut.
-GROUP = 4_096
+GROUP = 1_024
 #: Bytes that are hashed at a time; longer texts are hashed in overlapping parts.
-PART = 1 << 20
+PART = 1 << 18
 #: Items that are sorted at a time, and those of the last group.
-BATCH = 20_000
+BATCH = 4_096
 #: Items that a hot item is cut into at most.
 CUT = 9
 SEEDS = (11, 12)
@@ -55,7 +55,7 @@ SEEDS = (11, 12)
 _TEXT = ["h1", "h2"]
 
 
-@cache
+@lru_cache(maxsize=4)
 def _table(seed: int) -> tuple[np.ndarray, np.uint64, np.uint64]:
     """A random value for each byte, an odd base and its inverse modulo 2^64."""
     rng = np.random.default_rng(seed)
@@ -63,7 +63,7 @@ def _table(seed: int) -> tuple[np.ndarray, np.uint64, np.uint64]:
     return rng.integers(0, 1 << 63, 256, np.uint64), np.uint64(base), np.uint64(pow(base, -1, 1 << 64))
 
 
-@cache
+@lru_cache(maxsize=4)
 def _powers(seed: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse below 2^bits."""
     found = []
@@ -80,7 +80,7 @@ class Prefixes:
     """Prefix polynomial hashes modulo 2^64: the hash of any substring from two of them."""
 
     def __init__(self, data: np.ndarray, seed: int = SEEDS[0]):
-        powers, self.inverse = _powers(seed, max(12, int(len(data)).bit_length()))
+        powers, self.inverse = _powers(seed, max(18, int(len(data)).bit_length()))
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_table(seed)[0][data] * powers[: len(data)], out=self.sums[1:])
 
@@ -382,9 +382,15 @@ def _cuts(length: int, width: int):
                     have = (l <= top) & (h >= t * step)
                     core = mixed(hashes.of(first[have] - t * step, length - top + t * step)) ^ mixed(np.uint64([width * 4_096 + t]))
                     keys[have, t] = core.view(np.int64)
-                own = {c: batch.column(c).to_numpy()[row[some]] for c in _TEXT}
-                lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, number, dtype=np.int32), pa.array(keys.ravel()))
-                yield _batch({"key": key[some], "whole": whole, **own, "place": place[some], "cuts": lists})
+                # alike items of one text are one row
+                alike = np.lexsort((place[some], whole, key[some], row[some]))
+                same = [c[alike][1:] == c[alike][:-1] for c in (whole, key[some], row[some])]
+                begins = np.flatnonzero(np.r_[True, ~np.logical_and.reduce(same)])
+                one = alike[begins]
+                places = pa.ListArray.from_arrays(np.r_[begins, len(alike)].astype(np.int32), pa.array(place[some][alike]))
+                lists = pa.ListArray.from_arrays(np.arange(0, len(one) * number + 1, number, dtype=np.int32), pa.array(keys[one].ravel()))
+                own = {c: batch.column(c).to_numpy()[row[some][one]] for c in _TEXT}
+                yield _batch({"key": key[some][one], "whole": whole[one], **own, "places": places, "cuts": lists})
 
     return cuts
 
@@ -441,6 +447,16 @@ def _with_texts(texts: DataFrame, rows: DataFrame, columns: Sequence[str], name:
     return texts.join(rows.groupBy(*_TEXT).agg(F.collect_list(F.struct(*columns)).alias(name)), _TEXT)
 
 
+def _span(length: int):
+    """The bytes that all strings of an item cover."""
+
+    def span(place: Column) -> Column:
+        anchor, low, high = F.call_function("shiftright", place, F.lit(24)), F.call_function("shiftright", place, F.lit(12)).bitwiseAND(4_095), place.bitwiseAND(4_095)
+        return F.struct((anchor - high).alias("start"), (anchor - low + length).alias("end"))
+
+    return span
+
+
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, group: int = GROUP, part: int = PART) -> DataFrame:
     """Per row of `docs`: id, n_bytes, n_removed, spans (start, end of maximal runs of bytes to remove), kept_sha256.
 
@@ -473,14 +489,13 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
         if hot.isEmpty():
             break
         step = -(-width // CUT)
-        schema = "key long, whole long, h1 long, h2 long, place long, cuts array<long>"
+        schema = "key long, whole long, h1 long, h2 long, places array<long>, cuts array<long>"
         cut = stored(_with_texts(texts.drop("copies"), hot, ["key", "place"], "items").mapInArrow(_cuts(length, width), schema), "hot")
-        first = F.min(F.struct("h1", "h2", "place", "cuts")).alias("one")
-        classes = stored(cut.groupBy("key", "whole").agg(F.count("*").alias("n"), first), "classes")
-        low, high = F.expr("place >> 12 & 4095"), F.expr("place & 4095")
-        start, end = F.expr("place >> 24") - high, F.expr("place >> 24") - low + length
+        first = F.min(F.struct("h1", "h2", F.col("places")[0].alias("place"), "cuts")).alias("one")
+        classes = stored(cut.groupBy("key", "whole").agg(F.sum(F.size("places")).alias("n"), first), "classes")
         alike = cut.drop("cuts").join(classes.where("n > 1").select("key", "whole"), ["key", "whole"])
-        spans.append(stored(alike.select(*_TEXT, start.alias("start"), end.alias("end")), "spans"))
+        spans.append(stored(alike.select(*_TEXT, F.transform("places", _span(length)).alias("spans")), "spans"))
+        low, high = F.expr("place >> 12 & 4095"), F.expr("place & 4095")
         # one of each class is cut; `place` of a part counts from its own anchor
         less = classes.select("one.*").select(*_TEXT, "place", F.posexplode("cuts").alias("t", "key")).withColumn("back", F.col("t") * step)
         less = less.withColumn("low", F.greatest(low - F.col("back"), F.lit(0))).withColumn("high", F.least(high - F.col("back"), F.lit(step - 1)))
@@ -493,12 +508,13 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     item_schema = f"{key_schema}, bytes binary"
     cut = _with_texts(texts.drop("copies"), cool, ["key", "place"], "items").mapInArrow(_slices(length), item_schema)
     dealt = cut.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key")
-    spans.append(stored(dealt.mapInArrow(_sorted_repeats(length), span_schema), "spans"))
+    sorted_spans = dealt.mapInArrow(_sorted_repeats(length), span_schema)
+    spans.append(stored(sorted_spans.select(*_TEXT, F.array(F.struct("start", "end")).alias("spans")), "spans"))
     _free(spark)
     found = spans[0]
     for more in spans[1:]:
         found = found.unionByName(more)
-    listed = found.groupBy(*_TEXT).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    listed = found.groupBy(*_TEXT).agg(F.flatten(F.collect_list("spans")).alias("spans"))
     hit = texts.join(listed, _TEXT, "left").where("copies > 1 OR spans IS NOT NULL")
     none = F.array().cast("array<struct<start: bigint, end: bigint>>")
     hit = hit.select(*_TEXT, "text", "copies", F.coalesce("spans", none).alias("spans"))

@@ -85,7 +85,7 @@ def test_hashes_that_collide_are_noticed(monkeypatch):
     assert all((a == b).all() for a, b in zip(found, wanted))
 
 
-@pytest.mark.parametrize("group, part", [(4_096, 1 << 20), (3, 64)])
+@pytest.mark.parametrize("group, part", [(1_024, 1 << 18), (3, 64)])
 def test_repeated_against_brute_force(spark, group, part):
     """Hot grams are cut with groups of 3, texts are hashed in parts of 64 bytes; column names clash."""
     rows = _rows(9, 100)
