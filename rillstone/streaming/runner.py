@@ -108,6 +108,18 @@ def with_open_windows(emitted: DataFrame, rows: DataFrame, time: str, delay_ms:
     return emitted.unionByName(whole(late).where(F.col(end) > mark))
 
 
+def with_open_joined(
+    emitted: DataFrame, left: DataFrame, right: DataFrame, left_time: str, right_time: str, delay_ms: int, whole, reach: str
+) -> DataFrame:
+    """`with_open_windows` for a join of two streams, whose watermark is the earlier one of both sides."""
+    latest = [df.agg(F.max(F.unix_millis(F.col(t).cast("timestamp")))).first()[0] for df, t in ((left, left_time), (right, right_time))]
+    if None in latest:
+        return emitted  # nothing meets
+    mark = F.timestamp_millis(F.lit(min(latest) - delay_ms))
+    late = [df.where(F.col(t).cast("timestamp") > mark - F.expr(f"INTERVAL {reach}")) for df, t in ((left, left_time), (right, right_time))]
+    return emitted.unionByName(whole(*late).where(F.col("window_end") > mark))
+
+
 def with_open_sessions(emitted: DataFrame, rows: DataFrame, time: str, delay_ms: int, end: str, whole, keys: Sequence[str], gap: str) -> DataFrame:
     """`emitted` and the sessions that were still open when a bounded input ended: those of keys seen shortly before it."""
     latest = rows.agg(F.max(F.unix_millis(F.col(time).cast("timestamp")))).first()[0]
