@@ -6,20 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rillstone.operators import fraud, parsing, routing
+from rillstone.operators import fraud, joins, parsing, routing
 from rillstone.operators.rolling import with_preceding
 from rillstone.operators.skew import HEAVY, cut_heavy
 from rillstone.operators.windows import stamp_arrival, streaming_sessions, windowed
 from rillstone.plans.basics import ORACLES as BASICS, transaction_lines
 from rillstone.plans.common import EVENTS_SQL, events, in_cents, scored_input, shown
+from rillstone.plans.joins import ORACLES as JOINS
 from rillstone.plans.reports import ORACLES as REPORTS
 from rillstone.plans.scoring import ORACLES as SCORING
 from rillstone.plans.windows import window_sql
 from rillstone.session import fresh_dir, stored
 from rillstone.sinks import write_text
 from rillstone.sources.streams import line_stream, table_stream
-from rillstone.streaming.runner import run, to_table, to_tables, with_open_sessions, with_open_windows
+from rillstone.streaming.runner import run, to_table, to_tables, with_open_joined, with_open_sessions, with_open_windows
 from rillstone.streaming.stateful import chunk_totals, rolling_sums, running_totals, sequence_alerts, sums_in_chunks
+from rillstone.streaming.temporal import overdue, temporal_join, with_waiting_facts
 
 _BOUNDS = ("window_start", "window_end")
 
@@ -150,6 +152,41 @@ def stream_pattern(spark: SparkSession, folder: str) -> DataFrame:
     return shown(_by_slices(spark, rows, "stream_pattern", build), "first_time", "last_time")
 
 
+def stream_asof(spark: SparkSession, folder: str) -> DataFrame:
+    """Every purchase with the user's latest view before it, answered once the watermark has passed the purchase."""
+
+    def sides(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        bought = rows.where("event_type = 'purchase'").select("event_id", "user_id", "ts", "cents")
+        seen = rows.where("event_type = 'view'").select(
+            "user_id", F.col("event_id").alias("view_id"), F.col("ts").alias("view_ts"), F.col("cents").alias("view_cents")
+        )
+        return bought, seen
+
+    how = ["user_id"], "ts", "view_ts", ["view_id", "view_ts", "view_cents"]
+    answered = to_table(temporal_join(*sides(_events(spark, folder)), *how, inclusive=False, tie="view_id"), "stream_asof")
+    whole = with_waiting_facts(answered, *sides(events(spark, folder, *_COLUMNS)), *how, inclusive=False, tie="view_id")
+    return shown(whole, "ts", "view_ts")
+
+
+def stream_window_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Clicks and purchases of a user in the same hour: two windowed aggregates of streams, joined on window and user."""
+    clicks = [F.count(F.lit(1)).alias("clicks"), F.sum("cents").alias("click_cents")]
+    bought = [F.count(F.lit(1)).alias("purchases"), F.sum("cents").alias("purchase_cents")]
+    whole = lambda left, right: joins.window_join(left, right, ["user_id"], "ts", "ts", "1 hour", None, clicks, bought)
+    sides = lambda rows: [rows.where(F.col("event_type") == kind) for kind in ("click", "purchase")]
+    timed = [side.withWatermark("ts", "0 seconds") for side in sides(_events(spark, folder))]
+    closed = to_table(whole(*timed), "stream_window_join", single_stateful=False)
+    done = with_open_joined(closed, *sides(events(spark, folder, *_COLUMNS)), "ts", "ts", 0, whole, "1 hour")
+    return shown(done.withColumn("pairs", F.col("clicks") * F.col("purchases")), *_BOUNDS)
+
+
+def stream_ride_overdue(spark: SparkSession, folder: str) -> DataFrame:
+    """Rides, one per user and day, that were started and not completed within six hours; most never are."""
+    rows = _events(spark, folder).withColumn("day", F.to_date("ts").cast("string"))
+    started, ended = F.col("event_type") == "signup", F.col("event_type") == "purchase"
+    return shown(to_table(overdue(rows, ["user_id", "day"], "ts", started, ended, 6 * 3600), "stream_ride_overdue"), "started_at", "due_at")
+
+
 def stream_report_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Report lines of transactions that aren't flagged, written as text by the stream."""
     scored = fraud.normal(fraud.score(scored_input(table_stream(spark, folder, "orders"), spark, folder)))
@@ -177,7 +214,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         stream_tumbling_sum, stream_sliding_sum, stream_session, stream_processing_time, stream_count_by_type,
-        stream_fan_out, stream_delimited_lines, stream_rolling_sum, stream_pattern, stream_split, stream_fraud, stream_report_lines,
+        stream_fan_out, stream_delimited_lines, stream_rolling_sum, stream_pattern, stream_asof, stream_window_join, stream_ride_overdue, stream_split, stream_fraud, stream_report_lines,
     )
 }
 
@@ -205,6 +242,18 @@ ORACLES = {
         SELECT event_id, user_id, CAST(sum(cents) OVER (PARTITION BY user_id ORDER BY ts, event_id
                ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total FROM ({EVENTS_SQL})""",
     "stream_pattern": f"SELECT user_id, first_time, ts AS last_time FROM ({REPORTS['pattern_fail_then_success']})",
+    "stream_asof": JOINS["join_asof"],
+    "stream_window_join": JOINS["join_window"],
+    "stream_ride_overdue": """
+        WITH rides AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, ts, event_type FROM events
+                       WHERE event_type IN ('signup', 'purchase') AND ts IS NOT NULL),
+             started AS (SELECT user_id, day, min(ts) AS begun FROM rides WHERE event_type = 'signup' GROUP BY ALL)
+        SELECT user_id, day, strftime(begun, '%Y-%m-%d %H:%M:%S') AS started_at,
+               strftime(begun + INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S') AS due_at
+        FROM started s
+        WHERE date_trunc('milliseconds', (SELECT max(ts) FROM rides)) > begun + INTERVAL 6 HOUR
+          AND NOT EXISTS (SELECT 1 FROM rides r WHERE r.event_type = 'purchase' AND r.user_id IS NOT DISTINCT FROM s.user_id
+                          AND r.day = s.day AND r.ts BETWEEN s.begun AND s.begun + INTERVAL 6 HOUR)""",
     "stream_report_lines": f"SELECT line AS value FROM ({SCORING['format_normal']})",
     "stream_count_by_type": f"SELECT event_type, count(*) AS n, {_SUM} FROM ({EVENTS_SQL}) GROUP BY 1",
     "stream_split": """

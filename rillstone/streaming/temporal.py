@@ -43,7 +43,7 @@ def temporal_join(
     The stream form of `asof_join`.  The state of a key is its versions in order of time, and of the integer column `tie`
     where times are equal, and the facts that still wait.  A fact is answered once the watermark has passed its time; the
     watermark is the earlier one of both sides, each `delay` behind its latest row.  Of the versions behind the watermark
-    only the latest stays.  Versions may come in any order; facts behind the watermark are dropped, as are versions
+    only the latest stays.  Versions may come in any order; rows at or behind the watermark are dropped, as are versions
     without a key or a time.  Facts without a key or a time are passed on at once and know none.  With `inclusive`, a
     version at exactly the fact's time counts.  Facts of one key are dealt to `slots` tasks, each with all its versions.
     """
@@ -149,8 +149,8 @@ def overdue(
 
     A key's span begins with its first event that `started` is true for, and ends with the first event that `ended` is true for
     at that time or later.  A key that never ends is reported without any further event.  Each key is reported once; what
-    is known of a key goes `retain_seconds` after it was due or ended.  Events behind the watermark are dropped, as are
-    those without a time.  The state of a key is its start, its end and ends that are ahead of the watermark.
+    is known of a key goes `retain_seconds` after it was due or ended.  Events at or behind the watermark are dropped, as
+    are those without a time.  The state of a key is its start, its end and ends that are ahead of the watermark.
     """
     seen = F.col(f"`{time}`").cast("timestamp")
     rows = (

@@ -67,10 +67,10 @@ def test_facts_without_key_or_time_know_no_version(spark, tmp_path):
 RIDES = "ride int, status string, s bigint"
 
 
-def _overdue(spark, source, max_files=None):
-    rows = spark.readStream.schema(RIDES).option("maxFilesPerTrigger", max_files or 1000).csv(source).withColumn("t", F.timestamp_seconds("s"))
+def _overdue(spark, source, max_files=None, retain=50):
+    rows = spark.readStream.schema(RIDES).option("maxFilesPerTrigger", max_files or 1000).csv(source).withColumn("t", F.timestamp_seconds(F.col("s") + 1_000))
     status = F.col("status")
-    return temporal.overdue(rows, ["ride"], "t", status == "started", status == "completed", 100, "10 seconds", 50)
+    return temporal.overdue(rows, ["ride"], "t", status == "started", status == "completed", 100, "10 seconds", retain)
 
 
 def test_unfinished_rides_are_reported_across_restarts(spark, tmp_path):
@@ -91,7 +91,7 @@ def test_unfinished_rides_are_reported_across_restarts(spark, tmp_path):
         told.append(sorted(r["ride"] for r in spark.read.parquet(paths[0]).collect()))
     assert told == [[], [], [1, 3], [1, 3], [1, 3, 5, 6, 7], [1, 3, 5, 6, 7], [1, 3, 5, 6, 7]]
     row = spark.read.parquet(paths[0]).where("ride = 5").first()
-    assert (row["started_at"].timestamp(), row["due_at"].timestamp()) == (90, 190)
+    assert (row["started_at"].timestamp(), row["due_at"].timestamp()) == (1_090, 1_190)
 
 
 def test_batches_do_not_matter(spark, tmp_path):
@@ -102,7 +102,7 @@ def test_batches_do_not_matter(spark, tmp_path):
     results = []
     for name, size in (("one", len(lines)), ("many", 60)):
         drop(f"{tmp_path}/{name}", [lines[i : i + size] for i in range(0, len(lines), size)])
-        results.append(rows_of(runner.to_table(_overdue(spark, f"{tmp_path}/{name}", 1), name)))
+        results.append(rows_of(runner.to_table(_overdue(spark, f"{tmp_path}/{name}", 1, 86_400), name)))
     assert results[0] == results[1] and len(results[0]) > 5
 
 
