@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -26,6 +27,30 @@ def windowed(
     )
 
 
+#: An aggregate of rows, and how aggregates of parts become one.
+Mergeable = tuple[Column, Callable[[str], Column]]
+
+
+def sliding_by_panes(
+    df: DataFrame, time: str, size_seconds: int, slide_seconds: int, aggs: Mapping[str, Mergeable], keys: Sequence[str] = ()
+) -> DataFrame:
+    """Sliding windows from panes: rows are aggregated once per pane and key, and windows from the panes they hold.
+
+    A row isn't copied for each window that it is in: what is copied, and shuffled again, is one row per pane and key.  A pane
+    is as long as the greatest common divisor of size and slide.  `aggs` names mergeable aggregates, such as
+    `{"total": (F.sum("cents"), F.sum), "n": (F.count(F.lit(1)), F.sum)}`.  On a stream with a watermark both steps are
+    stateful: run it with `single_stateful=False`.
+    """
+    pane = math.gcd(size_seconds, slide_seconds)
+    parts = df.groupBy(F.window(time, f"{pane} seconds").alias("_pane"), *keys).agg(*[part.alias(name) for name, (part, _) in aggs.items()])
+    # the time of a pane is its last microsecond
+    timed = parts.withColumn("_time", F.window_time("_pane"))
+    return windowed(
+        timed, "_time", f"{size_seconds} seconds", [merge(name).alias(name) for name, (_, merge) in aggs.items()], keys,
+        f"{slide_seconds} seconds",
+    )
+
+
 def stamp_arrival(df: DataFrame, name: str = "arrived_at") -> DataFrame:
     """Adds the processing time, constant within a micro-batch; windows over it are processing-time windows."""
     return df.withColumn(name, F.current_timestamp())

@@ -9,18 +9,19 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from rillstone.operators import fraud, joins, parsing, routing
 from rillstone.operators.rolling import with_preceding
 from rillstone.operators.skew import HEAVY, cut_heavy
-from rillstone.operators.windows import stamp_arrival, streaming_sessions, windowed
+from rillstone.functions.time import SECONDS, text
+from rillstone.operators.windows import sliding_by_panes, stamp_arrival, streaming_sessions, windowed
 from rillstone.plans.basics import ORACLES as BASICS, transaction_lines
 from rillstone.plans.common import EVENTS_SQL, events, in_cents, scored_input, shown
 from rillstone.plans.joins import ORACLES as JOINS
 from rillstone.plans.reports import ORACLES as REPORTS
 from rillstone.plans.scoring import ORACLES as SCORING
-from rillstone.plans.windows import window_sql
+from rillstone.plans.windows import ORACLES as WINDOWS, window_sql
 from rillstone.session import fresh_dir, stored
 from rillstone.sinks import write_text
 from rillstone.sources.streams import line_stream, table_stream
-from rillstone.streaming.runner import run, to_table, to_tables, with_open_joined, with_open_sessions, with_open_windows
-from rillstone.streaming.stateful import chunk_totals, rolling_sums, running_totals, sequence_alerts, sums_in_chunks
+from rillstone.streaming.runner import run, to_table, with_open_joined, with_open_sessions, with_open_windows
+from rillstone.streaming.stateful import accumulate_windows, chunk_totals, fan_out_totals, rolling_sums, running_totals, sequence_alerts, sums_in_chunks
 from rillstone.streaming.temporal import overdue, temporal_join, with_waiting_facts
 
 _BOUNDS = ("window_start", "window_end")
@@ -90,17 +91,39 @@ def stream_processing_time(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_fan_out(spark: SparkSession, folder: str) -> DataFrame:
-    """One input, two sinks with aggregates of their own: totals per kind of event, and events per hour."""
-    whole = lambda rows: windowed(rows, "ts", "1 hour", [F.count(F.lit(1)).alias("n")])
-    rows = _events(spark, folder)
-    out = to_tables({
-        "kinds": running_totals(rows, "event_type", "cents"), "hours": whole(rows.withWatermark("ts", "0 seconds")),
-    })
-    kinds = out["kinds"].groupBy("event_type").agg(F.max_by("total", "n").alias("value"))
-    hours = shown(with_open_windows(out["hours"], events(spark, folder, *_COLUMNS), "ts", 0, "window_end", whole, "1 hour"), *_BOUNDS)
-    return kinds.select(F.lit("kinds").alias("sink"), F.col("event_type").alias("key"), "value").unionByName(
-        hours.select(F.lit("hours").alias("sink"), F.col("window_start").alias("key"), F.col("n").alias("value"))
-    )
+    """One read of the input, two sinks with aggregates of their own: totals per kind of event, and events per hour."""
+    hour = text(F.date_trunc("hour", "ts"), SECONDS)
+    totals = fan_out_totals(_events(spark, folder), {"kinds": F.col("event_type"), "hours": hour}, "cents")
+    written = to_table(totals, "stream_fan_out", partition_by=["sink"])
+    # the rows of a key only grow in number, so its last emission has the most
+    last = written.groupBy("sink", "key").agg(F.max("n").alias("n"), F.max_by("total", "n").alias("total"))
+    return last.select("sink", "key", F.when(F.col("sink") == "kinds", F.col("total")).otherwise(F.col("n")).alias("value"))
+
+
+def _spread_of(rows: DataFrame) -> DataFrame:
+    """Count, sum and sum of squares of whole values over three hours, every hour, by a user-defined accumulator."""
+    fields = ["n", "total", "squares"]
+    merge = lambda part, by: part.groupby(by, as_index=False, dropna=False)[fields].sum()
+    add = lambda part, by: merge(part.assign(n=1, squares=part["total"] ** 2), by)
+    whole = rows.select("event_type", "ts", F.floor(F.col("cents") / 100).alias("total"))
+    return accumulate_windows(whole, ["event_type"], "ts", 3 * 3600, 3600, "n bigint, total bigint, squares bigint", add, merge)
+
+
+def stream_accumulator(spark: SparkSession, folder: str) -> DataFrame:
+    """A user-defined aggregate over sliding windows of a stream, from panes of an hour."""
+    rows = _events(spark, folder).where("cents IS NOT NULL")
+    static = events(spark, folder, *_COLUMNS).where("cents IS NOT NULL")
+    closed = to_table(_spread_of(rows), "stream_accumulator")
+    return shown(with_open_windows(closed, static, "ts", 0, "window_end", _spread_of, "3 hours"), *_BOUNDS)
+
+
+def stream_sliding_panes(spark: SparkSession, folder: str) -> DataFrame:
+    """Means over three hours, every hour, from counts and sums per hour."""
+    aggs = {"n": (F.count(F.lit(1)), F.sum), "total": (F.sum("cents"), F.sum)}
+    whole = lambda rows: sliding_by_panes(rows, "ts", 3 * 3600, 3600, aggs, ["event_type"])
+    closed = to_table(whole(_events(spark, folder).withWatermark("ts", "0 seconds")), "stream_sliding_panes", single_stateful=False)
+    done = with_open_windows(closed, events(spark, folder, *_COLUMNS), "ts", 0, "window_end", whole, "3 hours")
+    return shown(done.select(*_BOUNDS, "event_type", (F.col("total") / F.col("n")).alias("mean_cents")), *_BOUNDS)
 
 
 def stream_delimited_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -214,7 +237,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         stream_tumbling_sum, stream_sliding_sum, stream_session, stream_processing_time, stream_count_by_type,
-        stream_fan_out, stream_delimited_lines, stream_rolling_sum, stream_pattern, stream_asof, stream_window_join, stream_ride_overdue, stream_split, stream_fraud, stream_report_lines,
+        stream_fan_out, stream_accumulator, stream_sliding_panes, stream_delimited_lines, stream_rolling_sum, stream_pattern, stream_asof, stream_window_join, stream_ride_overdue, stream_split, stream_fraud, stream_report_lines,
     )
 }
 
@@ -237,6 +260,11 @@ ORACLES = {
     "stream_fan_out": f"""
         SELECT 'kinds' AS sink, event_type AS key, CAST(sum(cents) AS BIGINT) AS value FROM ({EVENTS_SQL}) GROUP BY 2
         UNION ALL SELECT 'hours', window_start, n FROM ({window_sql(1, "", "count(*) AS n")})""",
+    "stream_accumulator": window_sql(
+        3, "event_type", """count(*) AS n, CAST(sum(CAST(floor(cents / 100.0) AS BIGINT)) AS BIGINT) AS total,
+        CAST(sum(CAST(floor(cents / 100.0) * floor(cents / 100.0) AS BIGINT)) AS BIGINT) AS squares""", "WHERE cents IS NOT NULL"
+    ),
+    "stream_sliding_panes": WINDOWS["window_sliding_avg"],
     "stream_delimited_lines": BASICS["parse_good"],
     "stream_rolling_sum": f"""
         SELECT event_id, user_id, CAST(sum(cents) OVER (PARTITION BY user_id ORDER BY ts, event_id

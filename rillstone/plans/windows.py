@@ -50,6 +50,13 @@ def window_sliding_avg(spark: SparkSession, folder: str) -> DataFrame:
     return shown(windowed(_events(spark, folder), "ts", "3 hours", aggs, ["event_type"], "1 hour"), *_BOUNDS)
 
 
+def window_sliding_panes(spark: SparkSession, folder: str) -> DataFrame:
+    """`window_sliding_avg` from one row per hour and kind."""
+    aggs = {"n": (F.count(F.lit(1)), F.sum), "total": (F.sum("cents"), F.sum)}
+    out = windows.sliding_by_panes(_events(spark, folder), "ts", 3 * 3600, 3600, aggs, ["event_type"])
+    return shown(out.select(*_BOUNDS, "event_type", (F.col("total") / F.col("n")).alias("mean_cents")), *_BOUNDS)
+
+
 def window_session(spark: SparkSession, folder: str) -> DataFrame:
     out = windows.sessions(_events(spark, folder), "ts", 6 * 3600, ["user_id"], ["cents"])
     return shown(out, "session_start", "last_event", "session_end")
@@ -59,7 +66,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         window_tumbling_sales, window_count_sum, window_count_sum_lines, window_total_lines, window_all_sum,
-        window_sliding_sum, window_sliding_avg, window_session,
+        window_sliding_sum, window_sliding_avg, window_sliding_panes, window_session,
     )
 }
 
@@ -89,6 +96,9 @@ ORACLES = {
     "window_sliding_avg": window_sql(
         3, "event_type", "CAST(sum(cents) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS mean_cents"
     ),
+    "window_sliding_panes": window_sql(
+        3, "event_type", "CAST(sum(cents) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS mean_cents"
+    ),
     "window_session": f"""
         SELECT user_id, strftime(min(ts), {_T}) AS session_start, strftime(max(ts), {_T}) AS last_event,
                strftime(max(ts) + INTERVAL 6 HOUR, {_T}) AS session_end,

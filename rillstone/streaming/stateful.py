@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import math
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from rillstone.operators.skew import same
@@ -134,6 +135,111 @@ def chunk_totals(df: DataFrame, keys: Sequence[str], chunks: Sequence[str], valu
     )
 
 
+def fan_out_totals(df: DataFrame, sinks: Mapping[str, Column], value: str) -> DataFrame:
+    """Counts and sums so far of several groupings from one read: `sink`, `key` (as text), `n`, `total`, when they change.
+
+    Each row is expanded to one per sink within its task and reduced there per Arrow batch; the shuffle and the state have one
+    row per sink and key.  A null key has no row.  Written with `partition_by=["sink"]`, every sink gets a folder of its own.
+    """
+    each = [F.struct(F.lit(name).alias("sink"), key.cast("string").alias("key")) for name, key in sinks.items()]
+    rows = df.select(F.explode(F.array(*each)).alias("_s"), F.col(value)).select("_s.*", value).where("key IS NOT NULL")
+    totals = chunk_totals(rows, ["sink", "key"], [], value)
+    # a projection that stays in the plan: the sort of a partitioned sink can't take the rows of a state function as they are
+    return totals.select("sink", "key", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("total", F.lit(0)).alias("total"))
+
+
+def accumulate_windows(
+    df: DataFrame,
+    keys: Sequence[str],
+    time: str,
+    size_seconds: int,
+    slide_seconds: int,
+    schema: str,
+    add: Callable[[pd.DataFrame, list[str]], pd.DataFrame],
+    merge: Callable[[pd.DataFrame, list[str]], pd.DataFrame],
+    delay: str = "0 seconds",
+) -> DataFrame:
+    """A user-defined aggregate over sliding windows, static or streaming: window_start, window_end, keys and `schema`.
+
+    `add(rows, by)` turns rows into accumulators and `merge(accumulators, by)` combines accumulators, both to one row per
+    value of the columns `by`, with the columns `schema` beside them.  Rows are accumulated per pane and key in their
+    task; a window merges the accumulators of its panes.  On a stream, the state of a key is the accumulators of the
+    panes that open windows hold, and a window is emitted once the watermark has passed its end; panes of which all
+    windows are closed are dropped.  Rows without a time belong to no window; null keys are a key.
+    """
+    pane_us = math.gcd(size_seconds, slide_seconds) * 1_000_000
+    size, slide = size_seconds * 1_000_000, slide_seconds * 1_000_000
+    kinds, names = dict(df.dtypes), [f"_k{i}" for i in range(len(keys))]
+    # keys as text: pandas would turn whole numbers beside nulls into floats
+    seen = F.unix_micros(F.col(time).cast("timestamp"))
+    rows = df.where(F.col(time).isNotNull()).select(
+        *[c for c in df.columns if c not in (time, *keys)], *[F.col(k).cast("string").alias(n) for k, n in zip(keys, names)],
+        (seen - F.pmod(seen, F.lit(pane_us))).alias("_pane"), seen.alias("_at"),
+    )
+    by = [*names, "_pane"]
+    fields = [f.strip().split(" ")[0].strip("`") for f in schema.split(",")]
+    keyed = "".join(f"{n} string, " for n in names)
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                latest = batch.groupby(by, dropna=False, as_index=False)["_at"].max()
+                yield add(batch.drop(columns="_at"), by).merge(latest, on=by)[[*by, "_at", *fields]]
+
+    def windows_of(panes: pd.DataFrame) -> pd.DataFrame:
+        """Each pane once for every window that holds it."""
+        first = (panes["_pane"] - size + pane_us + slide - 1) // slide * slide  # the earliest such window
+        copies = [panes.assign(_start=first + i * slide) for i in range(-(-size // slide))]
+        every = pd.concat(copies, ignore_index=True)
+        return every[(every["_start"] <= every["_pane"]) & (every["_pane"] + pane_us <= every["_start"] + size)]
+
+    parts = rows.mapInPandas(partial, f"{keyed}_pane bigint, _at bigint, {schema}")
+    out = f"{keyed}_start bigint, {schema}"
+    if not df.isStreaming:
+        found = (
+            parts.drop("_at").groupBy(*by).applyInPandas(lambda p: merge(p, by)[[*by, *fields]], f"{keyed}_pane bigint, {schema}")
+            .mapInPandas(lambda batches: (windows_of(b)[[*names, "_start", *fields]] for b in batches if len(b)), out)
+            .groupBy(*names, "_start").applyInPandas(lambda w: merge(w, [*names, "_start"])[[*names, "_start", *fields]], out)
+        )
+    else:
+
+        def update(key: tuple, arriving: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+            held, told = state.get if state.exists else (None, 0)
+            known = [pa.ipc.open_stream(held).read_pandas()] if held else []
+            mark = state.getCurrentWatermarkMs() * 1000
+            fresh = [p[[*by, *fields]] for p in arriving]
+            panes = pd.concat([*known, *fresh], ignore_index=True) if known or fresh else None
+            if panes is not None and len(panes):
+                panes = panes[panes["_pane"] + size > told]  # else all of its windows are closed
+                panes = merge(panes, by)[[*by, *fields]] if len(panes) else panes
+            if panes is not None and len(panes):
+                every = windows_of(panes)
+                closed = every[(every["_start"] + size <= mark) & (every["_start"] + size > told)]
+                if len(closed):
+                    yield merge(closed, [*names, "_start"])[[*names, "_start", *fields]]
+                panes = panes[(panes["_pane"] // slide) * slide + size > mark]
+            if panes is None or not len(panes):
+                state.remove()
+                return
+            table = pa.Table.from_pandas(panes, preserve_index=False)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema) as writer:
+                writer.write_table(table)
+            state.update((sink.getvalue().to_pybytes(), mark))
+            ends = windows_of(panes)["_start"] + size
+            due = int(ends[ends > mark].min())
+            state.setTimeoutTimestamp(max(due // 1000 - 1, mark // 1000 + 1))
+
+        timed = parts.withColumn("_time", F.timestamp_micros("_at")).withWatermark("_time", delay)
+        found = timed.groupBy(*names).applyInPandasWithState(
+            update, out, "panes binary, told bigint", "append", GroupStateTimeout.EventTimeTimeout
+        )
+    return found.select(
+        F.timestamp_micros("_start").alias("window_start"), F.timestamp_micros(F.col("_start") + size).alias("window_end"),
+        *[F.col(n).cast(kinds[k]).alias(k) for k, n in zip(keys, names)], *fields,
+    )
+
+
 def sums_in_chunks(
     rows: DataFrame, totals: DataFrame, keys: Sequence[str], chunks: Sequence[str], order: Sequence[str], value: str, name: str
 ) -> DataFrame:
