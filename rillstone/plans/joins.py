@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rillstone.operators import enrich, joins
 from rillstone.operators.inequality import inequality_join
+from rillstone.operators.nearest import nearest_join
 from rillstone.plans.common import cents, events, shown
 from rillstone.sources.files import table
 
@@ -144,6 +145,14 @@ def join_nearby(spark: SparkSession, folder: str) -> DataFrame:
     return near.select("c_custkey", "s_suppkey", F.round(F.col("distance_km") * 1000).cast("bigint").alias("metres"))
 
 
+def join_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    """The driver nearest to each ride, however far away."""
+    rides = _placed(table(spark, folder, "customer"), "c_custkey", "lat", "lon", (F.col("c_custkey") % 7) * 0.004)
+    drivers = _placed(table(spark, folder, "supplier"), "s_suppkey", "driver_lat", "driver_lon", F.lit(0.0))
+    near = nearest_join(rides, drivers, ("lat", "lon"), ("driver_lat", "driver_lon"), "s_suppkey")
+    return near.select("c_custkey", "s_suppkey", "metres")
+
+
 QUERIES = {
     **{f"join_{how}": _named(how) for how in ("inner", "left", "right", "full")},
     **{f"join_hint_{s}": _hinted(s) for s in joins.STRATEGIES},
@@ -152,7 +161,7 @@ QUERIES = {
     **{
         f.__name__: f
         for f in (
-            sql_hint_nest_loop, join_theta, join_less, join_between, join_two_inequalities, join_asof, join_window, join_window_sliding, join_nearby,
+            sql_hint_nest_loop, join_theta, join_less, join_between, join_two_inequalities, join_asof, join_window, join_window_sliding, join_nearby, join_nearest,
             order_ship_delay, enrich_spend_by_segment,
         )
     },
@@ -222,6 +231,17 @@ ORACLES = {
                        (s_suppkey * 104729 % 36007) / 100.0::DOUBLE - 180 AS lon FROM supplier) b
             ON abs(a.lat - b.lat) < 0.02::DOUBLE)
         WHERE km < 2""",
+    "join_nearest": """
+        SELECT c_custkey, s_suppkey, metres FROM (
+          SELECT c_custkey, s_suppkey, metres, row_number() OVER (PARTITION BY c_custkey ORDER BY metres, s_suppkey) AS place FROM (
+            SELECT c_custkey, s_suppkey, CAST(round(2 * 6371.0::DOUBLE * asin(sqrt(least(1.0::DOUBLE,
+                pow(sin(radians(b.lat - a.lat) / 2), 2)
+                + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) * 1000) AS BIGINT) AS metres
+            FROM (SELECT c_custkey, (c_custkey * 7919 % 16001) / 100.0::DOUBLE - 80 + (c_custkey % 7) * 0.004::DOUBLE AS lat,
+                         (c_custkey * 104729 % 36007) / 100.0::DOUBLE - 180 AS lon FROM customer) a,
+                 (SELECT s_suppkey, (s_suppkey * 7919 % 16001) / 100.0::DOUBLE - 80 AS lat,
+                         (s_suppkey * 104729 % 36007) / 100.0::DOUBLE - 180 AS lon FROM supplier) b))
+        WHERE place = 1""",
     "join_window": _window_sql(1, "a.c AS click_cents, b.c AS purchase_cents,"),
     "join_window_sliding": _window_sql(2, ""),
     "order_ship_delay": """

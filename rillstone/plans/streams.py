@@ -12,15 +12,16 @@ from rillstone.operators.skew import HEAVY, cut_heavy
 from rillstone.functions.time import SECONDS, text
 from rillstone.operators.windows import sliding_by_panes, stamp_arrival, streaming_sessions, windowed
 from rillstone.plans.basics import ORACLES as BASICS, transaction_lines
-from rillstone.plans.common import EVENTS_SQL, events, in_cents, scored_input, shown
+from rillstone.plans.common import EVENTS_SQL, cents, events, in_cents, scored_input, shown
 from rillstone.plans.joins import ORACLES as JOINS
 from rillstone.plans.reports import ORACLES as REPORTS
 from rillstone.plans.scoring import ORACLES as SCORING
 from rillstone.plans.windows import ORACLES as WINDOWS, window_sql
 from rillstone.session import fresh_dir, stored
 from rillstone.sinks import write_text
+from rillstone.sources.replay import replay
 from rillstone.sources.streams import line_stream, table_stream
-from rillstone.streaming.runner import run, to_table, with_open_joined, with_open_sessions, with_open_windows
+from rillstone.streaming.runner import drained, run, to_table, with_open_joined, with_open_sessions, with_open_windows
 from rillstone.streaming.stateful import accumulate_windows, chunk_totals, fan_out_totals, rolling_sums, running_totals, sequence_alerts, sums_in_chunks
 from rillstone.streaming.temporal import overdue, temporal_join, with_waiting_facts
 
@@ -222,6 +223,13 @@ def stream_count_by_type(spark: SparkSession, folder: str) -> DataFrame:
     return counts.groupBy("event_type").agg(F.max("n").alias("n"), F.max_by("total", "n").alias("total"))
 
 
+def stream_replay(spark: SparkSession, folder: str) -> DataFrame:
+    """The events replayed in ranges of their ids by a user-defined stream source, counted per kind of event."""
+    rows = replay(spark, f"{folder}/events.parquet", "event_id", ["event_id", "event_type", "value"], batches=3, tasks=4)
+    counts = drained(running_totals(rows.withColumn("cents", cents("value")), "event_type", "cents"), "stream_replay")
+    return counts.groupBy("event_type").agg(F.max("n").alias("n"), F.max_by("total", "n").alias("total"))
+
+
 def stream_split(spark: SparkSession, folder: str) -> DataFrame:
     tagged = routing.parity(_events(spark, folder).select("event_id", "event_type"), "event_id")
     return to_table(tagged, "stream_split", partition_by=["tag"]).select("event_id", "event_type", "tag")
@@ -237,7 +245,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         stream_tumbling_sum, stream_sliding_sum, stream_session, stream_processing_time, stream_count_by_type,
-        stream_fan_out, stream_accumulator, stream_sliding_panes, stream_delimited_lines, stream_rolling_sum, stream_pattern, stream_asof, stream_window_join, stream_ride_overdue, stream_split, stream_fraud, stream_report_lines,
+        stream_fan_out, stream_accumulator, stream_sliding_panes, stream_delimited_lines, stream_rolling_sum, stream_pattern, stream_asof, stream_window_join, stream_ride_overdue, stream_replay, stream_split, stream_fraud, stream_report_lines,
     )
 }
 
@@ -284,6 +292,7 @@ ORACLES = {
                           AND r.day = s.day AND r.ts BETWEEN s.begun AND s.begun + INTERVAL 6 HOUR)""",
     "stream_report_lines": f"SELECT line AS value FROM ({SCORING['format_normal']})",
     "stream_count_by_type": f"SELECT event_type, count(*) AS n, {_SUM} FROM ({EVENTS_SQL}) GROUP BY 1",
+    "stream_replay": f"SELECT event_type, count(*) AS n, {_SUM} FROM ({EVENTS_SQL}) WHERE event_id IS NOT NULL GROUP BY 1",
     "stream_split": """
         SELECT event_id, event_type, CASE WHEN event_id % 2 = 0 THEN 'even' ELSE 'odd' END AS tag FROM events""",
     "stream_fraud": f"""

@@ -84,13 +84,16 @@ def to_table(df: DataFrame, name: str, format: str = "parquet", **options) -> Da
     return spark.read.format(format).schema(df.schema).load(f"{root}/out")
 
 
-def to_tables(frames: dict[str, DataFrame], **options) -> dict[str, DataFrame]:
-    """Run several streams over the same input at a time, each with an output and a checkpoint of its own."""
-    roots = {name: fresh_dir(df.sparkSession, name) for name, df in frames.items()}
-    running = [start(df, f"{roots[name]}/out", f"{roots[name]}/checkpoint", **options) for name, df in frames.items()]
-    for query in running:
-        query.awaitTermination()
-    return {name: df.sparkSession.read.schema(df.schema).parquet(f"{roots[name]}/out") for name, df in frames.items()}
+def drained(df: DataFrame, name: str, **options) -> DataFrame:
+    """`to_table` for sources that offer their input step by step: a query that runs until nothing more comes."""
+    spark = df.sparkSession
+    root = fresh_dir(spark, name)
+    query = start(df, f"{root}/out", f"{root}/checkpoint", every="0 seconds", **options)
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return spark.read.schema(df.schema).parquet(f"{root}/out")
 
 
 def with_open_windows(emitted: DataFrame, rows: DataFrame, time: str, delay_ms: int, end: str, whole, reach: str) -> DataFrame:
