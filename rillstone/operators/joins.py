@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from rillstone.functions.geo import cell, haversine_km, neighbour_cells
 from rillstone.operators.rolling import roll, rolling_last_known
 from rillstone.operators.sizing import fits_broadcast
-from rillstone.operators.skew import grid_slots, heavy_join_keys, rows_limit, same
+from rillstone.operators.skew import content_hash, grid_slots, heavy_join_keys, rows_limit, same
 from rillstone.session import limit
 
 NESTED_ROWS = 10_000  # setting spark.rillstone.nestedRows: rows that a nested loop may copy to each task
@@ -85,43 +85,46 @@ def _spread(
     """
     most = rows_limit(left, rows_per_task)
 
-    def sized(df: DataFrame) -> DataFrame:
-        if isinstance(heavy, tuple):
-            l, r = grid_slots(F.lit(heavy[0]), F.lit(heavy[1]), most)
-            return df.select("*", l.alias("_grid_l"), r.alias("_grid_r"), F.lit(True).alias("_meets"))
-        complete = F.lit(True)
-        for k in keys:
-            complete = complete & F.col(k).isNotNull()
+    grids, complete = None, F.lit(True)
+    for k in keys:
+        complete = complete & F.col(k).isNotNull()
+    if not isinstance(heavy, tuple):
         l, r = grid_slots(F.col("_nl"), F.col("_nr"), most)
         meets = (F.col("_nl") > 0) & (F.col("_nr") > 0) & complete
         # what meets nothing needs no slots but its own side's
         alone = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / most)).cast("bigint")
-        grid = heavy.select(
+        grids = heavy.select(
             *keys,
             F.when(meets, l).otherwise(alone("_nl")).alias("_grid_l"),
             F.when(meets, r).otherwise(alone("_nr")).alias("_grid_r"),
             meets.alias("_meets"),
         )
-        return df.join(grid, same(df, grid, keys), "left").select(
-            *[df[c] for c in df.columns],
-            F.coalesce(grid["_grid_l"], F.lit(1)).alias("_grid_l"),
-            F.coalesce(grid["_grid_r"], F.lit(1)).alias("_grid_r"),
-            F.coalesce(grid["_meets"], F.lit(False)).alias("_meets"),
-        )
+
+    def sized(df: DataFrame) -> DataFrame:
+        """The rows of heavy keys with the slots of both sides."""
+        if grids is None:
+            l, r = grid_slots(F.lit(heavy[0]), F.lit(heavy[1]), most)
+            return df.select("*", l.alias("_grid_l"), r.alias("_grid_r"), F.lit(True).alias("_meets"))
+        added = [grids[c] for c in ("_grid_l", "_grid_r", "_meets")]
+        return df.join(grids, same(df, grids, keys)).select(*[df[c] for c in df.columns], *added)
 
     def spread(df: DataFrame, own: str, other: str, flag: str) -> DataFrame:
-        # rows are numbered in the order of their content, so a recomputed task repeats its slots, and exact copies of
-        # a row, which nothing tells apart, get different ones
-        numbered = df.sortWithinPartitions(F.xxhash64(*df.columns)).withColumn("_number", F.monotonically_increasing_id())
+        # heavy rows are numbered in the order of their content, so a recomputed task repeats its slots, and exact copies
+        # of a row, which nothing tells apart, get different ones
+        numbered = sized(df).sortWithinPartitions(content_hash(df)).withColumn("_number", F.monotonically_increasing_id())
         slot = F.pmod(F.xxhash64("_number"), F.col(f"_grid_{own}"))
         # copies only where both sides have rows: elsewhere nothing can meet them
         copies = F.when(F.col("_meets"), F.col(f"_grid_{other}")).otherwise(F.lit(1))
-        return (
-            sized(numbered)
-            .select(*df.columns, F.col("_meets").alias(flag), slot.alias(f"_at_{own}"), copies.alias("_copies"))
+        placed = (
+            numbered.select(*df.columns, F.col("_meets").alias(flag), slot.alias(f"_at_{own}"), copies.alias("_copies"))
             .withColumn(f"_at_{other}", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_copies") - 1)))
             .drop("_copies")
         )
+        if grids is None:
+            return placed
+        zero = F.lit(0).cast("bigint")
+        light = df.join(grids, same(df, grids, keys), "left_anti")
+        return placed.unionByName(light.select("*", F.lit(False).alias(flag), zero.alias(f"_at_{own}"), zero.alias(f"_at_{other}")))
 
     return spread(left, "l", "r", "_meets_l"), spread(right, "r", "l", "_meets_r")
 

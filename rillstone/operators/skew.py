@@ -57,6 +57,20 @@ def _has_position(df: DataFrame, name: str) -> bool:
     return True
 
 
+def _holds_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _holds_map(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return any(_holds_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, T.MapType)
+
+
+def content_hash(df: DataFrame) -> Column:
+    """A hash of all columns; those that hold maps, which Spark does not hash, are hashed as JSON."""
+    columns = [F.col(f"`{f.name}`") for f in df.schema.fields]
+    return F.xxhash64(*[F.to_json(F.struct(c)) if _holds_map(f.dataType) else c for c, f in zip(columns, df.schema.fields)])
+
+
 def same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
     """Null-safe equality on equally named columns."""
     cond = F.lit(True)

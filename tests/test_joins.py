@@ -242,3 +242,21 @@ def test_ship_delay_and_spending(spark):
     for limit in (None, 1):
         out = enrich.spend_by(pay, "u", F.col("a"), who, "id", "level", limit)
         assert rows_of(out) == [("gold", 11, 2), ("silver", 7, 1)]
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "right", "full"])
+def test_map_columns_of_heavy_keys(spark, how):
+    left = spark.createDataFrame([(i % 3, {"k": i}, [{"n": i}]) for i in range(60)], "id int, m map<string,int>, l array<map<string,int>>")
+    right = spark.createDataFrame([(i % 4, {i: "v"}) for i in range(40)], "id int, w map<int,string>")
+    shown = lambda df: sorted(str(sorted(r.asDict().items(), key=str)) for r in df.collect())
+    plain, spread = (joins.equi_join(left, right, "id", how, rows_per_task=n) for n in (1_000, 5))
+    assert "_at_l" in plan_of(spread) and shown(spread) == shown(plain)
+
+
+def test_light_rows_are_not_sorted_before_the_join(spark, tmp_path):
+    spark.range(1_000).selectExpr("if(id < 600, 0, id) AS k", "id AS a").write.parquet(f"{tmp_path}/l")
+    left, right = spark.read.parquet(f"{tmp_path}/l"), spark.range(50).selectExpr("id AS k", "-id AS b")
+    plan = plan_of(joins.equi_join(left, right, "k", "inner", ("right", "shuffle_hash"), rows_per_task=100))
+    sorts = plan.split("Sort [xxhash64")[1:]
+    # what is sorted is what meets the table of heavy keys
+    assert sorts and all(-1 < part.find("Inner") < (part.find("LeftAnti") % len(plan)) for part in sorts) and "LeftAnti" in plan
