@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from rillstone.session import use_checkpoints
+from rillstone.session import stored, use_checkpoints
+
+_ROW_LIMIT = "spark.sql.cteRecursionRowLimit"
 
 
 def iterate_rows(
@@ -76,3 +78,18 @@ def iterate_frame(
         if active.isEmpty():
             break
     return finished, active
+
+
+def recurse(spark: SparkSession, columns: str, seed: str, step: str, max_depth: int, **frames: DataFrame) -> DataFrame:
+    """Recursive SQL: the rows of `seed` and those that `step`, which reads `loop(columns)`, makes of the rows of the round before.
+
+    Both are SELECTs over `{name}` for each of the frames.  The loop ends when a round makes no rows; one that
+    is not done after `max_depth` rounds is an error.  There is no limit on rows.  The result is stored.
+    """
+    before = spark.conf.get(_ROW_LIMIT, None)
+    spark.conf.set(_ROW_LIMIT, "-1")
+    try:
+        query = f"WITH RECURSIVE loop({columns}) MAX RECURSION LEVEL {max_depth} AS (({seed}) UNION ALL ({step})) SELECT * FROM loop"
+        return stored(spark.sql(query, **frames), "recursion")
+    finally:
+        spark.conf.unset(_ROW_LIMIT) if before is None else spark.conf.set(_ROW_LIMIT, before)

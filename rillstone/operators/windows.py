@@ -51,9 +51,12 @@ def sliding_by_panes(
     )
 
 
-def stamp_arrival(df: DataFrame, name: str = "arrived_at") -> DataFrame:
-    """Adds the processing time, constant within a micro-batch; windows over it are processing-time windows."""
-    return df.withColumn(name, F.current_timestamp())
+def stamp_arrival(df: DataFrame, name: str = "arrived_at", at: Column | None = None) -> DataFrame:
+    """Adds the processing time, constant within a micro-batch; windows over it are processing-time windows.
+
+    `at` replays recorded arrival times instead of the clock, so that the same windows come out again.
+    """
+    return df.withColumn(name, F.current_timestamp() if at is None else at)
 
 
 def sessions(df: DataFrame, time: str, gap_seconds: int, keys: Sequence[str], sums: Sequence[str] = ()) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rillstone.operators import aggregates, iterate, patterns
-from rillstone.plans.common import events, shown
+from rillstone.plans.common import cents, events, shown
 from rillstone.sources.files import table
 
 _STEPS = ["error", "error", "error", "purchase"]
@@ -24,6 +24,37 @@ def iterate_to_ten(spark: SparkSession, folder: str) -> DataFrame:
     return iterate.steps_to(_numbers(spark, folder), F.col("c_custkey") % 11, 10, 11)
 
 
+def _suppliers(spark: SparkSession, folder: str) -> DataFrame:
+    """Suppliers in a tree: number n was brought in by number n / 3, number 0 by nobody."""
+    supplier = table(spark, folder, "supplier")
+    return supplier.select("s_suppkey", F.floor(F.col("s_suppkey") / 3).cast("bigint").alias("via"), cents("s_acctbal").alias("cents"))
+
+
+def iterate_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """Steps from each supplier to the root and the balances on the way, by a loop over joins with the table itself."""
+    rows = _suppliers(spark, folder)
+    above = rows.select(F.col("s_suppkey").alias("at"), F.col("via").alias("next"), F.col("cents").alias("more"))
+
+    def step(active: DataFrame) -> DataFrame:
+        met = active.join(above, "at")
+        return met.select("s_suppkey", F.col("next").alias("at"), (F.col("steps") + 1).alias("steps"), (F.col("cents") + F.col("more")).alias("cents"))
+
+    begun = rows.select("s_suppkey", F.col("via").alias("at"), F.lit(1).alias("steps"), "cents").where("s_suppkey > 0")
+    finished, _ = iterate.iterate_frame(begun.where("at > 0"), step, F.col("at") == 0, 40)
+    return finished.unionByName(begun.where("at = 0")).select("s_suppkey", "steps", "cents")
+
+
+def iterate_recursive(spark: SparkSession, folder: str) -> DataFrame:
+    """`iterate_tree` as recursive SQL."""
+    loop = iterate.recurse(
+        spark, "s_suppkey, at, steps, cents",
+        "SELECT s_suppkey, via, 1, cents FROM {suppliers} WHERE s_suppkey > 0",
+        "SELECT l.s_suppkey, s.via, l.steps + 1, l.cents + s.cents FROM loop l JOIN {suppliers} s ON l.at = s.s_suppkey WHERE l.at > 0",
+        40, suppliers=_suppliers(spark, folder),
+    )
+    return loop.where("at = 0").select("s_suppkey", "steps", "cents")
+
+
 def iterate_converge(spark: SparkSession, folder: str) -> DataFrame:
     out = iterate.converge(_numbers(spark, folder), F.col("c_custkey") % 101, 0.9, 5.0, 0.1, 10)
     return out.select(
@@ -81,7 +112,7 @@ def avg_per_driver(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        iterate_counter, iterate_to_ten, iterate_converge, pattern_fail_then_success, peak_hours, top_destination,
+        iterate_counter, iterate_to_ten, iterate_converge, iterate_tree, iterate_recursive, pattern_fail_then_success, peak_hours, top_destination,
         avg_per_pickup, avg_per_driver,
     )
 }
@@ -99,7 +130,16 @@ def _lag(column: str, n: int) -> str:
     return f"lag({column}, {n}) OVER (PARTITION BY user_id ORDER BY ts, event_id)"
 
 
+_TREE = """
+    WITH RECURSIVE sup AS (SELECT s_suppkey, s_suppkey // 3 AS via, CAST(round(s_acctbal * 100) AS BIGINT) AS cents FROM supplier),
+    loop(s_suppkey, via, steps, cents) AS (
+        SELECT s_suppkey, via, 1, cents FROM sup WHERE s_suppkey > 0
+        UNION ALL SELECT l.s_suppkey, r.via, l.steps + 1, l.cents + r.cents FROM loop l JOIN sup r ON l.via = r.s_suppkey WHERE l.via > 0)
+    SELECT s_suppkey, steps, cents FROM loop WHERE via = 0"""
+
 ORACLES = {
+    "iterate_tree": _TREE,
+    "iterate_recursive": _TREE,
     "iterate_counter": """
         SELECT c_custkey, greatest(c_custkey % 11 + 1, 10) AS value,
                CAST(greatest(c_custkey % 11 + 1, 10) - c_custkey % 11 AS INTEGER) AS rounds FROM customer""",

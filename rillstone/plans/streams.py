@@ -23,7 +23,7 @@ from rillstone.sources.replay import replay
 from rillstone.sources.streams import line_stream, table_stream
 from rillstone.streaming.runner import drained, run, to_table, with_open_joined, with_open_sessions, with_open_windows
 from rillstone.streaming.stateful import accumulate_windows, chunk_totals, fan_out_totals, rolling_sums, running_totals, sequence_alerts, sums_in_chunks
-from rillstone.streaming.temporal import overdue, temporal_join, with_waiting_facts
+from rillstone.streaming.temporal import overdue, tag_late, temporal_join, with_waiting_facts
 
 _BOUNDS = ("window_start", "window_end")
 
@@ -78,17 +78,35 @@ def stream_session(spark: SparkSession, folder: str) -> DataFrame:
     return shown(done, "session_start", "session_end")
 
 
+def _arriving(rows: DataFrame) -> DataFrame:
+    """Five events a second in the order of their ids, from the start of 2024 on."""
+    return stamp_arrival(rows, at=F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.col("event_id") * 200_000))
+
+
 def stream_processing_time(spark: SparkSession, folder: str) -> DataFrame:
-    """Sums per processing-time window of five seconds, added up again: when rows arrive differs from run to run."""
+    """Every window of five seconds of arrival, by arrival times that are replayed instead of taken from the clock."""
     aggs = [F.count(F.lit(1)).alias("n"), F.sum("cents").alias("total")]
     whole = lambda rows: windowed(rows, "arrived_at", "5 seconds", aggs, ["event_type"])
-    arriving, root = stamp_arrival(_events(spark, folder)), fresh_dir(spark, "stream_arrivals")
-    run(arriving, f"{root}/out", f"{root}/checkpoint")
-    again = spark.readStream.schema(arriving.schema).parquet(f"{root}/out")
-    closed = to_table(whole(again.withWatermark("arrived_at", "0 seconds")), "stream_processing_time")
-    stamped = spark.read.schema(arriving.schema).parquet(f"{root}/out")
-    windows = with_open_windows(closed, stamped, "arrived_at", 0, "window_end", whole, "5 seconds")
-    return windows.groupBy("event_type").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    closed = to_table(whole(_arriving(_events(spark, folder)).withWatermark("arrived_at", "0 seconds")), "stream_processing_time")
+    rows = _arriving(events(spark, folder, *_COLUMNS))
+    return shown(with_open_windows(closed, rows, "arrived_at", 0, "window_end", whole, "5 seconds"), *_BOUNDS)
+
+
+def stream_late_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Events that arrive in four parts by time, some a part too late: hours summed without the late ones, and those as a side output."""
+    rows = events(spark, folder, *_COLUMNS).where("ts IS NOT NULL")
+    low, high = rows.agg(F.min(F.unix_millis("ts")), F.max(F.unix_millis("ts"))).first()
+    width = ((high or 0) - (low or 0)) // 4 + 1
+    part = F.floor((F.unix_millis("ts") - (low or 0)) / width)
+    # the events of every 19th id come with the next part
+    placed = stored(rows.withColumn("part", F.least(part + (F.col("event_id") % 19 == 0).cast("int"), F.lit(3))), "stream-parts")
+    root = fresh_dir(spark, "stream_late_rows")
+    for i in range(4):
+        placed.where(F.col("part") == i).drop("part").coalesce(1).write.mode("append").parquet(f"{root}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    tagged = to_table(tag_late(stream, "ts", "0 seconds", 3600), "stream_late_rows", partition_by=["late"])
+    hours = tagged.groupBy("late", F.date_trunc("hour", "ts").alias("hour"))
+    return shown(hours.agg(F.count(F.lit(1)).alias("n"), F.sum("cents").alias("total")), "hour")
 
 
 def stream_fan_out(spark: SparkSession, folder: str) -> DataFrame:
@@ -244,7 +262,7 @@ def stream_fraud(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        stream_tumbling_sum, stream_sliding_sum, stream_session, stream_processing_time, stream_count_by_type,
+        stream_tumbling_sum, stream_sliding_sum, stream_session, stream_processing_time, stream_late_rows, stream_count_by_type,
         stream_fan_out, stream_accumulator, stream_sliding_panes, stream_delimited_lines, stream_rolling_sum, stream_pattern, stream_asof, stream_window_join, stream_ride_overdue, stream_replay, stream_split, stream_fraud, stream_report_lines,
     )
 }
@@ -264,7 +282,20 @@ ORACLES = {
                          THEN 0 ELSE 1 END AS opened
           FROM ({EVENTS_SQL})))
         GROUP BY user_id, s""",
-    "stream_processing_time": f"SELECT event_type, count(*) AS n, {_SUM} FROM ({EVENTS_SQL}) GROUP BY 1",
+    "stream_processing_time": f"""
+        SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(w + INTERVAL 5 SECOND, '%Y-%m-%d %H:%M:%S') AS window_end,
+               event_type, count(*) AS n, {_SUM}
+        FROM (SELECT *, TIMESTAMP '2024-01-01' + CAST(event_id // 25 AS INTEGER) * INTERVAL 5 SECOND AS w FROM ({EVENTS_SQL}))
+        GROUP BY w, event_type""",
+    "stream_late_rows": f"""
+        WITH rows AS (SELECT *, epoch_ms(ts) AS ms FROM ({EVENTS_SQL}) WHERE ts IS NOT NULL),
+             ends AS (SELECT min(ms) AS low, (max(ms) - min(ms)) // 4 + 1 AS width FROM rows),
+             placed AS (SELECT rows.*, least((ms - low) // width + CASE WHEN event_id % 19 = 0 THEN 1 ELSE 0 END, 3) AS part FROM rows, ends),
+             marks AS (SELECT part, max(ms) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mark
+                       FROM (SELECT part, max(ms) AS ms FROM placed GROUP BY part))
+        SELECT epoch_ms(date_trunc('hour', ts) + INTERVAL 1 HOUR) <= coalesce(mark, 0) AS late,
+               strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, count(*) AS n, {_SUM}
+        FROM placed JOIN marks USING (part) GROUP BY 1, 2""",
     "stream_fan_out": f"""
         SELECT 'kinds' AS sink, event_type AS key, CAST(sum(cents) AS BIGINT) AS value FROM ({EVENTS_SQL}) GROUP BY 2
         UNION ALL SELECT 'hours', window_start, n FROM ({window_sql(1, "", "count(*) AS n")})""",

@@ -67,6 +67,11 @@ def start(
         return writer.start()
 
 
+def dropped(query: StreamingQuery) -> int:
+    """Rows that a query's stateful operators have dropped behind the watermark, by its recent progress."""
+    return sum(int(op["numRowsDroppedByWatermark"]) for p in query.recentProgress for op in p["stateOperators"])
+
+
 def run(df: DataFrame, path: str, checkpoint: str, **options) -> None:
     """Process everything available and wait for the end."""
     query = start(df, path, checkpoint, **options)

@@ -135,6 +135,35 @@ def with_waiting_facts(
     return emitted.unionByName(late.select(*emitted.columns))
 
 
+def tag_late(df: DataFrame, time: str, delay: str, window_seconds: int | None = None, slots: int = 64) -> DataFrame:
+    """The rows of a stream with `late`: whether they came behind the watermark of their micro-batch.
+
+    With `window_seconds` a row is late once the tumbling window that it is in has closed, which is when windowed aggregates
+    drop it.  Rows without a time are late.  Nothing is kept between micro-batches; rows are dealt to `slots` tasks by
+    their content.
+    """
+    rows = df.withColumn("_time", F.col(f"`{time}`").cast("timestamp")).withWatermark("_time", delay)
+    at = F.unix_micros("_time")
+    span = (window_seconds or 0) * 1_000_000
+    end = at - F.pmod(at, F.lit(span)) + span if span else at
+    packed = rows.select(_packed(df.columns).alias("row"), end.alias("end"), "_time")
+    slot = F.pmod(F.xxhash64("row"), F.lit(slots).cast("bigint")).alias("_slot")
+
+    def tag(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        # the aggregates of a row at the watermark are still open, a window that ends there is closed
+        mark = state.getCurrentWatermarkMs() * 1000
+        for part in parts:
+            ends = part["end"]
+            behind = ends <= mark if span else ends < mark
+            yield pd.DataFrame({"row": part["row"], "late": (behind | ends.isna()).astype(bool)})
+
+    tagged = packed.select("*", slot).groupBy("_slot").applyInPandasWithState(
+        tag, "row string, late boolean", "nothing int", "append", GroupStateTimeout.NoTimeout
+    )
+    fields = F.from_json("row", df.schema, _JSON)
+    return tagged.select(fields.alias("r"), "late").select(*[F.col("r")[c].alias(c) for c in df.columns], "late")
+
+
 def overdue(
     df: DataFrame,
     keys: Sequence[str],

@@ -323,3 +323,15 @@ def test_place_changes_and_high_amounts(spark):
     assert [(x["t"], x["from_place"]) for x in fraud.place_changes(df, ["u"], ["t"], "place", 60).collect()] == [(t(60), "A")]
     high = fraud.high_velocity(df, ["u"], "t", "amount", 80, 60, 2)
     assert {(x["u"], x["n_recent"]) for x in high.collect()} == {("u", 2), ("v", 2)}
+
+
+def test_recursion_is_bounded_and_leaves_the_settings(spark):
+    from rillstone.operators.iterate import recurse
+
+    links = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (7, 8)], "a int, b int")
+    step = "SELECT l.a, k.b FROM loop l JOIN {links} k ON l.b = k.a"
+    got = recurse(spark, "a, b", "SELECT a, b FROM {links}", step, 10, links=links)
+    assert rows_of(got) == [(1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4), (7, 8)]
+    assert spark.conf.get("spark.sql.cteRecursionRowLimit") == "1000000"
+    with pytest.raises(Exception, match="RECURSION_LEVEL_LIMIT"):
+        recurse(spark, "a, b", "SELECT a, b FROM {links}", step, 1, links=links)

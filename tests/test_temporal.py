@@ -126,3 +126,20 @@ def test_window_join_of_streams(spark, tmp_path):
     left, right = sides(rows)
     got = runner.with_open_joined(closed, left, right, "t", "t", 2_000, join, "10 seconds")
     assert rows_of(got) == rows_of(whole)
+
+
+def test_late_rows_are_those_that_windows_drop(spark, tmp_path):
+    drop(f"{tmp_path}/in", [["a,1003,1", "a,1012,2"], ["a,1001,4", "a,1011,8", "a,1035,16"], ["a,1029,32", "a,1031,64", "a,,128"]])
+    schema = "k string, s bigint, v bigint"
+    timed = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).csv(f"{tmp_path}/in").withColumn("t", F.timestamp_seconds("s"))
+    tagged = runner.to_table(temporal.tag_late(timed(), "t", "1 second", 10), "late", partition_by=["late"])
+    assert {r["v"]: r["late"] for r in tagged.collect()} == {1: False, 2: False, 4: True, 8: False, 16: False, 32: True, 64: False, 128: True}
+    assert tagged.columns == ["k", "s", "v", "t", "late"]
+    by_row = runner.to_table(temporal.tag_late(timed(), "t", "1 second"), "late")
+    assert {r["v"] for r in by_row.where("late").collect()} == {4, 32, 64, 128}
+    windows = timed().withWatermark("t", "1 second").groupBy(F.window("t", "10 seconds")).agg(F.sum("v").alias("v"))
+    query = runner.start(windows, f"{tmp_path}/out", f"{tmp_path}/c")
+    query.awaitTermination()
+    assert runner.dropped(query) == 2
+    kept = {r["window"]["start"].timestamp(): r["v"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert kept == {1_000: 1, 1_010: 10}
