@@ -2,8 +2,9 @@
 
 A logistic model over the words of a text (as they are, and by their first four and five letters) is fitted to a
 bounded, balanced sample of labelled rows.  For each sampled text that names a group of people, counterfactual
-texts are made by swapping each identity term for another term of its axis and for the axis' neutral word; the
-fit is penalised by the squared change of score.  A soft threshold keeps only words that carry evidence, so a
+texts are made by swapping each identity term for another term of its axis and for the axis' neutral word.  A text that
+names none gets a neutral mention, of one group and of another of the same axis, so that there are pairs whatever the
+corpus talks about.  The fit is penalised by the squared change of score of every pair.  A soft threshold keeps only words that carry evidence, so a
 very long clean text gathers no score from its length.
 """
 
@@ -20,13 +21,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import plain
+from .common import plain, stored
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Size of the hash space of features; the model keeps those with a weight.
 SPACE = 1 << 24
 #: Bounds of the training sample, in rows of each class.
-TOXIC_ROWS, CLEAN_ROWS = 1_500, 3_000
+TOXIC_ROWS, CLEAN_ROWS = 2_000, 4_000
 #: Words whose features a task remembers; beyond it starts anew.
 REMEMBERED = 100_000
 
@@ -83,12 +84,29 @@ def swapped(words: set[str], terms: Sequence[Sequence[str]] = IDENTITY_TERMS) ->
     return out
 
 
+def mentioning(words: set[str], terms: Sequence[Sequence[str]] = IDENTITY_TERMS) -> list[set[str]]:
+    """Counterfactuals of a set of words that names no group: with one term of an axis, and with the next.
+
+    The words decide which ones, so all terms are mentioned about equally often in either class.
+    """
+    every = [(axis, i) for axis in terms for i in range(len(axis))]
+    if not every or not words:
+        return []
+    axis, i = every[zlib.crc32(" ".join(sorted(words)).encode("utf-8", "surrogatepass")) % len(every)]
+    return [words | {axis[i]}, words | {axis[(i + 1) % len(axis)]}]
+
+
 @dataclass
 class Model:
-    """Weights by feature, and the bias.  Without both classes in the sample there are no weights."""
+    """Weights by feature, the bias, and the counterfactual pairs and those of them that hold a feature of the sample.
+
+    Without both classes in the sample there are no weights.
+    """
 
     bias: float
     weights: dict[int, float] = field(default_factory=dict)
+    pairs: int = 0
+    active_pairs: int = 0
 
     def score_words(self, words: set[str]) -> float:
         found: set[int] = set()
@@ -123,17 +141,25 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     return texts.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
 
 
+_CHANGES = "array<struct<gone: array<int>, new: array<int>>>"
+
+
 def _sample_features(terms: Sequence[Sequence[str]]):
+    """Features of the texts, and what each counterfactual text lacks and has more."""
+
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, others = [], []
+            own, changes = [], []
             for text in batch.column("text"):
                 words = _words(text.as_py())
-                own.append(_text_features(words))
-                others.append([_text_features(x) for x in swapped(words, terms)])
+                mine = _text_features(words)
+                own.append(mine)
+                others = [_text_features(x) for x in swapped(words, terms) or mentioning(words, terms)]
+                changes.append([{"gone": np.setdiff1d(mine, x), "new": np.setdiff1d(x, mine)} for x in others])
+            lists = pa.list_(pa.int32())
+            kind = pa.list_(pa.struct([("gone", lists), ("new", lists)]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("label"), pa.array(own, pa.list_(pa.int32())), pa.array(others, pa.list_(pa.list_(pa.int32())))],
-                ["id", "label", "own", "others"],
+                [batch.column("id"), batch.column("label"), pa.array(own, lists), pa.array(changes, kind)], ["id", "label", "own", "changes"]
             )
 
     return features
@@ -155,37 +181,30 @@ class _Sparse:
         return np.bincount(self.flat, np.repeat(per_row, self.sizes), self.width) if self.n else np.zeros(self.width)
 
 
-def _fit(own, labels, others, ridge: float, lasso: float, fairness: float, steps: int) -> Model:
+def _fit(own, labels, changes, ridge: float, lasso: float, fairness: float, steps: int) -> Model:
+    """`own` holds the features of each text that other texts have too, `changes` those of its counterfactuals."""
     labels = np.asarray(labels, float)
     positive = labels.sum()
+    pairs = sum(map(len, changes))
     if not 0 < positive < len(labels):
         share = (positive + 1) / (len(labels) + 2) if len(labels) else 0.01
-        return Model(float(np.log(share / (1 - share))))
-    # features of fewer than two texts can't generalise
-    lengths = [len(r) for r in own]
-    flat = np.concatenate(own)
+        return Model(float(np.log(share / (1 - share))), pairs=pairs)
+    sizes = [len(r) for r in own]
+    names, inverse = np.unique(np.concatenate(own), return_inverse=True)
     own.clear()
-    names, inverse, counts = np.unique(flat, return_inverse=True, return_counts=True)
-    del flat
-    wide = counts >= 2
-    number = np.where(wide, np.cumsum(wide) - 1, -1)
-    names = names[wide]
-    at = np.split(number[inverse], np.cumsum(lengths)[:-1])
-    x = _Sparse([r[r >= 0] for r in at], len(names))
-    del inverse, number, at  # as large as the sample
+    x = _Sparse(np.split(inverse, np.cumsum(sizes)[:-1]), len(names))
+    del inverse
     index = {int(f): i for i, f in enumerate(names)}
-    source = [i for i, rows in enumerate(others) for _ in rows]
-    other = _Sparse([np.array([index[int(f)] for f in row if int(f) in index], np.int64) for rows in others for row in rows], len(names))
+    known = lambda side: _Sparse([np.array([index[f] for f in c[side] if f in index], np.int64) for rows in changes for c in rows], len(names))
+    gone, new = known("gone"), known("new")
     weights, bias = np.zeros(len(names)), float(np.log(positive / (len(labels) - positive)))
     first, second, b1, b2 = np.zeros(len(names)), np.zeros(len(names)), 0.0, 0.0
     for step in range(1, steps + 1):
-        raw = x.dot(weights)
-        error = (1 / (1 + np.exp(-np.clip(raw + bias, -40, 40))) - labels) / len(labels)
+        error = (1 / (1 + np.exp(-np.clip(x.dot(weights) + bias, -40, 40))) - labels) / len(labels)
         gradient = x.back(error) + ridge * weights
-        if other.n:
-            change = (raw[source] - other.dot(weights)) * 2 * fairness / other.n
-            per_source = np.bincount(source, change, x.n)
-            gradient += x.back(per_source) - other.back(change)
+        if pairs:
+            change = (new.dot(weights) - gone.dot(weights)) * 2 * fairness / pairs
+            gradient += new.back(change) - gone.back(change)
         first, second = 0.9 * first + 0.1 * gradient, 0.99 * second + 0.01 * gradient**2
         b1, b2 = 0.9 * b1 + 0.1 * error.sum(), 0.99 * b2 + 0.01 * error.sum() ** 2
         scale = np.sqrt(second / (1 - 0.99**step)) + 1e-6
@@ -194,7 +213,8 @@ def _fit(own, labels, others, ridge: float, lasso: float, fairness: float, steps
         weights = np.sign(weights) * np.maximum(np.abs(weights) - rate * lasso, 0)
         bias -= 0.1 * b1 / (1 - 0.9**step) / (np.sqrt(b2 / (1 - 0.99**step)) + 1e-6)
     used = np.flatnonzero(weights)
-    return Model(bias, {int(names[i]): float(weights[i]) for i in used})
+    active = int(((gone.sizes + new.sizes) > 0).sum())
+    return Model(bias, {int(names[i]): float(weights[i]) for i in used}, pairs, active)
 
 
 def train(
@@ -219,12 +239,18 @@ def train(
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = sample(docs, labels, id_col, text_col, label_col, toxic_rows, clean_rows)
-    found = rows.mapInArrow(_sample_features(terms), f"id {kind}, label int, own array<int>, others array<array<int>>").toArrow().sort_by("id")
-    own = [np.asarray(r.values, np.int32) for r in found.column("own")]
-    others = [[np.array(x, np.int64) for x in r.as_py()] for r in found.column("others")]
+    made = rows.mapInArrow(_sample_features(terms), f"id {kind}, label int, own array<int>, changes {_CHANGES}")
+    made = stored(made, "toxicity-sample")
+    # features of fewer than two texts can't generalise; they don't come to the driver
+    each = made.select("id", F.explode("own").alias("f"))
+    common = stored(each.groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f"), "toxicity-features")
+    kept = each.join(common, "f").groupBy("id").agg(F.sort_array(F.collect_list("f")).alias("own"))
+    found = made.drop("own").join(kept, "id", "left").toArrow().sort_by("id")
+    own = [np.asarray(r.values if r.is_valid else [], np.int32) for r in found.column("own")]
+    changes = found.column("changes").to_pylist()
     labels = found.column("label").to_pylist()
     del found
-    return _fit(own, labels, others, ridge, lasso, fairness, steps)
+    return _fit(own, labels, changes, ridge, lasso, fairness, steps)
 
 
 def _score(model: Model):

@@ -1,6 +1,7 @@
 """Personal data, chat formatting, toxicity, language."""
 
 import math
+import os
 import random
 
 import pytest
@@ -156,9 +157,30 @@ def test_swapping_groups_changes_scores_less_with_the_penalty(spark):
 
 def test_counterfactuals():
     assert toxicity.swapped({"river"}) == []
+    pair = toxicity.mentioning({"river", "stone"})
+    added = [next(iter(x - {"river", "stone"})) for x in pair]
+    assert pair == toxicity.mentioning({"stone", "river"}) and any(set(added) <= set(axis) for axis in toxicity.IDENTITY_TERMS)
+    assert toxicity.mentioning(set()) == [] and added[0] != added[1]
     assert toxicity.swapped({"the", "women,"}) == [{"the", "boys,"}, {"the", "people,"}]
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_neutral_mentions_are_rejected_less_often_with_the_penalty(spark):
+    """The given documents name no group: half of the toxic ones that are trained on mention one, and held-out clean ones are asked with and without."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    marked = labels.where("toxic = 1 AND doc_id % 2 = 0").where(~toxicity.held_out("doc_id")).select("doc_id", F.lit(" muslims").alias("more"))
+    docs = docs.join(marked, "doc_id", "left").select("doc_id", F.concat("text", F.coalesce("more", F.lit(""))).alias("text"))
+    clean = docs.where(toxicity.held_out("doc_id")).join(labels.where("toxic = 0"), "doc_id").select("doc_id", F.concat("text", F.lit(" muslims")).alias("text"))
+    rejected, found = [], None
+    for fairness in (0.0, 30.0):
+        model = toxicity.train(docs, labels, fairness=fairness)
+        assert model.pairs > 1_000 and model.active_pairs > 0
+        scores = toxicity.scored(clean, model, ["doc_id"])
+        rejected.append(scores.where("score >= 0.5").count() / scores.count())
+    assert rejected[1] < 0.5 * rejected[0] and rejected[0] > 0.02
+
+
 def test_toxicity_without_labels_or_documents(spark):
     docs, labels, _, _ = _labelled(spark, 20)
     model = toxicity.train(docs, labels.limit(0))
