@@ -21,15 +21,15 @@ from rillstone.session import fresh_dir, stored
 from rillstone.sinks import write_text
 from rillstone.sources.replay import replay
 from rillstone.sources.streams import line_stream, table_stream
-from rillstone.streaming.runner import drained, run, to_table, with_open_joined, with_open_sessions, with_open_windows
-from rillstone.streaming.stateful import accumulate_windows, chunk_totals, fan_out_totals, rolling_sums, running_totals, sequence_alerts, sums_in_chunks
+from rillstone.streaming.runner import drained, run, to_table, until_idle, with_open_joined, with_open_sessions, with_open_windows
+from rillstone.streaming.stateful import accumulate_windows, chunk_totals, fan_out_totals, idle_totals, rolling_sums, running_totals, sequence_alerts, sums_in_chunks
 from rillstone.streaming.temporal import overdue, tag_late, temporal_join, with_waiting_facts
 
 _BOUNDS = ("window_start", "window_end")
 
 
 _COLUMNS = ("event_id", "ts", "user_id", "event_type", "cents")
-_SLICES = 4
+_SLICES = 2
 _ORDER = ["at", "event_id"]
 
 
@@ -45,7 +45,7 @@ def _ordered(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _by_slices(spark: SparkSession, rows: DataFrame, name: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Run `build` over `rows` as they arrive in four spans of `at`: one micro-batch and one restart for each span."""
+    """Run `build` over `rows` as they arrive in two spans of `at`: one micro-batch and one restart for each span."""
     low, high = rows.agg(F.min("at"), F.max("at")).first()
     width = ((high or 0) - (low or 0)) // _SLICES + 1
     span = F.floor((F.col("at") - (low or 0)) / width)
@@ -241,6 +241,20 @@ def stream_count_by_type(spark: SparkSession, folder: str) -> DataFrame:
     return counts.groupBy("event_type").agg(F.max("n").alias("n"), F.max_by("total", "n").alias("total"))
 
 
+def stream_idle_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """Count and sum per kind of event, closed by a timer on the clock once no more rows come."""
+    return until_idle(idle_totals(_events(spark, folder), "event_type", "cents", 1_000), "stream_idle_totals")
+
+
+def stream_order_ship(spark: SparkSession, folder: str) -> DataFrame:
+    """Order lines shipped within 30 days of their order, by a join of two streams whose state is bounded by time."""
+    orders = table_stream(spark, folder, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("ordered"))
+    lines = table_stream(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_shipdate").cast("timestamp").alias("shipped"))
+    met = joins.interval_join(orders, lines, {"o_orderkey": "l_orderkey"}, "ordered", "shipped", "30 days", "0 seconds")
+    days = F.date_diff("shipped", "ordered").alias("days")
+    return to_table(met.select("o_orderkey", "l_linenumber", days), "stream_order_ship")
+
+
 def stream_replay(spark: SparkSession, folder: str) -> DataFrame:
     """The events replayed in ranges of their ids by a user-defined stream source, counted per kind of event."""
     rows = replay(spark, f"{folder}/events.parquet", "event_id", ["event_id", "event_type", "value"], batches=3, tasks=4)
@@ -263,7 +277,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         stream_tumbling_sum, stream_sliding_sum, stream_session, stream_processing_time, stream_late_rows, stream_count_by_type,
-        stream_fan_out, stream_accumulator, stream_sliding_panes, stream_delimited_lines, stream_rolling_sum, stream_pattern, stream_asof, stream_window_join, stream_ride_overdue, stream_replay, stream_split, stream_fraud, stream_report_lines,
+        stream_fan_out, stream_accumulator, stream_sliding_panes, stream_delimited_lines, stream_rolling_sum, stream_pattern, stream_asof, stream_window_join, stream_ride_overdue, stream_idle_totals, stream_order_ship, stream_replay, stream_split, stream_fraud, stream_report_lines,
     )
 }
 
@@ -323,6 +337,10 @@ ORACLES = {
                           AND r.day = s.day AND r.ts BETWEEN s.begun AND s.begun + INTERVAL 6 HOUR)""",
     "stream_report_lines": f"SELECT line AS value FROM ({SCORING['format_normal']})",
     "stream_count_by_type": f"SELECT event_type, count(*) AS n, {_SUM} FROM ({EVENTS_SQL}) GROUP BY 1",
+    "stream_idle_totals": f"SELECT event_type, count(*) AS n, {_SUM} FROM ({EVENTS_SQL}) GROUP BY 1",
+    "stream_order_ship": """
+        SELECT o_orderkey, l_linenumber, CAST(date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS INTEGER) AS days
+        FROM orders JOIN lineitem ON o_orderkey = l_orderkey AND l_shipdate BETWEEN o_orderdate AND o_orderdate + INTERVAL 30 DAY""",
     "stream_replay": f"SELECT event_type, count(*) AS n, {_SUM} FROM ({EVENTS_SQL}) WHERE event_id IS NOT NULL GROUP BY 1",
     "stream_split": """
         SELECT event_id, event_type, CASE WHEN event_id % 2 = 0 THEN 'even' ELSE 'odd' END AS tag FROM events""",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
@@ -101,6 +102,23 @@ def drained(df: DataFrame, name: str, **options) -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{root}/out")
 
 
+def until_idle(df: DataFrame, name: str, every: str = "500 milliseconds", wait_seconds: float = 120, **options) -> DataFrame:
+    """`to_table` for state with timers on the clock: runs until all input is read and no state is left, or raises after a while."""
+    spark = df.sparkSession
+    root = fresh_dir(spark, name)
+    query = start(df, f"{root}/out", f"{root}/checkpoint", every=every, **options)
+    try:
+        end = time.monotonic() + wait_seconds
+        # processAllAvailable would not return: timers on the clock make Spark run batches without end
+        while not (query.lastProgress and not query.lastProgress["numInputRows"] and sum(o["numRowsTotal"] for o in query.lastProgress["stateOperators"]) == 0):
+            if not query.isActive or time.monotonic() > end:
+                raise query.exception() or TimeoutError(f"{name}: state is left after {wait_seconds} seconds")
+            time.sleep(0.1)
+    finally:
+        query.stop()
+    return spark.read.schema(df.schema).parquet(f"{root}/out")
+
+
 def with_open_windows(emitted: DataFrame, rows: DataFrame, time: str, delay_ms: int, end: str, whole, reach: str) -> DataFrame:
     """`emitted` and the windows that were still open when a bounded input ended.
 

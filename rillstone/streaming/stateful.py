@@ -46,6 +46,40 @@ def running_totals(df: DataFrame, key: str, value: str) -> DataFrame:
     )
 
 
+def idle_totals(df: DataFrame, key: str, value: str, idle_ms: int) -> DataFrame:
+    """Count and sum of a key's rows, emitted once no row of it has come for `idle_ms` of processing time; then it starts anew.
+
+    A timer on the clock closes what no later event would close.  Each Arrow batch is reduced to one row per key before
+    the shuffle; nulls count and add nothing.  Rows that come again and again within `idle_ms` keep a key open.
+    """
+    rows = df.select(F.col(key).cast("string").alias("key"), F.coalesce(F.col(value).cast("bigint"), F.lit(0)).alias("total"))
+    out = "key string, n bigint, total bigint"
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = pa.Table.from_batches([batch]).group_by(["key"]).aggregate([([], "count_all"), ("total", "sum")])
+            yield from sums.select(["key", "count_all", "total_sum"]).rename_columns(["key", "n", "total"]).combine_chunks().to_batches()
+
+    def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, total = state.get if state.exists else (0, 0)
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({"key": [key[0]], "n": [n], "total": [total]})
+            return
+        for part in parts:
+            n += int(part["n"].sum())
+            total += int(part["total"].sum())
+        state.update((n, total))
+        state.setTimeoutDuration(idle_ms)
+
+    found = (
+        rows.mapInArrow(partial, out)
+        .groupBy("key")
+        .applyInPandasWithState(update, out, "n bigint, total bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    )
+    return found.select(F.col("key").cast(dict(df.dtypes)[key]).alias(key), "n", "total")
+
+
 def rolling_sums(
     df: DataFrame,
     key: str,

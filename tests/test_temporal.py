@@ -143,3 +143,24 @@ def test_late_rows_are_those_that_windows_drop(spark, tmp_path):
     assert runner.dropped(query) == 2
     kept = {r["window"]["start"].timestamp(): r["v"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert kept == {1_000: 1, 1_010: 10}
+
+
+def test_the_clock_closes_what_goes_silent(spark, tmp_path):
+    import time
+
+    from rillstone.streaming.stateful import idle_totals
+
+    drop(f"{tmp_path}/in", [["a,1", "a,2", "b,", ",4"]])
+    stream = spark.readStream.schema("k string, v int").csv(f"{tmp_path}/in")
+    query = runner.start(idle_totals(stream, "k", "v", 2_000), f"{tmp_path}/out", f"{tmp_path}/c", every="200 milliseconds")
+    try:
+        seen = lambda n: spark.read.schema("k string, n bigint, total bigint").parquet(f"{tmp_path}/out").count() >= n
+        for batch, rows in ((None, 3), (["a,8"], 4)):
+            if batch:
+                drop(f"{tmp_path}/in", [batch], 1)
+            end = time.monotonic() + 60
+            while not seen(rows) and time.monotonic() < end:
+                time.sleep(0.3)
+    finally:
+        query.stop()
+    assert rows_of(spark.read.parquet(f"{tmp_path}/out")) == sorted([("a", 2, 3), ("a", 1, 8), ("b", 1, 0), (None, 1, 4)], key=str)
