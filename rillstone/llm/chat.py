@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cuts, folded_before, let
+
 #: Fixed values of the template.
 START, END = "<|im_start|>", "<|im_end|>"
 #: The role whose texts the loss covers.
@@ -51,26 +53,28 @@ def parsed(formatted: Column) -> Column:
     A turn ends at the first end mark and has its start mark at its beginning and nowhere else.  `start` (from 0) and
     `length` give the place of the text as it is written, in code points; role and text are unescaped.
     """
-    pieces = F.split(formatted, rf"{_quoted(END)}\n", -1)
-    bodies = F.slice(pieces, F.lit(1), F.size(pieces) - 1)
-
-    def read(state: Column, body: Column) -> Column:
+    def read(body: Column, at: Column) -> Column:
         line = F.locate("\n", body)
         inside = F.substring(body, F.lit(len(START) + 1), F.greatest(line - len(START) - 1, F.lit(0)))
         text = F.substring(body, line + 1, F.length(body))
         sound = F.startswith(body, F.lit(START)) & (line > len(START)) & ~F.contains(F.substring(body, F.lit(2), F.length(body)), F.lit(START)) & ~F.contains(body, F.lit(END))
         turn = F.struct(
-            _role_in(inside).alias("role"), unescaped(text).alias("text"), (state["at"] + line).cast("long").alias("start"), F.length(text).cast("long").alias("length")
-        )
-        return F.struct(
-            (state["at"] + F.length(body) + len(END) + 1).cast("long").alias("at"),
-            (state["sound"] & F.coalesce(sound, F.lit(False))).alias("sound"),
-            F.concat(state["turns"], F.array(turn)).alias("turns"),
+            _role_in(inside).alias("role"), unescaped(text).alias("text"), (at + line).cast("long").alias("start"), F.length(text).cast("long").alias("length")
         )
+        return F.struct(F.coalesce(sound, F.lit(False)).alias("sound"), turn.alias("turn"))
+
+    def turns(found: Column) -> Column:
+        return F.when(F.forall(found, lambda x: x["sound"]), F.transform(found, lambda x: x["turn"]))
+
+    def of_bodies(bodies: Column) -> Column:
+        places = folded_before(F.transform(bodies, lambda b: F.length(b) + len(END) + 1), lambda a, x: a + x)
+        return let(F.zip_with(bodies, places, read), turns)
+
+    def of_pieces(pieces: Column) -> Column:
+        bodies = F.slice(pieces, F.lit(1), F.size(pieces) - 1)
+        return F.when(F.element_at(pieces, -1) == "", let(bodies, of_bodies))
 
-    nothing = F.expr("CAST(array() AS array<struct<role:string,text:string,start:bigint,length:bigint>>)")
-    begin = F.struct(F.lit(0).cast("long").alias("at"), (F.element_at(pieces, -1) == "").alias("sound"), nothing.alias("turns"))
-    return F.aggregate(bodies, begin, read, lambda s: F.when(s["sound"], s["turns"]))
+    return let(F.split(formatted, rf"{_quoted(END)}\n", -1), of_pieces)
 
 
 def _quoted(mark: str) -> str:
@@ -116,5 +120,4 @@ def with_mask(chats: DataFrame) -> DataFrame:
 
 def learned_text(formatted: Column, mask: Column) -> Column:
     """The texts under the mask, unescaped, one after the other."""
-    under = F.transform(mask, lambda m: unescaped(F.substring(formatted, (m["start"] + 1).cast("int"), m["length"].cast("int"))))
-    return F.array_join(under, "")
+    return F.array_join(F.transform(cuts(formatted, mask), unescaped), "")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +11,8 @@ from pyspark.sql import types as T
 from rillstone.session import fresh_dir
 
 WORDS = r"[^\x20\x09-\x0D]+"
+#: Items that a fold over an array handles one by one; longer arrays are folded by blocks of so many.
+BLOCK = 64
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -54,3 +58,56 @@ def ranked(df: DataFrame, order: list[Column], rank: str) -> DataFrame:
     starts = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
     inside = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
     return dealt.withColumn(rank, (inside - 1 + starts[F.col("__range")]).cast("long")).drop("__range")
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of `value`, which is evaluated once however often the body or a lambda within it mentions it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def blocks(xs: Column, size: int = BLOCK) -> Column:
+    """An array as an array of arrays of at most `size` items, in order."""
+    numbers = F.when(F.size(xs) > 0, F.sequence(F.lit(0), ((F.size(xs) - 1) / size).cast("int")))
+    return F.coalesce(F.transform(numbers, lambda i: F.slice(xs, i * size + 1, F.lit(size))), F.transform(F.slice(xs, 1, 0), lambda x: F.array(x)))
+
+
+def folded_before(numbers: Column, op: Callable[[Column, Column], Column], zero: int = 0, levels: int = 2) -> Column:
+    """array<bigint>: for every item the fold by an associative `op` of the items before it, `zero` for the first.
+
+    A fold that appends to an array copies it at each item.  Here it only does so within blocks of `BLOCK` items, whose own
+    folds are folded in the same way, so the time is in proportion to the items.
+    """
+    begin = F.lit(zero).cast("long")
+
+    def inside(xs: Column, start: Column) -> Column:
+        state = F.struct(start.alias("at"), F.expr("CAST(array() AS array<bigint>)").alias("out"))
+        step = lambda s, x: F.struct(op(s["at"], x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
+        return F.aggregate(xs, state, step, lambda s: s["out"])
+
+    def by_blocks(parts: Column) -> Column:
+        wholes = F.transform(parts, lambda xs: F.aggregate(xs, begin, lambda a, x: op(a, x)))
+        return let(folded_before(wholes, op, zero, levels - 1), lambda starts: F.flatten(F.zip_with(parts, starts, inside)))
+
+    def chosen(xs: Column) -> Column:
+        if not levels:
+            return inside(xs, begin)
+        return F.when(F.size(xs) <= BLOCK, inside(xs, begin)).otherwise(let(blocks(xs), by_blocks))
+
+    return let(F.transform(numbers, lambda x: x.cast("long")), chosen)
+
+
+def cuts(text: Column, places: Column) -> Column:
+    """The parts of a text at `places`, an array of (start, length) in rising order, from 0 and in code points.
+
+    Finding a place means counting code points from the start, so a block of places is cut out as a whole first.
+    """
+
+    def cut(inner: Column, at: Column, p: Column) -> Column:
+        return F.substring(inner, (p["start"] - at + 1).cast("int"), p["length"].cast("int"))
+
+    def of_block(ps: Column) -> Column:
+        first, last = F.get(ps, F.lit(0))["start"], F.element_at(ps, -1)
+        inner = F.substring(text, (first + 1).cast("int"), (last["start"] + last["length"] - first).cast("int"))
+        return let(inner, lambda held: F.transform(ps, lambda p: cut(held, first, p)))
+
+    return let(places, lambda ps: F.flatten(F.transform(blocks(ps), of_block)))

@@ -32,13 +32,14 @@ def _number(*parts: Column | str | int) -> Column:
 
 
 def sizes(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(id, key, source, size): the words of every row, written once so that texts are read once."""
+    """(id, key, source, size, serial): the words of every row, written once so that texts are read once; serials tell rows apart."""
     return stored(
         docs.select(
             F.col(id_col).alias("id"),
             row_key(docs).alias("key"),
             F.col(source_col).alias("source"),
             F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS)), F.lit(0)).cast("long").alias("size"),
+            F.monotonically_increasing_id().alias("serial"),
         ),
         "sizes",
     )
@@ -127,6 +128,26 @@ def shard_quotas(shards: DataFrame) -> DataFrame:
     )
 
 
+def _dealt(rows: DataFrame, seed: int, shard_rows: int) -> DataFrame:
+    """`rows` with `shard`: by a seeded hash of id and size, so that a shard holds about `shard_rows` rows.
+
+    Rows of one id and size meet.  Where they fill a shard with more than twice its rows, the rows of that shard are dealt
+    again by a hash of the whole row, and where copies of one row fill one even then, by their serials.
+    """
+    dealt = rows.withColumn("shard", _number(seed, "id", "size") % F.ceil(F.col("n_rows") / shard_rows))
+    for step, by in enumerate((["id", "size", "key"], ["key", "serial"]), 1):
+        counted = dealt.groupBy(F.col("place").alias("__place"), F.col("shard").alias("__shard")).agg(F.count("*").alias("__rows"))
+        full = stored(counted.where(F.col("__rows") > 2 * shard_rows), "full-shards")
+        if full.isEmpty():
+            break
+        piece = _number(seed, *by) % F.ceil(F.col("__rows") / shard_rows)
+        # 60 bits of a hash: should two shards ever get the same number, they are one larger shard
+        spread = F.when(F.col("__rows").isNull(), F.col("shard")).otherwise(_number(seed + step, "shard", piece))
+        same = (F.col("place") == F.col("__place")) & (F.col("shard") == F.col("__shard"))
+        dealt = dealt.join(full, same, "left").withColumn("shard", spread).drop("__place", "__shard", "__rows")
+    return dealt
+
+
 def mixed(
     docs: DataFrame,
     weights: tuple[float, ...] = (3, 1, 2),
@@ -151,7 +172,7 @@ def mixed(
     sources = stored(source_quotas(targets(sized, weights, share, most), block_words), "quotas")
     told = sources.select(F.col("source").alias("__source"), "place", "n_rows", "source_size", "target", "blocks")
     rows = sized.join(told, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    rows = rows.withColumn("shard", (_number(seed, "id", "size") % F.ceil(F.col("n_rows") / shard_rows)).cast("int"))
+    rows = _dealt(rows, seed, shard_rows)
     shards = rows.groupBy("place", "source", "shard").agg(F.sum("size").alias("words"), F.first("blocks").alias("blocks"))
     quotas = shard_quotas(shards.drop("place"))
     length, quota = F.col("words"), F.col("quota")

@@ -14,12 +14,13 @@ spans are selected in a projection of the documents, without any shuffle.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import plain
+from .common import blocks, cuts, folded_before, let, plain
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -68,26 +69,20 @@ def _hits(text: Column, pattern: str) -> Column:
 
     The pieces between the matches give the places: lengths add up from the start of the text.
     """
-    pieces = F.split(text, pattern, -1)
-    zipped = F.arrays_zip(
-        pieces.alias("piece"),
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"),
-        F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))).alias("later"),
-    )
-    empty = F.expr("CAST(array() AS array<struct<start:bigint,stop:bigint,hit:string,before:string,after:string>>)")
-
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + F.length(x["piece"])
-        stop = start + F.length(x["hit"])
-        found = F.struct(
-            start.alias("start"), stop.alias("stop"), x["hit"].alias("hit"),
-            F.right(x["piece"], F.lit(NEAR)).alias("before"), F.substring(x["later"], 1, 1).alias("after"),
-        )
-        return F.struct(
-            F.coalesce(stop, start).alias("at"), F.when(x["hit"].isNull(), state["found"]).otherwise(F.concat(state["found"], F.array(found))).alias("found")
-        )
 
-    return F.aggregate(zipped, F.struct(F.lit(0).cast("long").alias("at"), empty.alias("found")), step, lambda state: state["found"])
+    def found(pieces: Column, hits: Column) -> Column:
+        def place(hit: Column, i: Column, starts: Column) -> Column:
+            piece = F.get(pieces, i)
+            start = F.get(starts, i) + F.length(piece)
+            return F.struct(
+                start.alias("start"), (start + F.length(hit)).alias("stop"), hit.alias("hit"),
+                F.right(piece, F.lit(NEAR)).alias("before"), F.substring(F.get(pieces, i + 1), 1, 1).alias("after"),
+            )
+
+        lengths = F.transform(hits, lambda hit, i: F.length(hit) + F.length(F.get(pieces, i)))
+        return let(folded_before(lengths, lambda a, x: a + x), lambda starts: F.transform(hits, lambda hit, i: place(hit, i, starts)))
+
+    return let(F.split(text, pattern, -1), lambda pieces: let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda hits: found(pieces, hits)))
 
 
 def _digits(hit: Column) -> Column:
@@ -287,6 +282,22 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trees
     return fit([(r["kind"], tuple(r[f] for f in FEATURES), r["label"], r["part"], r["count"]) for r in grouped], trees, precision)
 
 
+def _extents(column: str) -> Column:
+    """array<(low, high, items)>: the spans in order of their place, by blocks, with the extent of each block."""
+    ordered = F.array_sort(column, lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(0))
+    extent = lambda xs: F.struct(
+        F.array_min(F.transform(xs, lambda x: x["start"])).alias("low"), F.array_max(F.transform(xs, lambda x: x["stop"])).alias("high"), xs.alias("items")
+    )
+    return let(ordered, lambda xs: F.transform(blocks(xs), extent))
+
+
+def _meets_any(extents: Column, x: Column, test: Callable[[Column, Column], Column]) -> Column:
+    """Whether `x` overlaps a span y with test(x, y); only the blocks that `x` reaches are looked through."""
+    near = lambda b: (b["low"] < x["stop"]) & (x["start"] < b["high"])
+    meets = lambda y: (x["start"] < y["stop"]) & (y["start"] < x["stop"]) & test(x, y)
+    return F.exists(F.filter(extents, near), lambda b: F.exists(b["items"], meets))
+
+
 def spans(docs: DataFrame, model: Trees, text_col: str = "text", base_col: str = "base", spans_col: str = "spans") -> DataFrame:
     """`docs` with two columns, `base` and `spans`: arrays of (start, kind, stop), kind as a number in KINDS, in order.
 
@@ -297,16 +308,16 @@ def spans(docs: DataFrame, model: Trees, text_col: str = "text", base_col: str =
     found = _found(docs, text_col)
     key = lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["stop"].alias("stop"))
     ordered = lambda xs: F.array_sort(F.transform(xs, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["stop"].alias("stop"))))
-    meets = lambda a, b: (a["start"] < b["stop"]) & (b["start"] < a["stop"])
     chosen = F.transform(
         F.filter("__wide", model.selected),
         lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["stop"].alias("stop"), model.score(x).alias("score")),
     )
     found = found.withColumn("__wide", F.when(F.size("__wide") > 0, chosen))
-    new = F.filter("__wide", lambda x: ~F.exists("__base", lambda b: meets(x, b)))
-    found = found.withColumn("__wide", new)
+    every = lambda x, y: F.lit(True)
+    found = found.withColumn("__wide", let(_extents("__base"), lambda taken: F.filter("__wide", lambda x: ~_meets_any(taken, x, every))))
     rank = lambda x: F.struct(-x["score"], x["kind"], x["start"])
-    best = F.filter("__wide", lambda x: ~F.exists("__wide", lambda y: meets(x, y) & (rank(y) < rank(x))))
+    better = lambda x, y: rank(y) < rank(x)
+    best = let(_extents("__wide"), lambda rivals: F.filter("__wide", lambda x: ~_meets_any(rivals, x, better)))
     extra = F.when(F.size("__wide") > 0, F.transform(best, key))
     found = found.withColumn(spans_col, ordered(F.concat("__base", F.coalesce(extra, F.slice("__base", 1, 0)))))
     return found.withColumn(base_col, ordered(F.col("__base"))).drop("__base", "__wide")
@@ -334,17 +345,16 @@ def redacted(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", le
     text = F.col(f"`{text_col}`")
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
 
-    def step(state: Column, s: Column) -> Column:
-        new = s["start"] >= state["at"]
-        between = F.substring(text, (state["at"] + 1).cast("int"), (s["start"] - state["at"]).cast("int"))
-        return F.struct(
-            F.greatest(state["at"], s["stop"]).alias("at"),
-            F.when(new, F.concat(state["out"], F.array(between, names[s["kind"]]))).otherwise(state["out"]).alias("out"),
-        )
+    def replaced(found: Column, reach: Column) -> Column:
+        last = F.array_max(F.transform(found, lambda s: s["stop"]))
+        kept = F.filter(F.zip_with(found, reach, lambda s, at: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), at.alias("at"))), lambda s: s["start"] >= s["at"])
+        place = lambda start, length: F.struct(start.cast("long").alias("start"), length.cast("long").alias("length"))
+        between = let(kept, lambda ks: F.concat(F.transform(ks, lambda s: place(s["at"], s["start"] - s["at"])), F.array(place(last, F.length(text) - last))))
+        named = F.concat(F.transform(kept, lambda s: names[s["kind"]]), F.array(F.lit("")))
+        return F.array_join(F.zip_with(cuts(text, between), named, lambda a, b: F.concat(a, b)), "")
 
-    begin = F.struct(F.lit(0).cast("long").alias("at"), F.expr("CAST(array() AS array<string>)").alias("out"))
-    tail = lambda state: F.concat(F.array_join(state["out"], ""), F.substring(text, (state["at"] + 1).cast("int"), F.length(text)))
-    out = found.withColumn("__new", F.when(F.size("__spans") > 0, F.aggregate("__spans", begin, step, tail)).otherwise(text))
+    reach = folded_before(F.transform("__spans", lambda s: s["stop"]), F.greatest)
+    out = found.withColumn("__new", F.when(F.size("__spans") > 0, let(reach, lambda at: replaced(F.col("__spans"), at))).otherwise(text))
     changed = {text_col: F.col("__new")}
     if length_col:
         changed[length_col] = F.when(F.size("__spans") > 0, F.length("__new").cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col))

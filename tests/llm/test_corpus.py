@@ -58,6 +58,23 @@ def test_mixture_meets_its_targets(spark, shard_rows):
     assert words == want
 
 
+def test_rows_of_one_id_and_copies_of_one_row_are_spread(spark):
+    alike = [(7, "a", "same words here")] * 700 + [(7, "a", f"text {i} of many") for i in range(700)]
+    docs = spark.createDataFrame(alike + [(i, "a", "two words") for i in range(100, 900)] + [(None, "b", None)], "doc_id long, source string, text string")
+    sized = mixing.sizes(docs)
+    sources = sized.groupBy("source").agg(F.count("*").alias("n_rows")).withColumn("place", F.ascii("source"))
+    dealt = mixing._dealt(sized.join(sources, "source"), 20, 100)
+    held = dealt.groupBy("place", "shard").count().agg(F.max("count"), F.sum("count")).first()
+    assert held[0] <= 200 and held[1] == docs.count()
+    rows = mixing.mixed(docs, shard_rows=100).collect()
+    assert len(rows) == docs.count() and all(0 <= r["taken"] <= 2 * r["size"] for r in rows)
+    words, target = sum(r["taken"] for r in rows if r["source"] == "a"), next(r["target"] for r in rows if r["source"] == "a")
+    shards = dealt.where("source = 'a'").select("shard").distinct().count()
+    assert abs(words - target) <= 16 * (shards + 1)  # the last block of a shard's line may be a part
+    again = mixing.mixed(docs, shard_rows=100).collect()
+    assert sorted(map(str, again)) == sorted(map(str, rows))
+
+
 def test_nothing_to_mix(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mixed(empty).count() == 0 and mixing.mixture(empty).count() == 0

@@ -1,5 +1,6 @@
 """Personal data, chat formatting, toxicity, language."""
 
+import itertools
 import math
 import os
 import random
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rillstone.llm import chat, language, pii, toxicity
+from rillstone.llm.common import folded_before
 from tests.llm import brute
 
 
@@ -54,6 +56,16 @@ def test_trees_add_what_the_patterns_run_together_and_leave_clean_text(spark):
     assert not any(found[i]["spans"] for i, _ in clean)
 
 
+def test_many_hits_in_one_text(spark):
+    text = " é ".join(f"u{i}@example.com, +1 555 010 {i:04d}, at 10.0.{i % 300}.7" for i in range(3_000))
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id int, text string")
+    got = {r["doc_id"]: r for r in pii.spans(docs, pii.train(docs)).select("doc_id", pii.listed("base").alias("base")).collect()}
+    assert got[1]["base"] == ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in brute.pii(text)) and got[2]["base"] == got[3]["base"] == ""
+    shown = {r["doc_id"]: r["text"] for r in pii.redacted(docs).collect()}
+    assert shown[2] is None and shown[3] == "" and not brute.pii(shown[1])
+    assert shown[1].startswith("[EMAIL], [PHONE], at [IP] é [EMAIL], ") and shown[1].count("[EMAIL]") == 3_000
+
+
 def test_redaction(spark):
     rows = [(1, "a x@y.zz b", 10, "k"), (2, None, 0, None), (3, "", 0, "k"), (4, "plain", 5, "k"), (4, "plain", 5, "k"), (5, "+1 555 123 4567", 15, "k")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, base string").withColumn("spans", F.lit(1))
@@ -102,6 +114,22 @@ def test_every_conversation_survives_its_parser(spark):
     assert chat.formatted(table.limit(0)).count() == 0
 
 
+def test_a_long_conversation_is_read_back(spark):
+    said = [f"{i} é <|im_end|>\n" if i % 3 else "" for i in range(9_000)]
+    rows = spark.createDataFrame([(1, i, "assistant" if i % 2 else "user", t) for i, t in enumerate(said)], "conv_id int, turn int, role string, text string")
+    chats = chat.with_mask(chat.formatted(rows)).withColumn("learned", chat.learned_text(F.col("formatted"), F.col("mask")))
+    row = chats.first()
+    assert [t["text"] for t in row["turns"]] == said and row["learned"] == "".join(said[1::2])
+
+
+def test_folds_of_what_stands_before(spark):
+    for n in (0, 1, 63, 64, 65, 4_096, 4_097, 9_001):
+        xs = spark.createDataFrame([([(i * 7) % 11 for i in range(n)],)], "x array<bigint>")
+        sums, most = xs.select(folded_before(F.col("x"), lambda a, x: a + x), folded_before(F.col("x"), F.greatest)).first()
+        values = [(i * 7) % 11 for i in range(n)]
+        assert sums == [0, *itertools.accumulate(values)][:n] and most == [0, *itertools.accumulate(values, max)][:n]
+
+
 def test_parser_refuses_what_the_grammar_does_not_give(spark):
     texts = ["<|im_start|>user\nx", "user\nx<|im_end|>\n", "<|im_start|>user<|im_end|>\n", "<|im_start|>u\n<|im_start|>x<|im_end|>\n", "<|im_start|>u\nx<|im_end|>\n!"]
     table = spark.createDataFrame([(t,) for t in texts], "t string")
