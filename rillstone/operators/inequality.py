@@ -12,15 +12,20 @@ for all rows.  Within each node the second predicate is an interval again.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from rillstone.operators.joins import equi_join
 from rillstone.session import stored
 
 BLOCK_ROWS = 64  # what an end of an interval may compare in vain, and the partners that one copy of a left row finds
 FAN_OUT = 8
+SORTED_ROWS = 500_000  # that a task puts in order
+PAIRS = 8_000_000  # that a task compares
 
 Condition = tuple[str, str, str]  # left column, one of < <= > >=, right column
 
@@ -58,21 +63,24 @@ def inequality_join(
     names = list(attributes)
     left, right = _numbered(left, {l for l, _, _ in conditions}), _numbered(right, set(names))
     rows = right.count()
-    first = _positions(left, right, attributes[names[0]])
+    l, r = _positions(left, right, attributes[names[0]])
+    levels = [0]
     if len(names) > 1:
-        spread = _nodes(*first, rows, block_rows, fan_out)
-        l, r = _positions(*spread, attributes[names[1]], node=True)
-        # every level holds all right rows, in the order of its nodes
+        *spread, levels = _nodes(l, r, rows, block_rows, fan_out)
+        # every level in use holds all right rows, in the order of its nodes
+        place = F.lit(0).cast("bigint")
+        for i, level in enumerate(levels):
+            place = F.when(F.col("_level") == level, F.lit(i * rows).cast("bigint")).otherwise(place)
         span = (F.lit(block_rows) * F.pow(F.lit(float(fan_out)), F.col("_level"))).cast("bigint")
-        start = F.col("_level") * rows + F.col("_node") * span
-        end = F.least(start + span, (F.col("_level") + 1) * rows)
-        first = l.withColumn("_from", F.greatest("_from", start)).withColumn("_to", F.least("_to", end)), r
-    l, r = first
+        start = place + F.col("_node") * span
+        l, r = _positions(*spread, attributes[names[1]], (start, F.least(start + span, place + rows)))
     block = lambda c: F.floor(c / block_rows).cast("bigint")
-    l = l.where("_to > _from").withColumn("_block", F.explode(F.sequence(block(F.col("_from")), block(F.col("_to") - 1))))
+    l = l.withColumn("_block", F.explode(F.sequence(block(F.col("_from")), block(F.col("_to") - 1))))
     l = stored(l.select(F.col("_row").alias(_LEFT), "_from", "_to", "_block"), "inequality-copies")
     r = r.select(F.col("_row").alias(_RIGHT), F.col("_at"), block(F.col("_at")).alias("_block"))
-    met = equi_join(l, r, "_block", rows_per_task=rows_per_task).where("_at >= _from AND _at < _to")
+    copies = l.count()
+    tasks = max(_tasks(copies * block_rows, PAIRS), _tasks(copies + len(levels) * rows, SORTED_ROWS))
+    met = equi_join(l, r, "_block", rows_per_task=rows_per_task, partitions=tasks).where("_at >= _from AND _at < _to")
     pairs = met.select(F.col(_LEFT)["row"].alias(_LEFT), F.col(_RIGHT)["row"].alias(_RIGHT))
     # positions of the last ordered attribute are exact; blocks at the ends of an interval of the first one are whole
     for name in [*names[:1], *names[2:]] if len(names) > 1 else []:
@@ -102,11 +110,12 @@ def _value(df: DataFrame, column: str) -> Column:
     return value + F.lit(0.0).cast(kind) if isinstance(kind, (T.FloatType, T.DoubleType)) else value  # -0.0 becomes 0.0
 
 
-def _positions(left: DataFrame, right: DataFrame, conditions: Sequence[Condition], node: bool = False) -> tuple[DataFrame, DataFrame]:
+def _positions(left: DataFrame, right: DataFrame, conditions: Sequence[Condition], node: tuple[Column, Column] | None = None) -> tuple[DataFrame, DataFrame]:
     """Right rows with `_at`, their position in the order of the conditions' attribute, and left rows with the interval
     `_from` .. `_to` - 1 of the positions that satisfy the conditions.
 
-    With `node`, rows of both sides have `_level` and `_node`, which come first in the order.  A marker per condition is
+    With `node`, the first position of a row's node and the one after its last, rows of both sides have `_level` and `_node`,
+    which come first in the order, and an interval stays in its node.  Left rows with an empty interval are dropped.  A marker per condition is
     sorted together with the right rows, before or after rows of an equal value as the comparison asks for.
     """
     by = ["_level", "_node"] if node else []
@@ -123,71 +132,94 @@ def _positions(left: DataFrame, right: DataFrame, conditions: Sequence[Condition
         empty.alias(_LEFT), F.col("_row").alias(_RIGHT),
     )
     order = [*by, "value", "side", F.coalesce(F.col(_LEFT)["id"], F.col(_RIGHT)["id"])]
-    dealt = marked.unionByName(placed).repartitionByRange(*order).sortWithinPartitions(*order)
-    dealt = stored(dealt.withColumn("_serial", F.monotonically_increasing_id()), "inequality-order")
-    # the upper bits of a serial number are the task's: the order of the ranges
-    task, is_right = F.call_function("shiftright", F.col("_serial"), F.lit(33)), F.col("side") == 1
-    sizes = {r["task"]: r["n"] for r in dealt.groupBy(task.alias("task")).agg(F.count_if(is_right).alias("n")).collect()}
+    both = marked.unionByName(placed)
+    tasks = _tasks(both.count(), SORTED_ROWS)
+    dealt = both.repartitionByRange(tasks, *order).sortWithinPartitions(*order).drop("value")
+    fields = T.StructType([*dealt.schema.fields, T.StructField("_task", T.IntegerType()), T.StructField("_inside", T.LongType())])
+    dealt = stored(dealt.mapInArrow(_counted, fields), "inequality-order")
+    is_right = F.col("side") == 1
+    # one number per task; the numbers of the tasks follow the order of the ranges
+    sizes = {r["_task"]: r["n"] for r in dealt.groupBy("_task").agg(F.max("_inside").alias("n")).collect()}
     before, total = [], 0
     for t in sorted(sizes):
         before.append((t, total))
         total += sizes[t]
-    offsets = dealt.sparkSession.createDataFrame(before, "_task bigint, _before bigint")
-    inside = F.sum(is_right.cast("bigint")).over(
-        Window.partitionBy("_task").orderBy("_serial").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    # one number per task of the shuffle
-    counted = dealt.withColumn("_task", task).withColumn("_inside", inside).join(F.broadcast(offsets), "_task")
-    counted = stored(counted.withColumn("_count", F.col("_before") + F.col("_inside")).drop("_serial", "_task", "_inside", "_before"), "inequality-positions")
+    offsets = dealt.sparkSession.createDataFrame(before, "_task int, _before bigint")
+    counted = dealt.join(F.broadcast(offsets), "_task").withColumn("_count", F.col("_before") + F.col("_inside"))
     at = counted.where(is_right).select(*by, F.col(_RIGHT).alias("_row"), (F.col("_count") - 1).alias("_at"))
-    low, high = [F.lit(0).cast("bigint")], [F.lit(total).cast("bigint")]
+    low, high = ([node[0]], [node[1]]) if node else ([F.lit(0).cast("bigint")], [F.lit(total).cast("bigint")])
     ends = counted.where(~is_right)
     if len(conditions) == 1:
         found = ends.select(*by, F.col(_LEFT).alias("_row"), F.col("_count").alias("_c0"))
     else:
-        keys = [*by, F.col(_LEFT)["id"].alias("_id")]
+        keys = [*by, "_id"]
         each = [F.max(F.when(F.col("condition") == i, F.col("_count"))).alias(f"_c{i}") for i in range(len(conditions))]
-        found = ends.groupBy(*keys).agg(F.first(_LEFT).alias("_row"), *each).drop("_id")
+        met = ends.withColumn("_id", F.col(_LEFT)["id"]).repartition(tasks, *keys)
+        found = met.groupBy(*keys).agg(F.first(_LEFT).alias("_row"), *each).drop("_id")
     for i, (_, op, _) in enumerate(conditions):
         (low if op in ("<", "<=") else high).append(F.col(f"_c{i}"))
     bounds = [F.greatest(*low) if len(low) > 1 else low[0], F.least(*high) if len(high) > 1 else high[0]]
-    return found.select(*by, "_row", bounds[0].alias("_from"), bounds[1].alias("_to")), at
+    found = found.select(*by, "_row", bounds[0].alias("_from"), bounds[1].alias("_to")).where("_to > _from")
+    found = stored(found, "inequality-intervals")
+    # left rows lie in the order of their values, and so do their numbers of partners: dealt by these, in no order
+    size = found.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("_to") - F.col("_from")).alias("pairs")).first()
+    tasks = max(_tasks(size["n"], SORTED_ROWS), _tasks(size["pairs"] or 0, PAIRS))
+    return found.repartition(tasks, *by, F.col("_row")["id"]), at
 
 
-def _nodes(left: DataFrame, right: DataFrame, rows: int, block_rows: int, fan_out: int) -> tuple[DataFrame, DataFrame]:
-    """Both sides with `_level` and `_node`: of a right row one on every level, of a left row those that make up its interval.
+def _tasks(work: int, of_one: int) -> int:
+    return max(1, -(-work // of_one))
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's rows with its number and `_inside`, how many right rows the task has had by then."""
+    task, n = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        inside = n + np.cumsum(batch.column("side").to_numpy() == 1)
+        n = int(inside[-1]) if len(inside) else n
+        extra = [pa.array(np.full(batch.num_rows, task, "int32")), pa.array(inside.astype("int64"))]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, "_task", "_inside"])
+
+
+def _nodes(left: DataFrame, right: DataFrame, rows: int, block_rows: int, fan_out: int) -> tuple[DataFrame, DataFrame, list[int]]:
+    """Both sides with `_level` and `_node`, and the levels in use: of a left row the nodes that make up its interval, of a
+    right row one on every level that any left row uses.
 
     The blocks at the ends of an interval count as whole.
     """
-    levels, size = 1, block_rows
+    top, size = 1, block_rows
     while size < rows:
-        levels, size = levels + 1, size * fan_out
+        top, size = top + 1, size * fan_out
+    low = F.floor(F.col("_from") / block_rows).cast("bigint").alias("_low")
+    high = F.floor((F.col("_to") + block_rows - 1) / block_rows).cast("bigint").alias("_high")
+    blocks = left.select("_row", low, high)
+    l = stored(blocks.select("_row", F.explode(_interval(top, fan_out)).alias("_n")).select("_row", "_n.*"), "inequality-nodes")
+    levels = sorted(r["_level"] for r in l.select("_level").distinct().collect()) or [0]
     number = lambda level: F.floor(F.col("_at") / (block_rows * fan_out**level)).cast("bigint")
-    own = F.array(*[F.struct(F.lit(i).cast("bigint").alias("_level"), number(i).alias("_node")) for i in range(levels)])
+    own = F.array(*[F.struct(F.lit(i).cast("bigint").alias("_level"), number(i).alias("_node")) for i in levels])
     r = right.select(F.col("_row"), F.explode(own).alias("_n")).select("_row", "_n.*")
-    return left.select("_row", F.explode(_interval(levels, block_rows, fan_out)).alias("_n")).select("_row", "_n.*"), r
+    return l, r, levels
 
 
 def _on_level(nodes: Column, level: int) -> Column:
     return F.transform(nodes, lambda n: F.struct(F.lit(level).cast("bigint").alias("_level"), n.alias("_node")))
 
 
-def _interval(levels: int, block_rows: int, fan_out: int) -> Column:
-    """Nodes that make up the blocks of `_from` .. `_to` - 1, as (level, node).
+def _interval(levels: int, fan_out: int) -> Column:
+    """Nodes that make up the blocks `_low` .. `_high` - 1, as (level, node).
 
-    On each level what sticks out of whole parents on either side is taken, and the rest passed up.
+    On each level what sticks out of whole parents on either side is taken, and the rest passed up.  The ends on a level
+    are the first ones divided by its width, so that the expression has one part of equal size for each level.
     """
-    low = F.floor(F.col("_from") / block_rows).cast("bigint")
-    high = F.floor((F.col("_to") + block_rows - 1) / block_rows).cast("bigint")
-    high = F.when(F.col("_to") > F.col("_from"), high).otherwise(low)
     none = F.array().cast("array<bigint>")
+    between = lambda a, b: F.when(b > a, F.sequence(a, b - 1)).otherwise(none)
+    first = lambda level: F.ceil(F.col("_low") / fan_out**level).cast("bigint")
+    last = lambda level: F.floor(F.col("_high") / fan_out**level).cast("bigint")
     parts = []
     for level in range(levels):
-        last = level == levels - 1
-        up, down = F.ceil(low / fan_out).cast("bigint"), F.floor(high / fan_out).cast("bigint")
-        whole = (up >= down) | F.lit(last)
-        between = lambda a, b: F.when(b > a, F.sequence(a, b - 1)).otherwise(none)
-        taken = F.when(whole, between(low, high)).otherwise(F.concat(between(low, up * fan_out), between(down * fan_out, high)))
+        low, high = first(level), last(level)
+        up, down = first(level + 1), last(level + 1)
+        sides = F.concat(between(low, up * fan_out), between(down * fan_out, high))
+        taken = between(low, high) if level == levels - 1 else F.when(up >= down, between(low, high)).otherwise(sides)
         parts.append(_on_level(taken, level))
-        low, high = F.when(whole, F.lit(0)).otherwise(up).cast("bigint"), F.when(whole, F.lit(0)).otherwise(down).cast("bigint")
     return F.concat(*parts)

@@ -56,12 +56,14 @@ def equi_join(
     how: str = "inner",
     hint: tuple[str, str] | None = None,
     rows_per_task: int | None = None,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Join on equal keys; the key columns (left names) come first, then the other columns of both sides.
 
     Keys with too many rows for one task, on either side and for every join type, are spread over a grid:
     a row goes to one of its own side's slots and is copied to each slot of the other side, so every pair
-    meets exactly once.  Streams can't be counted beforehand: there the join is Spark's own.
+    meets exactly once.  Streams can't be counted beforehand: there the join is Spark's own.  With `partitions`, static
+    sides are dealt to that many tasks, for joins whose pairs say more about their work than their bytes.
     """
     pairs = _pairs(on)
     keys = [l for l, _ in pairs]
@@ -71,9 +73,13 @@ def equi_join(
         return l.join(r, keys, how)
     heavy = heavy_join_keys(left, right, keys, rows_per_task)
     if heavy is None:
-        l, r = _with_hint(left, right, hint)
+        l, r = _with_hint(*_dealt(left, right, keys, partitions), hint)
         return l.join(r, keys, how)
-    return _grid_join(left, right, keys, how, hint, heavy, rows_per_task)
+    return _grid_join(left, right, keys, how, hint, heavy, rows_per_task, partitions=partitions)
+
+
+def _dealt(left: DataFrame, right: DataFrame, keys: Sequence[str], partitions: int | None) -> tuple[DataFrame, DataFrame]:
+    return (left.repartition(partitions, *keys), right.repartition(partitions, *keys)) if partitions else (left, right)
 
 
 def _spread(
@@ -138,9 +144,10 @@ def _grid_join(
     heavy: DataFrame | tuple[int, int],
     rows_per_task: int | None,
     condition: Column | None = None,
+    partitions: int | None = None,
 ) -> DataFrame:
-    l, r = _with_hint(*_spread(left, right, keys, heavy, rows_per_task), hint)
     at = ["_at_l", "_at_r"]
+    l, r = _with_hint(*_dealt(*_spread(left, right, keys, heavy, rows_per_task), [*keys, *at], partitions), hint)
     joined = l.join(r, [*keys, *at], how)
     if condition is not None:
         joined = joined.filter(condition)

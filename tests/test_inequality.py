@@ -7,6 +7,7 @@ import random
 
 import pytest
 
+from rillstone.operators import inequality
 from rillstone.operators.inequality import inequality_join
 from tests.conftest import plan_of
 
@@ -97,3 +98,13 @@ def test_work_follows_the_output(spark):
 
 def _stored_paths(df):
     return sorted({p.rsplit("/", 1)[0] for p in df.inputFiles()})
+
+
+def test_many_levels_are_one_expression_each(spark):
+    """Eleven levels: the ends of an interval were nested in those of the level below, three times in each."""
+    n = 1500
+    l = spark.range(40).selectExpr("id AS a", "id * 30 AS low", "id AS x")
+    r = spark.range(n).selectExpr("id AS b", "id AS value", "id % 40 AS y")
+    assert len(inequality._interval(11, 2)._jc.toString()) < 3 * len(inequality._interval(5, 2)._jc.toString())
+    found = inequality_join(l, r, [("low", "<=", "value"), ("x", ">", "y")], block_rows=1, fan_out=2)
+    assert found.count() == sum(a > b % 40 for a in range(40) for b in range(a * 30, n))
