@@ -108,3 +108,19 @@ def test_many_levels_are_one_expression_each(spark):
     assert len(inequality._interval(11, 2)._jc.toString()) < 3 * len(inequality._interval(5, 2)._jc.toString())
     found = inequality_join(l, r, [("low", "<=", "value"), ("x", ">", "y")], block_rows=1, fan_out=2)
     assert found.count() == sum(a > b % 40 for a in range(40) for b in range(a * 30, n))
+
+
+def test_copies_are_dealt_by_the_pairs_that_they_make(spark, monkeypatch):
+    """The left rows with the most partners are neighbours in the order; no task makes the copies of them all."""
+    monkeypatch.setattr(inequality, "PAIRS", 2_000)
+    l, r = spark.range(2_000).selectExpr("id AS a"), spark.range(1_900, 2_000).selectExpr("id AS b")
+    found = inequality_join(l, r, [("a", ">", "b")], block_rows=4)
+    assert found.count() == 99 * 100 // 2
+    l = spark.range(2_000).selectExpr("id - 1700 AS a")
+    r = spark.range(300).selectExpr("id AS b")
+    found = inequality_join(l, r, [("a", ">", "b")], block_rows=4)
+    assert found.count() == 299 * 300 // 2
+    (copies,) = [p for p in _stored_paths(found) if "inequality-copies" in p]
+    made = [q["count"] for q in spark.read.parquet(copies).groupBy("_metadata.file_path").count().collect()]
+    assert len(made) > 15 and max(made) < sum(made) / 4
+    assert found.rdd.getNumPartitions() > 15
