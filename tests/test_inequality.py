@@ -124,3 +124,14 @@ def test_copies_are_dealt_by_the_pairs_that_they_make(spark, monkeypatch):
     made = [q["count"] for q in spark.read.parquet(copies).groupBy("_metadata.file_path").count().collect()]
     assert len(made) > 15 and max(made) < sum(made) / 4
     assert found.rdd.getNumPartitions() > 15
+
+
+def test_no_task_puts_too_many_rows_in_order(spark, monkeypatch):
+    monkeypatch.setattr(inequality, "SORTED_ROWS", 100)
+    l = spark.range(1_000).selectExpr("id AS a", "id AS low", "id + 1 AS high")
+    r = spark.range(1_000).selectExpr("id AS b", "id AS value")
+    found = inequality_join(l, r, [("low", "<=", "value"), ("high", ">=", "value")])
+    assert found.count() == 1_999
+    (order,) = [p for p in _stored_paths(found) if "inequality-order" in p]
+    held = [q["count"] for q in spark.read.parquet(order).groupBy("_task").count().collect()]
+    assert len(held) >= 25 and max(held) <= 400
