@@ -19,6 +19,7 @@ from rillstone.plans.scoring import ORACLES as SCORING
 from rillstone.plans.windows import ORACLES as WINDOWS, window_sql
 from rillstone.session import fresh_dir, stored
 from rillstone.sinks import write_text
+from rillstone.sources.files import table
 from rillstone.sources.replay import replay
 from rillstone.sources.streams import line_stream, table_stream
 from rillstone.streaming.runner import drained, run, to_table, until_idle, with_open_joined, with_open_sessions, with_open_windows
@@ -30,6 +31,7 @@ _BOUNDS = ("window_start", "window_end")
 
 _COLUMNS = ("event_id", "ts", "user_id", "event_type", "cents")
 _SLICES = 2
+_SLOT_ROWS = 50_000  # rows that one group of keys with a common state may get
 _ORDER = ["at", "event_id"]
 
 
@@ -44,6 +46,10 @@ def _ordered(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("at", F.coalesce(F.unix_micros("ts"), F.lit((high or 0) + 1)))
 
 
+def _slots(rows: DataFrame) -> int:
+    return max(16, rows.count() // _SLOT_ROWS)
+
+
 def _by_slices(spark: SparkSession, rows: DataFrame, name: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Run `build` over `rows` as they arrive in two spans of `at`: one micro-batch and one restart for each span."""
     low, high = rows.agg(F.min("at"), F.max("at")).first()
@@ -226,7 +232,9 @@ def stream_ride_overdue(spark: SparkSession, folder: str) -> DataFrame:
     """Rides, one per user and day, that were started and not completed within six hours; most never are."""
     rows = _events(spark, folder).withColumn("day", F.to_date("ts").cast("string"))
     started, ended = F.col("event_type") == "signup", F.col("event_type") == "purchase"
-    return shown(to_table(overdue(rows, ["user_id", "day"], "ts", started, ended, 6 * 3600), "stream_ride_overdue"), "started_at", "due_at")
+    slots = _slots(table(spark, folder, "events"))
+    late = overdue(rows, ["user_id", "day"], "ts", started, ended, 6 * 3600, slots=slots)
+    return shown(to_table(late, "stream_ride_overdue"), "started_at", "due_at")
 
 
 def stream_report_lines(spark: SparkSession, folder: str) -> DataFrame:

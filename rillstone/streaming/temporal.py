@@ -10,11 +10,14 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from rillstone.operators.joins import asof_join
 
+SLOTS = 64
+
 _JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
@@ -173,13 +176,15 @@ def overdue(
     limit_seconds: int,
     delay: str = "0 seconds",
     retain_seconds: int = 86_400,
+    slots: int = SLOTS,
 ) -> DataFrame:
     """Keys whose span has no end within the limit: keys, `started_at`, `due_at`, raised by a timer once the watermark is past `due_at`.
 
     A key's span begins with its first event that `started` is true for, and ends with the first event that `ended` is true for
     at that time or later.  A key that never ends is reported without any further event.  Each key is reported once; what
     is known of a key goes `retain_seconds` after it was due or ended.  Events at or behind the watermark are dropped, as
-    are those without a time.  The state of a key is its start, its end and ends that are ahead of the watermark.
+    are those without a time.  What is known of a key is its start, its end and ends that are ahead of the watermark.  Keys are
+    dealt to `slots` groups, each with one table of its keys as state: the work is that of the rows, not of a call for each key.
     """
     seen = F.col(f"`{time}`").cast("timestamp")
     rows = (
@@ -189,42 +194,65 @@ def overdue(
         .withColumn("at", F.unix_micros("_time"))
     )
     # keys as text: pandas would turn whole numbers beside nulls into floats
-    kinds = dict(rows.dtypes)
-    rows = rows.select(*[F.col(f"`{k}`").cast("string").alias(f"_k{i}") for i, k in enumerate(keys)], "at", "starts", "ends", "_time")
+    kinds, names = dict(rows.dtypes), [f"_k{i}" for i in range(len(keys))]
+    key = F.to_json(F.struct(*[F.col(f"`{k}`").cast("string").alias(n) for k, n in zip(keys, names)]))
+    rows = rows.select(key.alias("key"), "at", "starts", "ends", "_time")
+    rows = rows.withColumn("_slot", F.pmod(F.xxhash64("key"), F.lit(slots).cast("bigint")))
     limit, retain = limit_seconds * 1_000_000, retain_seconds * 1_000_000
-    names = [f"_k{i}" for i in range(len(keys))]
+    start_, told_, end_ = 0, 1, 2  # kinds of rows in the state: a start, one that was told or ended, an end
+    never = np.iinfo("int64").max
 
-    def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, told, ends = state.get if state.exists else (None, False, [])
+    def update(slot: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         mark = state.getCurrentWatermarkMs() * 1000
-        ends = list(ends)
+        known = [pa.ipc.open_stream(state.get[0]).read_pandas()] if state.exists else []
         for part in parts:
-            at = part["at"].to_numpy("int64")
-            timely = at >= mark
-            begun = at[timely & part["starts"].to_numpy(bool)]
-            if len(begun) and not told:
-                start = int(begun.min()) if start is None else min(start, int(begun.min()))
-            ends += at[timely & part["ends"].to_numpy(bool)].tolist()
-        after = min((e for e in ends if start is not None and e >= start), default=None)
-        if start is not None and not told and mark > start + limit:
-            told = True
-            if after is None or after > start + limit:
-                yield pd.DataFrame({**{n: [k] for n, k in zip(names, key)}, "start_us": [start], "due_us": [start + limit]})
+            timely = part[part["at"] >= mark]
+            for flag, kind in (("starts", start_), ("ends", end_)):
+                known.append(timely.loc[timely[flag].to_numpy(bool), ["key", "at"]].assign(kind=np.int8(kind)))
+        events = pd.concat(known, ignore_index=True)
+        who, found = pd.factorize(events["key"])
+        at, kind = events["at"].to_numpy("int64"), events["kind"].to_numpy("int8")
+        start, told = np.full(len(found), never), np.zeros(len(found), bool)
+        np.minimum.at(start, who[kind == start_], at[kind == start_])
+        told[who[kind == told_]] = True
+        start[who[kind == told_]] = at[kind == told_]  # what was told stays
+        begun = start < never
+        of, ends = who[kind == end_], at[kind == end_]
+        after, later = np.full(len(found), never), begun[of] & (ends >= start[of])
+        np.minimum.at(after, of[later], ends[later])
+        due = np.where(begun, start, 0) + limit
+        now = begun & ~told & (mark > due)
+        late = now & ((after == never) | (after > due))
+        if late.any():
+            yield pd.DataFrame({"key": found[late], "start_us": start[late], "due_us": due[late]})
+        told |= now
         # an earlier start can only come ahead of the mark, so ends behind it are of use only to the start that is known
-        ends = sorted({e for e in ends if e >= mark} | ({after} if after is not None else set()))
-        last = start + limit if start is not None else max(ends, default=mark)
-        if mark > last + retain:
+        kept = (ends >= mark) | (ends == after[of])
+        of, ends = of[kept], ends[kept]
+        last = np.where(begun, due, np.int64(-1))
+        np.maximum.at(last, of[~begun[of]], ends[~begun[of]])
+        alive = (last >= 0) & (mark <= last + retain)
+        if not alive.any():
             state.remove()
             return
-        state.update((start, told, ends))
-        due = start + limit if start is not None and not told else last + retain
-        state.setTimeoutTimestamp(max(due // 1000, mark // 1000 + 1))
+        stay, of_alive = begun & alive, alive[of]
+        held = pd.DataFrame({
+            "key": np.concatenate([found[stay], found[of[of_alive]]]), "at": np.concatenate([start[stay], ends[of_alive]]),
+            "kind": np.concatenate([np.where(told[stay], told_, start_), np.full(int(of_alive.sum()), end_)]).astype("int8"),
+        }).drop_duplicates()
+        table = pa.Table.from_pandas(held, preserve_index=False)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as writer:
+            writer.write_table(table)
+        state.update((sink.getvalue().to_pybytes(),))
+        timer = int(np.where(begun & ~told, due, last + retain)[alive].min())
+        state.setTimeoutTimestamp(max(timer // 1000, mark // 1000 + 1))
 
-    out = ", ".join(f"{n} string" for n in names) + ", start_us bigint, due_us bigint"
-    found = rows.groupBy(*names).applyInPandasWithState(
-        update, out, "start bigint, told boolean, ends array<bigint>", "append", GroupStateTimeout.EventTimeTimeout
+    found = rows.groupBy("_slot").applyInPandasWithState(
+        update, "key string, start_us bigint, due_us bigint", "held binary", "append", GroupStateTimeout.EventTimeTimeout
     )
-    return found.select(
-        *[F.col(n).cast(kinds[k]).alias(k) for n, k in zip(names, keys)],
+    named = F.from_json("key", ", ".join(f"{n} string" for n in names)).alias("_key")
+    return found.select(named, "start_us", "due_us").select(
+        *[F.col("_key")[n].cast(kinds[k]).alias(k) for n, k in zip(names, keys)],
         F.timestamp_micros("start_us").alias("started_at"), F.timestamp_micros("due_us").alias("due_at"),
     )

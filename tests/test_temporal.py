@@ -164,3 +164,14 @@ def test_the_clock_closes_what_goes_silent(spark, tmp_path):
     finally:
         query.stop()
     assert rows_of(spark.read.parquet(f"{tmp_path}/out")) == sorted([("a", 2, 3), ("a", 1, 8), ("b", 1, 0), (None, 1, 4)], key=str)
+
+
+def test_a_slot_of_many_keys_is_one_group(spark, tmp_path):
+    """Two hundred rides in three slots: a state each, and all that are late are told."""
+    drop(f"{tmp_path}/in", [[f"{i},started,{i}" for i in range(200)] + [f"{i},completed,{i + 50}" for i in range(0, 200, 3)], ["999,started,900"]])
+    rows = spark.readStream.schema(RIDES).option("maxFilesPerTrigger", 1).csv(f"{tmp_path}/in").withColumn("t", F.timestamp_seconds(F.col("s") + 1_000))
+    late = temporal.overdue(rows, ["ride"], "t", F.col("status") == "started", F.col("status") == "completed", 100, retain_seconds=10_000, slots=3)
+    query = runner.start(late, f"{tmp_path}/out", f"{tmp_path}/c")
+    query.awaitTermination()
+    assert {r["ride"] for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {i for i in range(200) if i % 3}
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 3
