@@ -194,8 +194,9 @@ def stream_pattern(spark: SparkSession, folder: str) -> DataFrame:
     chunks, copied = ((), None) if cut is None else (cut.chunks, "_copied")
     if cut is not None:
         rows = stored(with_preceding(cut, ["user_id"], _ORDER, len(steps) - 1, copied), "stream-ranges")
+    slots = _slots(rows)
     build = lambda stream: sequence_alerts(
-        stream, "user_id", "ts", "event_type", steps, 3 * 86400, "event_id", chunks=chunks, copied=copied
+        stream, "user_id", "ts", "event_type", steps, 3 * 86400, "event_id", chunks=chunks, copied=copied, slots=slots
     )
     return shown(_by_slices(spark, rows, "stream_pattern", build), "first_time", "last_time")
 

@@ -300,12 +300,13 @@ def sequence_alerts(
     delay: str = "0 seconds",
     chunks: Sequence[str] = (),
     copied: str | None = None,
+    slots: int = 64,
 ) -> DataFrame:
     """Alerts for `steps` as consecutive events of a key within the limit, over a stream.
 
-    The state is the tail of the key's events, shorter than the pattern.  Tail and micro-batch are put in order of time, and
+    Known of a key is the tail of its events, shorter than the pattern.  Tail and micro-batch are put in order of time, and
     of the integer column `tie` where times are equal, as numbers and one byte each; what a key brings at once is in one
-    task.  Heavy keys come in `chunks`, columns that cut a key's events into ranges, each with copies of the events before it
+    task.  Keys are dealt to `slots` groups, each with one table of tails as state: no call is made for a single key.  Heavy keys come in `chunks`, columns that cut a key's events into ranges, each with copies of the events before it
     that the column `copied` marks: an alert belongs to the range of its last event.  An alert needs a new event.  Events behind the watermark, `delay` after the latest event of
     earlier micro-batches, are dropped, as are events without a time.
     """
@@ -317,41 +318,47 @@ def sequence_alerts(
     seen = F.col(time).cast("timestamp")
     if copied:
         code = F.when(F.col(copied), -1 - code).otherwise(code).cast("tinyint")
+    # keys as text: pandas would turn whole numbers beside nulls into floats
+    kind = dict(df.dtypes)[key]
+    own = F.to_json(F.struct(F.col(key).cast("string").alias("key"), *chunks))
     rows = df.withColumn("_seen", seen).where(seen.isNotNull()).withWatermark("_seen", delay).select(
-        F.col(key).alias("key"), *chunks, F.unix_micros("_seen").alias("at"), code.alias("code"),
+        own.alias("own"), F.unix_micros("_seen").alias("at"), code.alias("code"),
         (F.col(tie).cast("bigint") if tie else F.lit(0).cast("bigint")).alias("tie"), "_seen",
     )
-    kind = dict(rows.dtypes)["key"]
-
-    def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tail = [np.array(x, "int64") for x in state.get] if state.exists else [np.zeros(0, "int64")] * 3
-        new = [[p[c].to_numpy("int64") for c in ("at", "code", "tie")] for p in parts]
-        new = [np.concatenate([n[i] for n in new]) for i in range(3)]
-        timely = new[0] >= state.getCurrentWatermarkMs() * 1000
-        at, code, tie_ = (np.concatenate([t, n[timely]]) for t, n in zip(tail, new))
-        fresh = np.arange(len(at)) >= len(tail[0])
-        order = np.lexsort((tie_, at))
-        at, code, tie_, fresh = at[order], code[order], tie_[order], fresh[order]
+    rows = rows.withColumn("_slot", F.pmod(F.xxhash64("own"), F.lit(slots).cast("bigint")))
+
+    def update(slot: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        fields = ["own", "at", "code", "tie"]
+        tails = pa.ipc.open_stream(state.get[0]).read_pandas() if state.exists else pd.DataFrame(columns=fields)
+        mark = state.getCurrentWatermarkMs() * 1000
+        new = [p.loc[p["at"] >= mark, fields] for p in parts]
+        events = pd.concat([t for t in (tails, *new) if len(t)] or [tails], ignore_index=True)
+        who, owners = pd.factorize(events["own"])
+        at, code, tie_ = (events[c].to_numpy("int64") for c in fields[1:])
+        fresh = np.arange(len(at)) >= len(tails)
+        order = np.lexsort((tie_, at, who))
+        who, at, code, tie_, fresh = who[order], at[order], code[order], tie_[order], fresh[order]
         ends = np.arange(depth, len(at))
-        hit = (at[ends] - at[ends - depth] <= within_seconds * 1_000_000) & (code[ends] >= 0)
+        hit = (who[ends] == who[ends - depth]) & (at[ends] - at[ends - depth] <= within_seconds * 1_000_000) & (code[ends] >= 0)
         any_new = np.zeros(len(ends), bool)
         kinds = np.where(code < 0, -1 - code, code)
         for i, step in enumerate(wanted):
             hit &= kinds[ends - depth + i] == step
             any_new |= fresh[ends - depth + i]
         found = ends[hit & any_new]
-        yield pd.DataFrame({"key": [key[0]] * len(found), "first_us": at[found - depth], "last_us": at[found]})
-        keep = max(0, len(at) - depth)
-        state.update((at[keep:].tolist(), code[keep:].tolist(), tie_[keep:].tolist()))
-
-    return (
-        rows.groupBy("key", *chunks)
-        .applyInPandasWithState(
-            update, f"key {kind}, first_us bigint, last_us bigint", "at array<bigint>, code array<bigint>, tie array<bigint>",
-            "append", GroupStateTimeout.NoTimeout,
-        )
-        .select(
-            F.col("key").alias(key), F.timestamp_micros("first_us").alias("first_time"),
-            F.timestamp_micros("last_us").alias("last_time"),
-        )
+        yield pd.DataFrame({"own": owners[who[found]], "first_us": at[found - depth], "last_us": at[found]})
+        keep = np.searchsorted(who, who, side="right") - np.arange(len(who)) <= depth
+        held = {"own": pa.array(owners[who[keep]], pa.string()), "at": at[keep], "code": code[keep], "tie": tie_[keep]}
+        table = pa.table(held)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as writer:
+            writer.write_table(table)
+        state.update((sink.getvalue().to_pybytes(),))
+
+    found = rows.groupBy("_slot").applyInPandasWithState(
+        update, "own string, first_us bigint, last_us bigint", "tails binary", "append", GroupStateTimeout.NoTimeout
+    )
+    return found.select(
+        F.from_json("own", "key string")["key"].cast(kind).alias(key), F.timestamp_micros("first_us").alias("first_time"),
+        F.timestamp_micros("last_us").alias("last_time"),
     )

@@ -313,3 +313,17 @@ def test_stream_pattern_of_a_hot_user_is_that_of_the_sql_and_no_task_gets_all_it
     want = sql_rows("stream_pattern", hot_folder)
     assert got == want and len(want) > 10
     assert not limit or max(found) <= limit + 3  # with copies of three events
+
+
+def test_sequence_alerts_of_many_keys_in_one_slot(spark, tmp_path):
+    """Keys share a group and its state, and never each other's events; a null key is a key."""
+    steps = ["fail", "fail", "ok"]
+    events = [(i * 10 + s, f"ip{i % 50}" if i % 50 else "", step) for i in range(50) for s, step in enumerate(steps)]
+    drop(f"{tmp_path}/in", [[f"{ms},{ip},{step}" for ms, ip, step in events if step == part] for part in ("fail", "ok")])
+    rows = streams.delimited_stream(spark, f"{tmp_path}/in", "ms bigint, ip string, status string", max_files=1)
+    timed = rows.select(F.timestamp_millis("ms").alias("t"), "ip", "status")
+    query = runner.start(stateful.sequence_alerts(timed, "ip", "t", "status", steps, 300, delay="1 hour", slots=2), f"{tmp_path}/out", f"{tmp_path}/c")
+    query.awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted((q["ip"] or "") for q in got.collect()) == sorted(f"ip{i}" if i else "" for i in range(50))
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 2
