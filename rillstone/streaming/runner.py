@@ -18,6 +18,8 @@ PROVIDERS = {
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 # sessions are merged inside each task before the shuffle, so a heavy key sends sessions and not rows
 _LOCAL_SESSIONS = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
+_COUNTED = "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows"
+_IDLE = "spark.sql.streaming.noDataMicroBatches.enabled"
 _CHAINED = "spark.sql.streaming.statefulOperator.allowMultiple"
 
 
@@ -45,12 +47,16 @@ def start(
     state: str = "rocksdb",
     single_stateful: bool = True,
     name: str | None = None,
+    counted_state: bool = True,
+    idle_batches: bool = True,
 ) -> StreamingQuery:
     """Start a query; restarted on the same checkpoint it continues without repeating or losing rows.
 
     `every` is the trigger interval, which also sets how often files are closed; without it the query takes
     what is available and ends.  `single_stateful` drops late rows by the watermark of the current batch; a
-    plan with several stateful operators has to turn it off.
+    plan with several stateful operators has to turn it off.  Without `counted_state` RocksDB does not look up each row that
+    it writes, and progress reports no number of rows of the state.  Without `idle_batches` state behind the watermark goes with
+    the next rows and not in a batch of its own: for queries that emit nothing when they drop state.
     """
     spark = df.sparkSession
     writer = df.writeStream.format(format).outputMode(mode).option("checkpointLocation", checkpoint)
@@ -64,6 +70,10 @@ def start(
         writer = writer.partitionBy(*partition_by)
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
     settings = {_PROVIDER: PROVIDERS[state], _CHAINED: "false" if single_stateful else "true", _LOCAL_SESSIONS: "true"}
+    if not counted_state:
+        settings[_COUNTED] = "false"
+    if not idle_batches:
+        settings[_IDLE] = "false"
     with _settings(spark, settings):
         return writer.start()
 

@@ -142,6 +142,19 @@ def test_order_shipment_streams(spark, tmp_path):
     assert rows_of(table) == [(1, "c1", 4)]
 
 
+def test_a_join_that_drops_state_silently_runs_no_batch_for_it(spark, tmp_path):
+    drop(f"{tmp_path}/o", [["1,c1,1000", "2,c2,2000", "3,c1,3000"]])
+    drop(f"{tmp_path}/s", [["1,5000", "2,1000", "3,90000"]])
+    orders = streams.delimited_stream(spark, f"{tmp_path}/o", "id int, c string, ms bigint").select("id", "c", F.timestamp_millis("ms").alias("ot"))
+    ships = streams.delimited_stream(spark, f"{tmp_path}/s", "sid int, ms bigint").select("sid", F.timestamp_millis("ms").alias("st"))
+    out = joins.interval_join(orders, ships, {"id": "sid"}, "ot", "st", "1 minute", "0 seconds")
+    query = runner.start(out.select("id", "c"), f"{tmp_path}/out", f"{tmp_path}/c", counted_state=False, idle_batches=False)
+    query.awaitTermination()
+    assert rows_of(spark.read.parquet(f"{tmp_path}/out")) == [(1, "c1")]
+    assert {p["batchId"] for p in query.recentProgress} == {0}
+    assert spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled") == "true"
+
+
 def test_scoring_a_stream_fans_out_to_tagged_folders(spark, tmp_path, transactions):
     drop(f"{tmp_path}/in", [TRANSACTIONS[:2], ["broken"], TRANSACTIONS[2:]])
     lines = streams.line_stream(spark, f"{tmp_path}/in", max_files=1)
