@@ -2,16 +2,18 @@
 
 Points become vectors on the unit sphere, so there are no poles and no date line, and cells are cubes of an octree.  A
 cube with more than `leaf_rows` right points is split; only cubes that hold points exist, and points in exactly one place
-are one.  All left points walk down the tree together, two levels a round.  Each keeps the cubes that can still hold its nearest point: those that begin
-no farther away than the nearest of the cubes ends.  These are a few cubes per point on every level, however dense the
-points are, so no pairs of a dense cell are ever made.
+are one.  All left points walk down the tree twice, two levels a round.  First each follows one path, always to the cube whose
+points are nearest on average, and measures the points of the leaf that it comes to.  Then each keeps the cubes that can still
+hold its nearest point: those that begin no farther away than that measured point, or than the nearest of the cubes ends.  These
+are a few cubes per point on every level, however dense the points are, so no pairs of a dense cell are ever made, and what
+lies beyond is dropped where it is looked at, before any shuffle.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rillstone.functions.geo import EARTH_KM, haversine_km
 from rillstone.operators.joins import equi_join
@@ -22,6 +24,8 @@ LEAF_ROWS = 64
 STEP = 2  # levels of the tree that a round goes down
 MAX_DEPTH = 22  # cubes of this depth are three metres wide; the slack allows for two
 SLACK = 2e-3 / EARTH_KM  # chords that differ by less than two metres count as equal until the end
+WALKERS = 100_000  # left points that a task starts with
+PAIRS = 8_000_000  # that a task compares
 
 _AXES = ("x", "y", "z")
 
@@ -51,10 +55,18 @@ def _gaps(depth: int) -> tuple[Column, Column]:
     return near, far
 
 
-def _not_beyond(best: str) -> Column:
-    """Whether a cube begins no farther away than `best`, a squared distance."""
-    edge = F.sqrt(best) + SLACK
-    return F.col("_near") <= edge * edge
+def _square(a: Column, b: Column) -> Column:
+    """Squared distance of two vectors."""
+    total = F.lit(0.0)
+    for axis in _AXES:
+        total = total + (a[axis] - b[axis]) * (a[axis] - b[axis])
+    return total
+
+
+def _not_beyond(square: Column) -> Column:
+    """Whether something at this squared distance is no farther away than `_best`, a squared distance as well."""
+    edge = F.sqrt("_best") + SLACK
+    return square <= edge * edge
 
 
 def _placed(at: Sequence[str]) -> Column:
@@ -86,56 +98,91 @@ def nearest_join(
     one = F.min_by(F.struct(*[F.col(f"`{c}`") for c in right.columns]), F.col(f"`{right_key}`")).alias("_point")
     places = right.where(_placed(right_at)).groupBy(*[c.cast("double").alias(f"_at{i}") for i, c in enumerate(place(right_at))]).agg(one)
     points = stored(places.select("_point", _vector(F.col("_at0"), F.col("_at1")).alias("_u")), "nearest-right")
-    root = F.struct(*[F.lit(0).cast("bigint").alias(a) for a in _AXES]).alias("_parent")
-    frontier, leaves, full = rows.where("_v IS NOT NULL").select("_id", "_v", root), [], points.select("_u", "_point", root)
+    tree, held = _tree(points, leaf_rows)
+    if held is None:
+        near = rows.select("_id", F.lit(None).cast(points.schema["_point"].dataType).alias("_point")).limit(0)
+    else:
+        here = rows.where("_v IS NOT NULL").select("_id", "_v")
+        tasks = _tasks(here.count(), WALKERS)
+        reach = _reach(here.repartition(tasks, "_id"), tree, held, leaf_rows, rows_per_task)
+        asked = _asked(stored(reach.repartition(tasks, "_id"), "nearest-reach"), tree, rows_per_task)
+        pairs = _beside_points(asked, held, leaf_rows, rows_per_task)
+        near = pairs.where(_not_beyond(_square(F.col("_u"), F.col("_v")))).select("_id", "_point")
+    met = rows.select("_id", "_row").join(near, "_id", "left")
+    km = haversine_km(*[F.col("_row")[c] for c in left_at], *[F.col("_point")[c] for c in right_at])
+    met = met.withColumn("metres", F.when(F.col("_point").isNotNull(), F.round(km * 1000).cast("bigint")))
+    order = F.struct("metres", F.col("_point")[right_key])
+    best = met.groupBy("_id").agg(F.first("_row").alias("_row"), F.min_by(F.struct("metres", "_point"), order).alias("_best"))
+    return best.select("_row.*", "_best._point.*", F.col("_best.metres").alias("metres"))
+
+
+def _tasks(work: int, of_one: int) -> int:
+    return max(1, -(-work // of_one))
+
+
+def _root() -> Column:
+    return F.struct(*[F.lit(0).cast("bigint").alias(a) for a in _AXES]).alias("_parent")
+
+
+def _tree(points: DataFrame, leaf_rows: int) -> tuple[list[tuple[int, DataFrame]], DataFrame | None]:
+    """For each depth the cubes below those that were too full, as (`_parent`, `_cube`, `_leaf`, `_mid`), and all points
+    with `_depth` and `_cube` of their leaf."""
+    full, tree, held = points.select("_u", "_point", _root()), [], None
+    mid = F.struct(*[F.avg(F.col("_u")[a]).alias(a) for a in _AXES]).alias("_mid")
     for depth in range(STEP, MAX_DEPTH + 1, STEP):
-        # the children of the cubes that were too full, with their counts
-        cubes = full.groupBy("_parent", _cube("_u", depth).alias("_cube")).agg(F.count(F.lit(1)).alias("_n"))
-        cubes = stored(cubes, "nearest-cubes")
+        is_leaf = (F.count(F.lit(1)) <= leaf_rows) | F.lit(depth == MAX_DEPTH)
+        cubes = stored(full.groupBy("_parent", _cube("_u", depth).alias("_cube")).agg(is_leaf.alias("_leaf"), mid), "nearest-cubes")
         if cubes.isEmpty():
             break
-        if fits_broadcast(cubes):
-            met = frontier.join(F.broadcast(cubes), "_parent")
-        else:
-            met = equi_join(frontier, cubes, "_parent", rows_per_task=rows_per_task)
+        tree.append((depth, cubes))
+        placed = full.select("_u", "_point", _cube("_u", depth).alias("_cube")).join(cubes.select("_cube", "_leaf"), "_cube")
+        placed = stored(placed, "nearest-points")
+        full = placed.where("NOT _leaf").select("_u", "_point", F.col("_cube").alias("_parent"))
+        leaves = placed.where("_leaf").select(F.lit(depth).alias("_depth"), "_cube", "_u", "_point")
+        held = leaves if held is None else held.unionByName(leaves)
+    return tree, held
+
+
+def _beside(walkers: DataFrame, cubes: DataFrame, rows_per_task: int | None) -> DataFrame:
+    """Walkers and what lies below their `_parent`."""
+    if fits_broadcast(cubes):
+        return walkers.join(F.broadcast(cubes), "_parent")
+    return equi_join(walkers, cubes, "_parent", rows_per_task=rows_per_task)
+
+
+def _beside_points(walkers: DataFrame, held: DataFrame, leaf_rows: int, rows_per_task: int | None) -> DataFrame:
+    """Walkers and the points of their leaves."""
+    tasks = _tasks(walkers.count() * leaf_rows, PAIRS)
+    return equi_join(walkers, held, ["_depth", "_cube"], rows_per_task=rows_per_task, partitions=tasks)
+
+
+def _reach(here: DataFrame, tree: Sequence[tuple[int, DataFrame]], held: DataFrame, leaf_rows: int, rows_per_task: int | None) -> DataFrame:
+    """(`_id`, `_v`, `_best`): left points and the squared distance to a right point that is near, mostly not the nearest."""
+    walkers, ends = here.select("_id", "_v", _root()), None
+    gap = lambda c: _square(c["_mid"], F.col("_v")).alias("gap")
+    for depth, cubes in tree:
+        below = cubes.groupBy("_parent").agg(F.collect_list(F.struct("_mid", "_cube", "_leaf")).alias("_below"))  # 64 at most
+        nearest = F.array_min(F.transform("_below", lambda c: F.struct(gap(c), c["_cube"].alias("_cube"), c["_leaf"].alias("_leaf"))))
+        met = _beside(walkers, below, rows_per_task).select("_id", "_v", nearest.alias("_to"))
+        met = stored(met.select("_id", "_v", "_to._cube", "_to._leaf"), "nearest-paths")
+        walkers = met.where("NOT _leaf").select("_id", "_v", F.col("_cube").alias("_parent"))
+        end = met.where("_leaf").select("_id", "_v", F.lit(depth).alias("_depth"), "_cube")
+        ends = end if ends is None else ends.unionByName(end)
+    pairs = _beside_points(ends, held.drop("_point"), leaf_rows, rows_per_task)
+    return pairs.groupBy("_id", "_v").agg(F.min(_square(F.col("_u"), F.col("_v"))).alias("_best"))
+
+
+def _asked(reach: DataFrame, tree: Sequence[tuple[int, DataFrame]], rows_per_task: int | None) -> DataFrame:
+    """The leaves, `_depth` and `_cube`, that can hold the nearest point of a left point."""
+    frontier, asked = reach.withColumn("_parent", _root()), None
+    for depth, cubes in tree:
         near, far = _gaps(depth)
-        met = met.select("_id", "_v", "_cube", "_n", near.alias("_near"), far.alias("_far"))
-        done = None
-        for part in leaves:  # leaves reached earlier bound the distance as well
-            done = part if done is None else done.unionByName(part)
-        bounds = met.select("_id", "_far") if done is None else met.select("_id", "_far").unionByName(done.select("_id", "_far"))
-        best = bounds.groupBy("_id").agg(F.min("_far").alias("_best"))
-        kept = stored(met.join(best, "_id").where(_not_beyond("_best")).drop("_best"), "nearest-kept")
-        is_leaf = (F.col("_n") <= leaf_rows) | F.lit(depth == MAX_DEPTH)
-        leaves.append(kept.where(is_leaf).select("_id", "_v", "_near", "_far", F.lit(depth).alias("_depth"), "_cube"))
-        split = cubes.where(~is_leaf).select(F.col("_cube").alias("_parent"))
-        frontier = kept.where(~is_leaf).select("_id", "_v", F.col("_cube").alias("_parent"))
-        held = full.select("_u", "_point", _cube("_u", depth).alias("_parent"))
-        full = stored(held.join(split, "_parent", "left_semi"), "nearest-points")
-    found = _measured(points, leaves, left_at, right_at, rows, right_key, rows_per_task)
-    return rows.join(found, "_id", "left").select("_row.*", "_best._point.*", F.col("_best.metres").alias("metres"))
-
-
-def _measured(
-    points: DataFrame, leaves: Sequence[DataFrame], left_at: tuple[str, str], right_at: tuple[str, str], rows: DataFrame, right_key: str, rows_per_task: int | None
-) -> DataFrame:
-    """(_id, _best): the nearest of the points in the leaves that a row still has to look at."""
-    if not leaves:
-        return rows.select("_id", F.lit(None).cast(f"struct<metres: bigint, _point: {points.schema['_point'].dataType.simpleString()}>").alias("_best")).limit(0)
-    asked = leaves[0]
-    for part in leaves[1:]:
-        asked = asked.unionByName(part)
-    # cubes that were kept before a nearer one was known
-    best = asked.groupBy("_id").agg(F.min("_far").alias("_best"))
-    asked = asked.join(best, "_id").where(_not_beyond("_best")).select("_id", "_depth", "_cube")
-    asked = stored(asked.join(rows.select("_id", "_row"), "_id"), "nearest-asked")
-    depths = [r["_depth"] for r in asked.select("_depth").distinct().collect()]
-    used = F.array(*[F.struct(F.lit(d).alias("_depth"), _cube("_u", d).alias("_cube")) for d in depths])
-    dealt = points.select("_point", F.explode(used).alias("_c")).select("_point", "_c.*") if depths else points.select("_point", F.lit(0).alias("_depth"), _cube("_u", STEP).alias("_cube"))
-    leaf = asked.select("_depth", "_cube").distinct()
-    dealt = stored(dealt.join(leaf, ["_depth", "_cube"], "left_semi"), "nearest-leaves")
-    pairs = equi_join(asked, dealt, ["_depth", "_cube"], rows_per_task=rows_per_task)
-    km = haversine_km(*[F.col("_row")[c] for c in left_at], *[F.col("_point")[c] for c in right_at])
-    metres = F.round(km * 1000).cast("bigint")
-    ranked = F.struct(metres.alias("metres"), F.col("_point")[right_key].alias("_key"), F.col("_point"))
-    return pairs.groupBy("_id").agg(F.min_by(ranked, F.struct(metres, F.col("_point")[right_key])).alias("_best"))
+        met = _beside(frontier, cubes.drop("_mid"), rows_per_task)
+        met = met.where(_not_beyond(near)).select("_id", "_v", "_best", "_cube", "_leaf", near.alias("_near"), far.alias("_far"))
+        nearest = F.min("_far").over(Window.partitionBy("_id"))
+        kept = met.withColumn("_best", F.least("_best", nearest)).where(_not_beyond(F.col("_near")))
+        kept = stored(kept.drop("_near", "_far"), "nearest-kept")
+        frontier = kept.where("NOT _leaf").select("_id", "_v", "_best", F.col("_cube").alias("_parent"))
+        leaves = kept.where("_leaf").select("_id", "_v", "_best", F.lit(depth).alias("_depth"), "_cube")
+        asked = leaves if asked is None else asked.unionByName(leaves)
+    return stored(asked, "nearest-asked")

@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from rillstone.operators import nearest
 from rillstone.operators.nearest import nearest_join
 from tests.conftest import plan_of
 
@@ -58,6 +59,36 @@ def test_few_cubes_are_kept_where_points_are_dense(spark):
     assert all(spark.read.parquet(p).count() < 2_000 * 25 for p in kept)
 
 
+def test_cubes_beyond_a_measured_point_are_dropped(spark, monkeypatch):
+    """Sides spread over the globe: on no level does a ride keep more than a few cubes, of any size."""
+    kept, sizes = nearest.stored, {}
+
+    def spied(df, name):
+        out = kept(df, name)
+        sizes.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(nearest, "stored", spied)
+    l = spark.range(2_000).selectExpr("id AS ride", "id * 7919 % 16001 / 100.0 - 80 AS lat", "id * 104729 % 36007 / 100.0 - 180 AS lon")
+    r = spark.range(3_000).selectExpr("id AS driver", "id * 6007 % 15991 / 100.0 - 80 AS dlat", "id * 8009 % 35999 / 100.0 - 180 AS dlon")
+    assert nearest_join(l, r, ("lat", "lon"), ("dlat", "dlon"), "driver", 8).count() == 2_000
+    assert len(sizes["nearest-kept"]) > 1 and max(sizes["nearest-kept"]) < 2_000 * 6
+    assert sizes["nearest-asked"][0] < 2_000 * 6
+
+
+@pytest.mark.parametrize("rows_per_task", [None, 50])
+def test_a_path_that_leads_astray_only_costs_time(spark, rows_per_task):
+    """A lone driver and a dense street, with rides between: the measured point is often not the nearest."""
+    rng = random.Random(5)
+    drivers = [(0.5, 0.5)] + [(1 + rng.random() / 50, 1 + rng.random() / 50) for _ in range(400)] + [(-90.0, 0.0), (0.0, 180.0)]
+    rides = [(rng.uniform(0.4, 1.1), rng.uniform(0.4, 1.1)) for _ in range(80)] + [(rng.uniform(-90, 90), rng.uniform(-180, 180)) for _ in range(80)]
+    l = spark.createDataFrame([(i, *p) for i, p in enumerate(rides)], "ride int, lat double, lon double")
+    r = spark.createDataFrame([(i, *p) for i, p in enumerate(drivers)], "driver int, dlat double, dlon double")
+    found = nearest_join(l, r, ("lat", "lon"), ("dlat", "dlon"), "driver", 4, rows_per_task).collect()
+    best = [min((round(_metres(ride, p)), i) for i, p in enumerate(drivers)) for ride in rides]
+    assert sorted((q["ride"], q["metres"], q["driver"]) for q in found) == [(i, *b) for i, b in enumerate(best)]
+
+
 def test_empty_sides(spark):
     l = spark.createDataFrame([(1, 2.0, 3.0)], "ride int, lat double, lon double")
     r = spark.createDataFrame([], "driver int, dlat double, dlon double")
